@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import quality, sharding
+from squelch.llm import codes, langid, mixing, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +16,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers lie on this machine (and on each executor's)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"), keep=["doc_id"])
+    return mixed.select("doc.doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
+
+
+def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = codes.write_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), 0)
+    return codes.read_digests(segments)
+
+
+CAPACITY = 4096
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.token_pieces(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), 1, CAPACITY)
+    return packing.pack(cut, CAPACITY)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned where crc32(doc_id) mod 4 is not 2; a null id counts as not held out, and nothing is learned from it."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = langid.fit(docs.filter(~held_out), "text", "lang", "doc_id")
+    return langid.predict(docs, model, "text", ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
+
+
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
@@ -31,6 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_token_codes": op4_token_codes,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op10_sharding": op10_sharding,
 }
