@@ -51,8 +51,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices a batch so that each slice holds about ``limit`` bytes of text.
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 2_000_000, rows: int = 30_000) -> Iterator[pa.RecordBatch]:
+    """Slices a batch so that each slice holds about ``limit`` bytes of text and at most so many rows.
 
     Whole rows only, so a longer text makes a larger slice of one row.
     """
@@ -60,6 +60,6 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterat
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
