@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import codes, langid, mixing, neardup, packing, quality, sharding, substring
+from squelch.llm import codes, langid, mixing, neardup, neighbours, packing, quality, sharding, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: rows whose id is divisible by 100; candidates: all rows."""
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
@@ -74,6 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_token_codes": op4_token_codes,
     "op5_substring_dedup": op5_substring_dedup,
