@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import codes, langid, mixing, neardup, neighbours, packing, quality, sharding, substring
+from squelch.llm import codes, langid, mixing, neardup, neighbours, packing, pseudolm, quality, sharding, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "text", ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudolm.score(docs, pseudolm.fit(docs), ["doc_id"])
+
+
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
@@ -84,8 +89,9 @@ QUERIES: dict[str, Query] = {
     "op4_token_codes": op4_token_codes,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
-    "op8_language_id": op8_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_sharding": op10_sharding,
 }
 
