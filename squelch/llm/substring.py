@@ -30,9 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from squelch.llm.shared import pieces, stored, text_buffer
 from squelch.llm.words import Words, fingerprints, mixed, whole, windows, words_of
@@ -45,8 +47,8 @@ CHUNKS_PER_BUCKET = 4
 _FAR = np.int64(1) << 40
 
 
-def chunks(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Whole documents in rows of some MB: chunk, doc_ids, lengths, and the compressed bytes."""
+def chunks(docs: DataFrame, text: str, doc_id: str, keep: list[str] | None = None) -> DataFrame:
+    """Whole documents in rows of some MB: chunk, doc_ids, lengths, the compressed bytes, and the ``keep`` columns as structs."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -55,14 +57,20 @@ def chunks(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 some = some.sort_by([("doc_id", "ascending")])
                 raw, offsets = text_buffer(some.column("text"))
                 blob = pa.compress(raw.tobytes(), codec="zstd", asbytes=True) if len(raw) else b""
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part * (1 << 32) + seq], pa.int64()), pa.array([some.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(offsets).tolist()], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
-                    names=["chunk", "doc_ids", "lengths", "blob"],
-                )
+                row = {
+                    "chunk": pa.array([part * (1 << 32) + seq], pa.int64()),
+                    "doc_ids": pa.array([some.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    "lengths": pa.array([np.diff(offsets).tolist()], pa.list_(pa.int64())),
+                    "blob": pa.array([blob], pa.binary()),
+                }
+                if keep:
+                    row["docs"] = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("doc"))
+                yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
                 seq += 1
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(build, "chunk long, doc_ids array<long>, lengths array<long>, blob binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(*keep).alias("doc")] if keep else []))
+    schema = T.StructType().add("chunk", "long").add("doc_ids", T.ArrayType(T.LongType())).add("lengths", T.ArrayType(T.LongType())).add("blob", "binary")
+    return rows.mapInArrow(build, schema.add("docs", T.ArrayType(rows.schema["doc"].dataType)) if keep else schema)
 
 
 def _open(row: dict) -> tuple[Words, np.ndarray]:
@@ -243,16 +251,19 @@ def kept_text(w: Words, gone: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[mask].tobytes())])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every document.
 
+    With ``keep``, these columns come along in a struct ``doc``, and
+    ``clean_text`` is the text as it was where nothing was removed.
+
     Removed is each word in a window of 20 words that also starts earlier:
     in a smaller id, or earlier in the same document. A null text has no words;
     texts shorter than a window stay whole. Null ids count as after all others;
     rows that share an id count as later ones of it in the order of their
     chunks. Windows are judged on the input. An empty table stays empty.
     """
-    text_chunks = stored(chunks(docs, text, doc_id), "chunks")
+    text_chunks = stored(chunks(docs, text, doc_id, keep), "chunks")
     buckets = 1
     while buckets * CHUNKS_PER_BUCKET < text_chunks.count() and buckets < 1 << 16:
         buckets *= 2
@@ -264,7 +275,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 ends, low = _split(distinct, buckets), distinct.astype("<u4")
                 yield _send([(b, row["chunk"], int(ends[b + 1] - ends[b]), low[ends[b] : ends[b + 1]].tobytes(), b"") for b in range(buckets) if ends[b + 1] > ends[b]])
 
-    sent = text_chunks.mapInArrow(send_symbols, _SENT)
+    bare = text_chunks.drop("docs")
+    sent = bare.mapInArrow(send_symbols, _SENT)
     shared = stored(sent.groupBy("bucket").applyInArrow(_occurs_elsewhere, _REPLY), "shared-symbols")
     shared = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("shared"))
 
@@ -284,13 +296,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                         rows.append((b, row["chunk"], int(ends[b + 1] - ends[b]), distinct[mine].astype("<u8").tobytes(), runs.astype("<i8").tobytes()))
                 yield _send(rows)
 
-    with_shared = text_chunks.join(shared, "chunk", "left")
+    with_shared = bare.join(shared, "chunk", "left")
     earlier = stored(with_shared.mapInArrow(send_windows, _SENT).groupBy("bucket").applyInArrow(_occurs_earlier, _REPLY), "earlier-windows")
     earlier = earlier.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("earlier"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            kept_docs = batch.column("docs") if keep else None
+            for k, row in enumerate(batch.drop_columns(["docs"] if keep else []).to_pylist()):
                 w, start, keys = _candidates(row, buckets)
                 first, ends, of, _ = _first_ones(keys, buckets)
                 late = np.zeros(len(first), bool)
@@ -305,10 +318,32 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 gone = np.cumsum(edge)[: w.n] > 0
                 removed = np.zeros(w.n + 1, np.int64)
                 np.cumsum(gone, out=removed[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(w.first), pa.int64()), pa.array(np.diff(removed[w.first]), pa.int64()), kept_text(w, gone).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_text"],
-                )
+                out = {
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                    "n_words": pa.array(np.diff(w.first), pa.int64()),
+                    "n_removed": pa.array(np.diff(removed[w.first]), pa.int64()),
+                    "kept_text": kept_text(w, gone).cast(pa.string()),
+                }
+                if keep:
+                    offsets = np.concatenate([[0], np.cumsum(row["lengths"])]).astype(np.int64)
+                    whole_text = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(w.raw.tobytes())]).cast(pa.string())
+                    out["clean_text"] = pc.if_else(pc.equal(out["n_removed"], 0), whole_text, out["kept_text"])
+                    out["doc"] = kept_docs[k].values
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     both = text_chunks.join(shared, "chunk", "left").join(earlier, "chunk", "left")
-    return both.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    if keep:
+        schema = schema.add("clean_text", "string").add("doc", text_chunks.schema["docs"].dataType.elementType)
+    return both.mapInArrow(remove, schema)
+
+
+def cleaned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents with repeated windows of words taken out of their texts.
+
+    Untouched texts stay as they are, white space included; in the others the
+    kept words are joined by one blank. A null text becomes empty; a document
+    of which nothing is left stays, with an empty text.
+    """
+    found = remove_repeats(docs, text, doc_id, docs.columns)
+    return found.select(*[(F.col("clean_text") if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
