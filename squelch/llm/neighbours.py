@@ -11,6 +11,7 @@ the classifier hasn't seen, the fewest parts that reach ``TARGET`` recall.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,10 +43,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nearest(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """Indexes of the k nearest rows, in blocks of queries; ``own`` is each query's own row."""
     found = []
-    for at in range(0, len(queries), 512):
-        d = _distances(queries[at : at + 512], rows)
+    for at in range(0, len(queries), 256):
+        d = _distances(queries[at : at + 256], rows)
         if own is not None:
-            d[np.arange(len(d)), own[at : at + 512]] = np.inf
+            d[np.arange(len(d)), own[at : at + 256]] = np.inf
         found.append(np.argpartition(d, k - 1, axis=1)[:, :k])
     return np.concatenate(found)
 
@@ -238,10 +239,20 @@ def search(vectors: DataFrame, asked: Column, k: int = 10, vec: str = "embedding
     index = stored(distinct_vectors(rows, vec, vec_id, k + 1), "vectors")
     n = index.count()
     share = min(1.0, 1.02 * (LEARN_ROWS + MEASURE_ROWS) / max(n, 1))
-    sample = index.filter(F.pmod("h1", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("h2", "vec").toArrow().sort_by("h2")
-    sample = sample.slice(0, LEARN_ROWS + MEASURE_ROWS)
-    dims = len(sample.column("vec")[0]) if len(sample) else 0
-    router = learn(_matrix(sample.column("vec").combine_chunks(), dims) if dims else np.zeros((0, 0)), n, k)
+    sample = index.filter(F.pmod("h1", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("h2", "vec")
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            dims = len(held[0].column("vec")[0])
+            vectors = np.concatenate([_matrix(b.column("vec"), dims) for b in held])
+            order = np.argsort(np.concatenate([b.column("h2").to_numpy() for b in held]), kind="stable")
+            router = learn(vectors[order[: LEARN_ROWS + MEASURE_ROWS]], n, k)
+            yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([pickle.dumps(router)], pa.binary())], names=["dims", "router"])
+
+    # The sample's bound lets one task learn; what the driver gets is the classifier.
+    taught = sample.repartition(1).mapInArrow(teach, "dims int, router binary").first()
+    dims, router = (taught.dims, pickle.loads(bytes(taught.router))) if taught else (0, learn(np.zeros((0, 0)), 0, k))
     shared = spark.sparkContext.broadcast(router)
 
     def to_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
