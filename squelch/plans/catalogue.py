@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from squelch.plans import speech, tables
+
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = tables.QUERIES | speech.QUERIES
+ORACLES: dict[str, str] = tables.ORACLES | speech.ORACLES
