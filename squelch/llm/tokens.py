@@ -33,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 #: Words that a process remembers before it starts anew: some 150 bytes each.
-MEMORY = 800_000
+MEMORY = 250_000
 
 
 class Encoder:
