@@ -142,7 +142,9 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     frame = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     frame = measured(frame, tuple(x for r in rules for x in r.needs))
     shown = [x for x in FEATURES if x in frame.columns and x not in _INNER]
-    return frame.select("doc", *shown, F.expr(base).alias("base_failed"), F.expr(f"case {cascade} else true end").alias("kept"))
+    # A generator keeps later filters from copying the chain of features into themselves.
+    row = F.struct("doc", *shown, F.expr(base).alias("base_failed"), F.expr(f"case {cascade} else true end").alias("kept"))
+    return frame.select(F.explode(F.array(row)).alias("row")).select("row.*")
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -59,6 +59,14 @@ def table_frame(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> D
     return spark.createDataFrame(rows, "slot int, shard int, shard_name string")
 
 
+def _ways(value: str, n: int, owner: np.ndarray) -> list[int]:
+    """Slots of ``n`` different shards (all shards, if fewer), in the value's own order."""
+    start = int.from_bytes(hashlib.md5(f"way {value}".encode()).digest()[:8], "big") % len(owner)
+    places = np.roll(np.arange(len(owner)), -start)
+    _, first = np.unique(owner[places], return_index=True)
+    return [int(x) for x in places[np.sort(first)[:n]]]
+
+
 def shard(frame: DataFrame, keys: list[str], shards: list[str], slots: int = SLOTS, spread: dict | None = None) -> DataFrame:
     """Adds ``slot``, ``shard`` (index) and ``shard_name`` to each row.
 
@@ -67,21 +75,23 @@ def shard(frame: DataFrame, keys: list[str], shards: list[str], slots: int = SLO
     and ties go where their key goes; an empty table gives an empty result.
 
     ``spread`` names hot keys (first key column's value -> number of ways):
-    their rows are dealt over so many slots by a hash of the whole row, so one
-    key with a third of all rows doesn't fill one shard.
+    their rows are dealt over slots of so many different shards by a hash of the
+    whole row, so one key with a third of all rows doesn't fill one shard.
 
     The table has ``slots`` rows whatever the data, so it is always broadcast,
     and placing a row is one hash and one look-up, without a shuffle.
     """
     frame = frame.drop("slot", "shard", "shard_name")
     parts = [F.col(k) for k in keys]
+    slot = slot_of(*parts, slots=slots)
     if spread:
-        ways = F.lit(None).cast("long")
+        owner = lookup_table(shards, slots)
+        deal = F.xxhash64(*frame.columns)
         for value, n in spread.items():
-            ways = F.when(parts[0].cast("string") == str(value), F.lit(int(n))).otherwise(ways)
-        parts.append(F.when(ways.isNotNull(), F.pmod(F.xxhash64(*frame.columns), ways)))
+            ways = F.array(*[F.lit(x) for x in _ways(str(value), int(n), owner)])
+            slot = F.when(parts[0].cast("string") == str(value), F.get(ways, F.pmod(deal, F.size(ways)).cast("int"))).otherwise(slot)
     table = table_frame(frame.sparkSession, shards, slots)
-    return frame.withColumn("slot", slot_of(*parts, slots=slots)).join(F.broadcast(table), "slot", "left").select(*frame.columns, "slot", "shard", "shard_name")
+    return frame.withColumn("slot", slot).join(F.broadcast(table), "slot", "left").select(*frame.columns, "slot", "shard", "shard_name")
 
 
 def hot_keys(frame: DataFrame, key: str, shards: int) -> dict[str, int]:
