@@ -16,8 +16,9 @@ the least one, and with the least of those that share the next band too; so
 links to check grow with the members, not with their pairs. A link is kept
 where the weighted Jaccard similarity, or the plain one of the shingle sets, is
 0.8 or more: down-weighting what many texts share would else let a large group
-of copies dissolve by its own size. Rounds follow until no bucket that still
-holds several classes yields a new link.
+of copies dissolve by its own size. In each bucket that still holds several
+classes every pair of texts of different classes is then compared, block by
+block.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ _SLICES = 16
 LEVELS = 80  # weights up to 2 ** 20
 #: Members that are compared with one text in one run of rows.
 MEMBERS = 128
+#: Bytes of text in a block of a bucket; two blocks are compared by one task.
+BLOCK_BYTES = 1 << 21
 #: Up to so many ids (16 bytes each) a filter is broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -156,7 +159,7 @@ def _digest(text: str) -> int:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, node (64 bits of a cryptographic hash of the text) and bands; null bands where there are no words."""
+    """doc_id, node (64 bits of a cryptographic hash of the text), its bytes and bands; null bands where there are no words."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +171,24 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 for k, keys in zip(have.tolist(), banded(sample), strict=True):
                     bands[k] = keys
                 nodes = [_digest(x or "") for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                size = np.diff(text_buffer(part.column("text"))[1])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bytes", "bands"])
 
-    return docs.mapInArrow(sign, "doc_id long, node long, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, node long, bytes long, bands array<long>")
+
+
+def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the nodes that take part; one document of each stands for all copies."""
+    some = stored(wanted.select("node").distinct().join(nodes, "node").select("node", "rep_id"), "nodes-to-check")
+    hint = F.broadcast if some.count() <= BROADCAST_ROWS else (lambda x: x)
+    known = docs.join(hint(some.withColumnRenamed("rep_id", "doc_id")), "doc_id").select("node", "text")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # rows that share the id but not the text drop out
+            same = [n == _digest(x or "") for n, x in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(same, pa.bool_()))
+
+    return known.mapInArrow(own, "node long, text string")
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -186,18 +204,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: np.ndarra
     members = pairs.join(size, "b").select("b", F.pmod(F.xxhash64("a"), F.col("ways")).cast("int").alias("run"), F.col("a").alias("node"), F.lit(1).alias("member"))
     pivots = members.select("b", "run").distinct().select("b", "run", F.col("b").alias("node"), F.lit(0).alias("member"))
     wanted = stored(members.unionByName(pivots), "to-check")
-    # Texts of the nodes that take part; the first document of each stands for all copies.
-    some = wanted.select("node").distinct().join(nodes, "node").select("node", "rep_id")
-    some = stored(some, "nodes-to-check")
-    hint = F.broadcast if some.count() <= BROADCAST_ROWS else (lambda x: x)
-    known = docs.join(hint(some.withColumnRenamed("rep_id", "doc_id")), "doc_id").select("node", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows that share the id but not the text drop out
-            same = [n == _digest(x or "") for n, x in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    known = known.mapInArrow(own, "node long, text string")
+    known = _texts(wanted, docs, nodes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = wanted.join(known, "node").repartition(parts, "b", "run").sortWithinPartitions("b", "run", "member", "node")
 
@@ -229,6 +236,87 @@ def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: np.ndarra
     return stored(rows.mapInArrow(compare, "a long, b long, weighted double, plain double"), "links")
 
 
+_Member = tuple[int, int, int, list[int], np.ndarray, np.ndarray]  # side, node, root, bands, shingles, weights
+
+
+def _block_links(key: int, left: list[_Member], right: list[_Member]) -> Iterator[tuple[int, int, float, float]]:
+    """Links across two blocks of the bucket, or within one if ``right`` is ``left``; of its earlier bands' pairs none."""
+    roots, bands = np.array([m[2] for m in right]), np.array([m[3] for m in right])
+    band = int(np.argmax(bands[0] == key))
+    owner = np.repeat(np.arange(len(right)), [len(m[4]) for m in right])
+    shingle, weight = np.concatenate([m[4] for m in right]), np.concatenate([m[5] for m in right])
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle, weight = owner[order], shingle[order], weight[order]
+    size, mass = np.array([len(m[4]) for m in right]), np.array([m[5].sum() for m in right])
+    for k, (_, node, root, own_bands, own, own_weight) in enumerate(left):
+        asked = (roots != root) & ~(bands[:, :band] == np.array(own_bands[:band], np.int64)).any(1)
+        if left is right:
+            asked[: k + 1] = False
+        if not asked.any():
+            continue
+        low, high = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+        n = high - low
+        at = np.repeat(low - n.cumsum() + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(right))
+        common = np.bincount(owner[at], np.minimum(weight[at], np.repeat(own_weight, n)), len(right))
+        weighted, plain = common / (mass + own_weight.sum() - common), shared / (size + len(own) - shared)
+        for other in np.flatnonzero(asked & (np.maximum(weighted, plain) >= SIMILAR)):
+            yield node, right[other][1], float(weighted[other]), float(plain[other])
+
+
+def _crossed(labelled: DataFrame, docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The similar pairs (a, b) of all that share a bucket (columns key, node, root) but not the root.
+
+    A bucket's greatest class and all its others are dealt into blocks; each
+    block of the others meets every block, so that rows grow with the pairs
+    to compare divided by the texts in a block.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(idf)
+    sized = labelled.join(nodes.select("node", "bytes", "bands"), "node")
+    by_root = sized.groupBy("key", "root").agg(F.sum("bytes").alias("bytes"))
+    mixed_ones = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("bytes", "root")).alias("main"), F.sum("bytes").alias("bytes")).filter("roots > 1")
+    ways = mixed_ones.select("key", F.col("main.root").alias("main"), F.ceil((F.col("bytes") - F.col("main.bytes")) / BLOCK_BYTES).cast("int").alias("others"), F.ceil(F.col("main.bytes") / BLOCK_BYTES).cast("int").alias("mains"))
+    is_main = F.col("root") == F.col("main")
+    block = F.when(is_main, F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1))
+    placed = sized.join(ways, "key").withColumn("x", block).withColumn("y", met)
+    placed = placed.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"), "node", "root", "bands")
+    wanted = stored(placed, "blocks")
+    if wanted.isEmpty():
+        return spark.createDataFrame([], "a long, b long, weighted double, plain double")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = wanted.join(_texts(wanted, docs, nodes), "node").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+
+    def links_of(group: tuple, held: list[_Member]) -> list[pa.RecordBatch]:
+        left = [m for m in held if not m[0]]
+        right = left if group[1] == group[2] else [m for m in held if m[0]]
+        found = list(_block_links(group[0], left, right)) if left and right else []
+        if not found:
+            return []
+        a, b, s, p = zip(*found, strict=True)
+        return [pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s), pa.array(p)], names=["a", "b", "weighted", "plain"])]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                text, shingle, count = _shingles_of(part.column("text"))
+                weight = np.exp2(levels(shingle, count, shared.value) / 4)
+                limits = np.searchsorted(text, np.arange(part.num_rows + 1))
+                for k, (key, i, j, *member) in enumerate(zip(*(part.column(x).to_pylist() for x in ("key", "i", "j", "side", "node", "root", "bands")), strict=True)):
+                    if group != (key, i, j):
+                        if held:
+                            yield from links_of(group, held)
+                        group, held = (key, i, j), []
+                    own = slice(limits[k], limits[k + 1])
+                    held.append((*member, shingle[own], weight[own]))
+        if held:
+            yield from links_of(group, held)
+
+    return stored(rows.mapInArrow(compare, "a long, b long, weighted double, plain double"), "links")
+
+
 def _relabelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -247,7 +335,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     idf = idf_levels(counts, n)
     signed = stored(signatures(base, idf), "signatures")
     nodes = stored(
-        signed.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.min_by("bands", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("bands")),
+        signed.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.min("bytes").alias("bytes"), F.min_by("bands", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("bands")),
         "nodes",
     )
     band = nodes.select("node", F.posexplode("bands").alias("band", "key"), "bands")
@@ -263,28 +351,15 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     pairs_left = _relabelled(pairs.withColumnRenamed("a", "node"), roots).withColumnsRenamed({"node": "a", "root": "ra"}).withColumnRenamed("b", "node")
     # Classes only ever merge, so of the pairs tried those within a class needn't be remembered.
     pairs_left = stored(_relabelled(pairs_left, roots).withColumnsRenamed({"node": "b"}).filter("ra != root").select("a", "b"), "pairs-left")
-    tried = pairs_left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    todo = pairs_left.join(pairs.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti")
-    turn = 0
-    todo = stored(todo, "pairs")
-    while True:
-        if todo.isEmpty():
-            break
-        new = _checked(todo, base, nodes, idf)
-        if turn and new.isEmpty():
-            break
-        links = stored(links.unionByName(new), "links")
+    todo = stored(pairs_left.join(pairs.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    if not todo.isEmpty():
+        links = stored(links.unionByName(_checked(todo, base, nodes, idf)), "links")
         roots = components(links.select("a", "b"))
-        # Buckets that still hold several classes: another pivot for those not of its class.
-        turn += 1
-        labelled = _relabelled(members.select("key", "node"), roots)
-        labelled = stored(labelled.join(labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key"), "key"), "mixed-buckets")
-        members = labelled.select("key", "node")  # a bucket of one class stays so
-        mixed_ones = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("p")).filter("lo != hi")
-        next_pairs = labelled.join(mixed_ones.select("key", "p"), "key").filter("root != p.root")
-        next_pairs = next_pairs.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
-        todo = stored(next_pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(todo)
+    # Buckets that still hold several classes: all their pairs across classes.
+    labelled = stored(_relabelled(members.select("key", "node"), roots), "labelled")
+    new = _crossed(labelled, base, nodes, idf)
+    if not new.isEmpty():
+        roots = components(links.unionByName(new).select("a", "b"))
     in_class = _relabelled(signed.filter("bands is not null").select("doc_id", "node"), roots)
     least = in_class.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     joined = in_class.join(least, "root").select("doc_id", "node", "class_id", "class_size")

@@ -134,3 +134,49 @@ def test_oracle_of_substring(spark, sf):
 def test_empty_digest(spark):
     row = substring.remove_repeats(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert (row.n_words, row.kept_text) == (0, "") and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def five(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def family(seed=8):
+    """Forms about 0.7 alike with some true pairs, and a star of copies that are close to their original only."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"u{rng.getrandbits(60):x}" for _ in range(n)]
+    form, texts = prose(rng, 128), []
+    for k in range(400):
+        fill = fresh(22)
+        texts.append(" ".join(form + fill))
+        if k % 40 == 0:
+            texts.append(" ".join(form + fill[:11] + fresh(11)))
+    original = prose(rng, 150)
+    texts.append(" ".join(original))
+    for k in range(60):
+        at = rng.randint(5, 140)
+        texts.append(" ".join(original[:at] + fresh(8) + original[at + 8 :]))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_classes_of_mixed_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000, raising=False)  # several blocks in a bucket
+    texts = family()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    root, sets = list(range(len(texts))), [five(t) for t in texts]
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {k: find(k) for k in range(len(texts))}
+    assert sum(k != v for k, v in want.items()) >= 65
+    assert {r.doc_id: r.class_id for r in neardup.classes(frame).collect()} == want
