@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from squelch.functions import hashing, temporal, text
 from squelch.operators import adjudication, datasets, lifecycle, relational, review, tracks
@@ -535,5 +534,21 @@ def stalled_runs(spark: SparkSession, d: str) -> DataFrame:
 def trails(spark: SparkSession, d: str) -> DataFrame:
     """Users' points as ordered trails; those of few points keep all, so SQL can count them."""
     rows = table(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("lat"), F.col("value").alias("lon"))
-    few = rows.withColumn("n", F.size(F.collect_set(F.floor("t")).over(W.partitionBy("user_id")))).filter("n <= 40")
-    return tracks.trails(few, "user_id", "t", F.lit(0.0), 40).select("user_id", F.size("trail").cast("long").alias("points"))
+    few = rows.groupBy(F.col("user_id").alias("u")).agg(F.count_distinct(F.floor("t")).alias("n")).filter("n <= 40")
+    rows = rows.join(few, F.col("user_id").eqNullSafe(F.col("u")), "left_semi")
+    return tracks.trails(rows, "user_id", "t", F.lit(0.0), 40).select("user_id", F.size("trail").cast("long").alias("points"))
+
+
+@query(
+    "trails_all",
+    """SELECT user_id, count(*) AS points, min(s) AS first_s, max(s) AS last_s, CAST(sum(s) AS BIGINT) AS sum_s FROM (
+ SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n
+ FROM (SELECT DISTINCT user_id, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS s FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL))
+ WHERE n <= 40 OR round(round(i / ((n - 1) / 39.0::DOUBLE)) * ((n - 1) / 39.0::DOUBLE)) = i GROUP BY user_id""",
+)
+def trails_all(spark: SparkSession, d: str) -> DataFrame:
+    """All users' points as ordered trails, thinned to 40 where there are more."""
+    rows = table(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("lat"), F.col("value").alias("lon"))
+    found = tracks.trails(rows.filter("user_id is not null and t is not null"), "user_id", "t", F.lit(0.0), 40)
+    offsets = F.col("trail.offset_s")
+    return found.select("user_id", F.size("trail").cast("long").alias("points"), F.array_min(offsets).alias("first_s"), F.array_max(offsets).alias("last_s"), F.aggregate(offsets, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_s"))

@@ -38,3 +38,17 @@ def test_equals_oracle(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_trails_cover_all_users_and_are_thinned(spark):
+    seconds = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "cast(floor(unix_micros(cast(ts as timestamp)) / 1e6) as long) as s").collect():
+        seconds.setdefault(r.user_id, set()).add(r.s)
+    want = {}
+    for user, found in seconds.items():
+        s = sorted(found)
+        if len(s) > 40:
+            s = [s[int(k * (len(s) - 1) / 39 + 0.5)] for k in range(40)]
+        want[user] = (len(s), s[0], s[-1], sum(s))
+    assert want and max(len(x) for x in seconds.values()) > 40
+    assert {r.user_id: (r.points, r.first_s, r.last_s, r.sum_s) for r in catalogue.QUERIES["trails_all"](spark, SF).collect()} == want
