@@ -177,18 +177,27 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, node long, bytes long, bands array<long>")
 
 
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = [_digest(x or "") for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"])
+
+
 def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and text of the nodes that take part; one document of each stands for all copies."""
     some = stored(wanted.select("node").distinct().join(nodes, "node").select("node", "rep_id"), "nodes-to-check")
     hint = F.broadcast if some.count() <= BROADCAST_ROWS else (lambda x: x)
     known = docs.join(hint(some.withColumnRenamed("rep_id", "doc_id")), "doc_id").select("node", "text")
+    # Texts that null ids alone have are found by their hash.
+    nameless = docs.filter("doc_id is null").select("text").mapInArrow(_with_node, "node long, text string")
+    nameless = nameless.join(hint(some.filter("rep_id is null").select("node")), "node").groupBy("node").agg(F.first("text").alias("text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # rows that share the id but not the text drop out
             same = [n == _digest(x or "") for n, x in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    return known.mapInArrow(own, "node long, text string")
+    return known.mapInArrow(own, "node long, text string").unionByName(nameless)
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -330,6 +339,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     null ``class_id``. Rows that share an id are classed by their texts. An empty
     table gives an empty result; other columns of the input are ignored.
     """
+    return _rooted(docs, text, doc_id).drop("root")
+
+
+def _rooted(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``classes`` with ``root``, a node that no other class has; null where the text has no word."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts, n = frequencies(base, "text")
     idf = idf_levels(counts, n)
@@ -362,15 +376,15 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         roots = components(links.unionByName(new).select("a", "b"))
     in_class = _relabelled(signed.filter("bands is not null").select("doc_id", "node"), roots)
     least = in_class.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    joined = in_class.join(least, "root").select("doc_id", "node", "class_id", "class_size")
-    return joined.unionByName(signed.filter("bands is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    joined = in_class.join(least, "root").select("doc_id", "node", "class_id", "class_size", "root")
+    return joined.unionByName(signed.filter("bands is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("root")))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents without those of a class that come after its first (least id, null last)."""
-    found = stored(classes(docs, text, doc_id), "classes").filter("class_size > 1")
-    keepers = found.groupBy(F.col("class_id").alias("kept_id")).agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("keep"))
-    extra = found.join(keepers, F.col("class_id").eqNullSafe(F.col("kept_id"))).select("doc_id", "node", ((F.col("node") == F.col("keep")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first"))
+    found = stored(_rooted(docs, text, doc_id), "classes").filter("class_size > 1")
+    keepers = found.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("keep"))
+    extra = found.join(keepers, "root").select("doc_id", "node", ((F.col("node") == F.col("keep")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first"))
     extra = stored(extra.groupBy("doc_id", "node").agg(F.max("first").alias("first"), F.count("*").alias("rows")).filter("not first or rows > 1"), "extra")
     count = extra.count()
     hint = F.broadcast if count <= BROADCAST_ROWS else (lambda x: x)

@@ -180,3 +180,16 @@ def test_classes_of_mixed_buckets_equal_brute_force(spark, monkeypatch):
     want = {k: find(k) for k in range(len(texts))}
     assert sum(k != v for k, v in want.items()) >= 65
     assert {r.doc_id: r.class_id for r in neardup.classes(frame).collect()} == want
+
+
+def test_keep_one_keeps_one_of_classes_that_share_the_least_id(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(prose(rng, 60)) for _ in range(4))
+    near = c.rsplit(" ", 1)[0] + " other"
+    nulls = [(None, a), (None, a), (None, b), (None, b), (None, c), (None, near)]
+    rows = [*nulls, (5, d), (5, d + " more"), (6, d)]
+    kept = sorted(r.text for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(kept) == 4 and kept.count(a) == kept.count(b) == 1 and (c in kept) != (near in kept)
+    x, y = (" ".join(prose(rng, 60)) for _ in range(2))
+    shared = spark.createDataFrame([(5, x), (5, y), (7, x), (8, y)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(shared).collect()) == sorted([(5, x), (5, y)])
