@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -113,11 +115,11 @@ def test_weighted_similarity_is_estimated(spark):
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 2**48, 400, dtype=np.uint64)
     a, b = np.sort(ids[:300]), np.sort(ids[100:])
-    level = {int(x): int(v) for x, v in zip(ids, rng.integers(0, 12, 400))}
+    weigh = {int(x): float(v) for x, v in zip(ids, rng.uniform(0.5, 8, 400).astype(np.float32))}
     text = np.repeat([0, 1], [300, 300])
     both = np.concatenate([a, b])
-    _, sample = neardup.samples(text, both, np.array([level[int(x)] for x in both]))
-    wa, wb = ({int(x): 2 ** (level[int(x)] / 4) for x in s} for s in (a, b))
+    _, sample = neardup.samples(text, both, np.array([weigh[int(x)] for x in both], np.float32))
+    wa, wb = ({int(x): weigh[int(x)] for x in s} for s in (a, b))
     common = sum(v for k, v in wa.items() if k in wb)
     exact = common / (sum(wa.values()) + sum(wb.values()) - common)
     assert (sample[0] == sample[1]).mean() == pytest.approx(exact, abs=0.17)
@@ -138,7 +140,20 @@ def test_empty_digest(spark):
 
 def five(text):
     w = text.split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def brute_links(texts):
+    """All pairs of texts whose TF-IDF shingles have a weighted Jaccard similarity of 0.8 or more."""
+    bags, n = [five(t or "") for t in texts], len(texts)
+    held = Counter(s for bag in bags for s in bag)
+    weigh = {s: 1 + neardup.RARITY * math.log((n + 1) / (k + 1)) / math.log(n + 1) for s, k in held.items()}
+    mass = [sum(c * weigh[s] for s, c in bag.items()) for bag in bags]
+    for i in range(n):
+        for j in range(i):
+            common = sum(min(c, bags[j][s]) * weigh[s] for s, c in bags[i].items() if s in bags[j])
+            if common and common / (mass[i] + mass[j] - common) >= 0.8 - 1e-9:
+                yield i, j
 
 
 def family(seed=8):
@@ -161,22 +176,19 @@ def family(seed=8):
 
 
 def test_classes_of_mixed_buckets_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000, raising=False)  # several blocks in a bucket
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 3_000)  # several blocks in a bucket
     texts = family()
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    root, sets = list(range(len(texts))), [five(t) for t in texts]
+    root = list(range(len(texts)))
 
     def find(k):
         while root[k] != k:
             k = root[k]
         return k
 
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
+    for i, j in brute_links(texts):
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
     want = {k: find(k) for k in range(len(texts))}
     assert sum(k != v for k, v in want.items()) >= 65
     assert {r.doc_id: r.class_id for r in neardup.classes(frame).collect()} == want
