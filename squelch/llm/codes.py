@@ -126,7 +126,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text
     in id order and repeated ids can't fill one part. Null ids come first; rows
     with the same id are ordered by their text; a null text is empty and gives
     ``end_id`` alone. An empty table gives a table without rows. One row holds
-    some 2 MB of text: its documents' ids, the end of each in it, its payload.
+    some MB of text: its documents' ids, the end of each in it, its payload; a
+    single document has a payload of its own, which Spark bounds at 2 GB.
     """
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -137,7 +138,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text
         part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for some in pieces(batch, "text"):
+            for some in pieces(batch, "text", 1_000_000):
                 ids = [x + end for x in enc.encode(some.column("text").to_pylist())]
                 ends = np.cumsum([len(x) // 4 for x in ids])
                 payload = pack_ids(np.frombuffer(b"".join(ids), "<u4"))

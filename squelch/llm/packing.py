@@ -3,11 +3,13 @@
 A configuration is a set of piece lengths that fits a sequence. The fractional
 program - fewest sequences that cover the histogram of lengths - is solved by
 multiplicative weights: each round, a knapsack over the weighted lengths prices
-the best configuration, and the lengths it covers lose weight. The rounds'
-mixture is rounded down to whole sequences, and what is left of the histogram,
-best-fit decreasing, goes into the gaps and into new sequences.
+the best configuration, and the lengths it covers lose weight. The same prices
+bound the fewest sequences from below, so the rounds end when the mixture is
+near that bound. It is rounded down to whole sequences, and what is left of the
+histogram, best-fit decreasing, goes into the gaps and into new sequences.
 
-Only the histogram reaches the driver: at most one counter for each length.
+Only the histogram reaches the driver, at most one counter for each length, and
+the plan that goes back is bounded by the lengths too, not by the pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Window as W
 from squelch.llm.shared import pieces, stored
 from squelch.llm.tokens import encoder
 
-ROUNDS = 1500
+ROUNDS, GAP = 3000, 0.004  # at most so many rounds; fewer once the mixture is so near the bound
 CLASSES = 96  # classes of long lengths in the program
 GRID = 512  # units of a sequence in the knapsack
 
@@ -76,25 +78,39 @@ def configurations(hist: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tup
     demand = np.array([hist[a : b + 1].sum() for a, b in classes], float)
     units = -(-high * GRID // capacity)
     log_weight, covered, used = np.log(high / capacity), np.zeros(len(classes)), Counter()
-    for _ in range(rounds):
+    bound = 0.0
+    for done in range(1, rounds + 1):
         weight = np.exp(log_weight - log_weight.max())
-        config = _best(weight * demand.mean() / demand, units)
+        value = weight * demand.mean() / demand
+        config = _best(value, units)
+        # Prices over the best configuration's worth satisfy the dual program.
+        bound = max(bound, float(value @ demand) / sum(n * value[g] for g, n in config.items()))
         for g, n in config.items():
             covered[g] += n / demand[g]
             log_weight[g] -= 0.05 * n * demand.mean() / demand[g]
         used[tuple(sorted(config.items()))] += 1
+        if covered.min() > 0 and done / covered.min() <= bound * (1 + GAP):
+            break
     scale = 1 / max(np.median(covered), 1e-12)
     return classes, [(dict(c), n * scale) for c, n in used.most_common()]
 
 
 def plan(hist: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
-    """Sequences as (how many, lengths in each): together exactly the histogram."""
+    """Sequences as (how many, lengths in each): together exactly the histogram.
+
+    Where best-fit decreasing alone needs fewer sequences than the program's
+    rounded mixture (few pieces, lengths that hardly combine), it is taken.
+    """
+    made = [_filled(hist, capacity, *configurations(np.append(hist[:capacity], 0), capacity)), _filled(hist, capacity, [], [])]
+    return min(made, key=lambda bins: sum(n for n, _ in bins))
+
+
+def _filled(hist: np.ndarray, capacity: int, classes: list[tuple[int, int]], mixture: list[tuple[dict[int, int], float]]) -> list[tuple[int, list[int]]]:
     left = hist.astype(np.int64).copy()
     bins: list[tuple[int, list[int]]] = []
     if left[capacity]:
         bins.append((int(left[capacity]), [capacity]))
         left[capacity] = 0
-    classes, mixture = configurations(left, capacity)
     open_bins: list[tuple[int, list[int]]] = []
     for config, amount in mixture:
         todo = int(amount)
@@ -162,7 +178,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for some in pieces(batch, "text"):
+            for some in pieces(batch, "text", 500_000):
                 rows = []
                 for key, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
                     ids += end
@@ -183,7 +199,9 @@ def pack(items: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     Pieces of one length are interchangeable: each gets a rank among them, and
     the plan says which ranks go to which sequence and place. Ranks are dealt
     within each task and shifted by the counts of the tasks before, so a length
-    that a third of all pieces share needs no sort and no single task.
+    that a third of all pieces share needs no sort and no single task. Columns
+    of the input with one of the two names are replaced; a null, empty or too
+    long length is an error. Equal rows are pieces of their own.
     Sequences are filled from 0 without gaps; an empty table stays empty.
     """
     spark = items.sparkSession
@@ -193,6 +211,8 @@ def pack(items: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
+            if batch.column("_length").null_count:
+                raise ValueError("a piece has no length")
             lengths = batch.column("_length").to_numpy(zero_copy_only=False).astype(np.int64)
             if len(lengths) and (lengths.min() < 1 or lengths.max() > capacity):
                 raise ValueError("a piece is empty or longer than a sequence")
@@ -225,7 +245,7 @@ def pack(items: DataFrame, capacity: int, length: str = "length") -> DataFrame:
         starts.setdefault(x, []).append((first, k, seq, off))
     shared = spark.sparkContext.broadcast({x: np.array(v, np.int64) for x, v in starts.items()})
     before = counts.withColumn("_before", F.sum("count").over(W.partitionBy("_length").orderBy("_part")) - F.col("count")).select("_part", "_length", "_before")
-    rows = rows.join(before, ["_part", "_length"]).select("item", "_length", (F.col("_local") + F.col("_before")).alias("_rank"))
+    rows = rows.join(before.hint("merge"), ["_part", "_length"]).select("item", "_length", (F.col("_local") + F.col("_before")).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

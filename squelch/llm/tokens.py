@@ -1,9 +1,11 @@
 """Token ids of whole texts by a public tokenizer, with a memory for words.
 
 Both vocabularies never merge across a single blank between two other
-characters, so a text is cut there, each distinct cut is encoded once by the
-tokenizers library, and the ids are joined. Texts with white space other than
-blank, tab and line ends are encoded as a whole.
+characters, nor from a Latin letter to a common mark, so a text is cut there,
+each distinct cut is encoded once by the tokenizers library, and the ids are
+joined. Texts with white space other than blank, tab and line ends, or with
+the string of a special token, are encoded as a whole; such a string gives the
+special token's id, as the library's plain call does.
 """
 
 from __future__ import annotations
@@ -15,14 +17,19 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_MARKS = ".,;:!?"
+#: Between runs of white space: Latin letters before white space or a common mark, marks before white space, anything else.
+_UNITS = re.compile(f" ?[{_LETTERS}]+(?=[ \n{_MARKS}]|\\Z)|[{_MARKS}]+(?=[ \n]|\\Z)|\n| ?[^ \n]+| ")
+#: The same where white space is dropped.
+_BARE_UNITS = re.compile(f"[{_LETTERS}]+(?=[ \n{_MARKS}]|\\Z)|[{_MARKS}]+(?=[ \n]|\\Z)|[^ \n]+")
 _RARE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _RUN = re.compile(r"([ \t\r\n]{2,})")
 #: Stands between words that are encoded in one call: a private character, or a line end where that has an id.
 _MARK = "\ue000"
 _PRIVATE = re.compile("[\ue000-\uefff]")
 _CALL = 20_000
-#: Latin letters and then common marks: two units for either pre-tokenizer, whatever the neighbours.
-_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
+_PLAIN = re.compile(f" ?[{_LETTERS}]+|[{_MARKS}]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,8 +39,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
-#: Words that a process remembers before it starts anew: some 150 bytes each.
-MEMORY = 250_000
+#: Cuts that a process remembers before it starts anew (some 200 bytes each), and the longest of them.
+MEMORY, LONGEST = 400_000, 48
 
 
 class Encoder:
@@ -43,17 +50,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = re.compile("|".join(re.escape(x.content) for x in special) or r"(?!)", re.IGNORECASE)
         self.blanks_count = "Split" not in str(self.tokenizer.pre_tokenizer)
         self.units = Tokenizer(self.tokenizer.model)  # the merges alone: its input is cut and mapped already
         self.letters = _byte_letters()
         self.memory: dict[str, bytes] = {}
 
-    def cuts(self, text: str) -> list[str]:
+    def cuts(self, text: str) -> list[str] | None:
+        """The cuts of a text; None if it has to be encoded as a whole."""
+        if self.special.search(text):
+            return None
         if not self.blanks_count:  # this one drops white space: any ASCII white space is a safe cut
-            return [x for x in text.replace("\n", " ").split(" ") if x]
+            return _BARE_UNITS.findall(text)
         if _RARE.search(text):
-            return [text]
+            return None
+        if not _RUN.search(text):
+            return _UNITS.findall(text)
         found: list[str] = []
         parts = _RUN.split(text)
         glued = ""  # the last character of a run begins what follows it
@@ -63,49 +76,35 @@ class Encoder:
                 found.append(part if last else part[:-1])
                 glued = "" if last else part[-1]
                 continue
-            part = glued + part
+            found += _UNITS.findall(glued + part)
             glued = ""
-            for j, line in enumerate(part.split("\n")):
-                if j:
-                    found.append("\n")
-                if line:
-                    first, *rest = line.split(" ")
-                    if first:
-                        found.append(first)
-                    found += [" " + x for x in rest]
         return found
 
-    def learn_plain(self, words: list[tuple[str, str, str]]) -> None:
-        """Words of Latin letters and marks: the merges run over the units, without pre-tokenizing."""
-        units: list[str] = []
-        for _, letters, marks in words:
-            if not self.blanks_count:
-                letters = letters.lower()
-            units.append(letters.encode().decode("latin-1").translate(self.letters))
-            if marks:
-                units.append(marks)
-            units.append("0")  # its id can't come from letters or marks, so it tells the words apart
-        if not units:
-            return
+    def learn_plain(self, words: list[str]) -> None:
+        """Units of Latin letters or marks alone: the merges run over them, without pre-tokenizing."""
         zero = self.units.encode("0", add_special_tokens=False).ids
+        joint = "\0".join(words)
+        mapped = (joint if self.blanks_count else joint.lower()).encode().decode("latin-1").translate(self.letters)
+        units = ["0"] * (2 * len(words))  # its id can't come from letters or marks, so it tells the units apart
+        units[::2] = mapped.split(self.letters[0])
         ids = np.array(self.units.encode_batch_fast([units], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(ids == zero[0]).tolist()
         if len(zero) != 1 or len(ends) != len(words):
             raise ValueError("a digit isn't a token of its own")
         raw, begin = ids.tobytes(), 0
-        for (word, _, _), end in zip(words, ends, strict=True):
+        for word, end in zip(words, ends, strict=True):
             self.memory[word] = raw[4 * begin : 4 * end]
             begin = end + 1
 
     def learn(self, words: list[str]) -> None:
         """Encodes words many at a time: a call for each word costs ten times as much."""
-        plain = [(x, m[1], m[2]) for x in words if (m := _PLAIN.fullmatch(x))]
+        plain = [x for x in words if _PLAIN.fullmatch(x)]
         for k in range(0, len(plain), _CALL):
             self.learn_plain(plain[k : k + _CALL])
         words = [x for x in words if x not in self.memory]
         alone = [x for x in words if _PRIVATE.search(x) or _RARE.search(x) or _RUN.search(x) or "\n" in x or not x.strip()]
         for x in alone:
-            self.memory[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+            self.memory[x] = self.whole(x)
         skip = set(alone)
         words = [x for x in words if x not in skip]
         between = "\n" if self.blanks_count else f" {_MARK} "
@@ -126,14 +125,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cuts(x) for x in texts]
-        missing = set().union(*cut).difference(self.memory) if cut else set()
-        if missing:
-            if len(self.memory) + len(missing) > MEMORY:
-                self.memory.clear()
-                missing = set().union(*cut)
-            self.learn(list(missing))
+        every = set().union(*(x for x in cut if x))
+        missing = every.difference(self.memory)
+        if len(self.memory) + len(missing) > MEMORY:
+            self.memory.clear()
+            missing = every
+        self.learn(list(missing))
         get = self.memory.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        found = [self.whole(text) if x is None else b"".join(map(get, x)) for text, x in zip(texts, cut, strict=True)]
+        for x in missing:
+            if len(x) > LONGEST:
+                del self.memory[x]
+        return found
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

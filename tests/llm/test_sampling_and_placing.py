@@ -125,6 +125,21 @@ def test_packing_is_gapless_and_tight(spark, seed):
     assert used <= least_sequences(lengths, 1000) * 1.05
 
 
+def test_plan_is_never_worse_than_plain_best_fit():
+    rng = np.random.default_rng(4)
+    for hot in (0.34, 0.5, 0.7):
+        lengths = np.concatenate([np.minimum(1 + rng.exponential(180, 4000).astype(int), 1000), np.full(2000, int(1000 * hot))])
+        hist = np.bincount(lengths, minlength=1001)
+        made = packing.plan(hist, 1000)
+        filled = np.zeros(1001, int)
+        for n, slots in made:
+            assert sum(slots) <= 1000
+            np.add.at(filled, slots, n)
+        assert (filled == hist).all()
+        plain = packing._filled(hist, 1000, [], [])
+        assert sum(n for n, _ in made) <= sum(n for n, _ in plain)
+
+
 def test_packing_rejects_what_cannot_fit(spark):
     with pytest.raises(Exception, match="longer than a sequence"):
         packing.pack(spark.createDataFrame([(1, 11)], "doc_id long, length long"), 10).collect()
@@ -136,7 +151,6 @@ def test_pieces_are_the_tokenizers_ids(odd, odd_rows, empty):
 
     path = tokenizer_path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = packing.token_pieces(odd, path, 1, 128, with_ids=True).collect()
     found = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.piece)):

@@ -34,16 +34,25 @@ def test_encoder_equals_the_library(name):
     rng = random.Random(8)
     path = tokenizer_path(name)
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = ["", " ", "\n", "plain words, here."] + ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    texts = ["", " ", "\n", "plain words, here.", "a <|endoftext|> b", "x<|startoftext|>", "<|ENDOFTEXT|>"] + ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
     for text, ids in zip(texts, tokens.Encoder(path).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_memory_starts_anew_and_forgets_long_words(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 50)
+    rng = random.Random(2)
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    for _ in range(20):
+        texts = [" ".join(f"{rng.choice('abcd')}{rng.choice(['ing,', 'er', 'ly.', 'x' * 100])}" for _ in range(30)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+        assert all(len(x) <= tokens.LONGEST for x in enc.memory)
+
+
 def test_written_files_read_back(spark, odd, empty, odd_rows):
     path = tokenizer_path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = codes.read_digests(codes.write_tokens(odd, path, 0)).collect()
     order = sorted(rows, key=lambda r: r.start)
     assert [r.doc_id for r in order] == sorted((r[0] for r in odd_rows), key=lambda x: (x is not None, x))
