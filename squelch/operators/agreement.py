@@ -7,12 +7,12 @@ shuffle on ``segment_id`` and no segment meets another.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from squelch.functions.lexicon import NEAR_THRESHOLD
-from squelch.functions.sequence import token_similarity
+from squelch.functions.sequence import similarities, token_similarity
 from squelch.functions.text import evidence_tokens
 
 
@@ -30,82 +30,109 @@ def exact_groups(hyp: DataFrame) -> DataFrame:
     )
 
 
-def top_group(groups: DataFrame) -> DataFrame:
-    """Each segment's first group: most families, most providers, least text."""
-    order = F.struct((-F.col("families")).alias("f"), (-F.col("providers")).alias("p"), "norm")
-    return groups.groupBy("segment_id").agg(F.min_by(F.struct("norm", "families", "providers", "text"), order).alias("top")).select("segment_id", "top.*")
+def by_segment(hyp: DataFrame) -> DataFrame:
+    """One row for each segment: ``every`` (family, status) and ``said``, the spoken hypotheses (model, family, norm, text) in model order.
+
+    A segment has a few hypotheses, so all that compares them works on this one
+    array, after one shuffle.
+    """
+    norm = F.when(F.col("status") == "success", F.array_join(evidence_tokens(F.col("text")), " "))
+    rows = hyp.select("segment_id", F.struct("model", "family", norm.alias("norm"), F.trim("text").alias("text"), "status").alias("h"))
+    every = rows.groupBy("segment_id").agg(F.array_sort(F.collect_list("h")).alias("every"))
+    return every.withColumn("said", F.filter("every", lambda h: F.coalesce(h["norm"], F.lit("")) != ""))
+
+
+def _top(said: Column) -> Column:
+    """The first of the groups of equal text: most families, most providers, least text."""
+
+    def group(norm: Column) -> Column:
+        same = F.filter(said, lambda h: h["norm"] == norm)
+        return F.struct((-F.size(F.array_distinct(same["family"]))).alias("f"), (-F.size(same)).alias("p"), norm.alias("norm"), F.get(same, F.lit(0))["text"].alias("text"))
+
+    return F.array_min(F.transform(F.array_distinct(said["norm"]), group))
+
+
+def _counts() -> list[Column]:
+    of = lambda status: F.size(F.filter("every", lambda h: h["status"] == status)).cast("long")
+    return [F.size("every").cast("long").alias("results"), of("success").alias("successes"), of("abstained").alias("abstained"), of("error").alias("errors")]
+
+
+def compared(hyp: DataFrame) -> DataFrame:
+    """``by_segment`` with ``sims``: the similarity of each spoken hypothesis to each, row by row."""
+    return by_segment(hyp).withColumn("sims", similarities(F.col("said")["norm"]))
 
 
 def pair_similarities(hyp: DataFrame) -> DataFrame:
-    """Similarity of every ordered pair of a segment's spoken hypotheses (a few models, so a few pairs)."""
-    said = spoken(hyp).select("segment_id", "model", "family", "tokens", F.trim("text").alias("text"))
-    a, b = (said.select("segment_id", *[F.col(c).alias(f"{x}_{c}") for c in ("model", "family", "tokens", "text")]) for x in ("a", "b"))
-    pairs = a.join(b, "segment_id").filter("a_model < b_model").withColumn("similarity", token_similarity(F.col("a_tokens"), F.col("b_tokens")))
-    kept = pairs.select("segment_id", "a_model", "a_family", "a_text", "b_model", "b_family", "b_text", "similarity")
-    swapped = kept.select("segment_id", *[F.col(f"{y}_{c}").alias(f"{x}_{c}") for x, y in (("a", "b"), ("b", "a")) for c in ("model", "family", "text")], "similarity")
-    return kept.unionByName(swapped)
+    """Similarity of every ordered pair of a segment's spoken hypotheses."""
+    n = F.size("said")
+    firsts = compared(hyp).select("segment_id", "said", "sims", F.posexplode("said").alias("i", "a"))
+    pairs = firsts.select("segment_id", "i", "a", F.posexplode("said").alias("j", "b"), F.slice("sims", F.col("i") * n + 1, n).alias("row")).filter("i <> j")
+    return pairs.select("segment_id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("model", "family", "text")], F.get("row", F.col("j")).alias("similarity"))
 
 
-def near_groups(pairs: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
-    """Each segment's near group: families, members, the weakest link, its anchor; and the greatest cross-family similarity.
+def _anchor(said: Column, sims: Column, threshold: float) -> Column:
+    """The best near group as a struct: for each anchor the closest of every other family joins where it reaches the threshold.
 
-    For each anchor the closest hypothesis of every other family joins where it
-    reaches the threshold; most members, then the strongest weakest link, then
-    the first model wins.
+    Most families, then the strongest weakest link, then the first model wins;
+    of equally close ones of a family, the first model joins.
     """
-    across = pairs.filter("a_family <> b_family")
-    closest = across.groupBy("segment_id", "a_model", "a_text", "b_family").agg(F.max("similarity").alias("similarity"), F.max_by("b_model", F.struct("similarity", F.expr("-ascii(b_model)"))).alias("b_model"))
-    met = F.col("similarity") >= threshold
-    anchors = closest.groupBy("segment_id", "a_model", "a_text").agg(F.count_if(met).alias("others"), F.min(F.when(met, F.col("similarity"))).alias("weakest"), F.array_sort(F.collect_set(F.when(met, F.col("b_model")))).alias("members"), F.max("similarity").alias("best"))
-    first = F.row_number().over(W.partitionBy("segment_id").orderBy(F.desc("others"), F.desc_nulls_last("weakest"), "a_model"))
-    highest = F.max("best").over(W.partitionBy("segment_id"))
-    ranked = anchors.withColumn("max_pair", highest).withColumn("nth", first).filter("nth = 1")
-    return ranked.select("segment_id", F.when(F.col("others") > 0, F.col("others") + 1).otherwise(0).alias("near_families"), "weakest", F.col("a_model").alias("anchor"), F.col("a_text").alias("anchor_text"), "members", "max_pair")
-
-
-def medoids(hyp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The spoken hypothesis most like all others together; the first model on ties."""
-    total = pairs.groupBy("segment_id", "a_model").agg(F.sum("similarity").alias("total")).withColumnRenamed("a_model", "model")
-    said = spoken(hyp).select("segment_id", "model", F.trim("text").alias("text")).join(total, ["segment_id", "model"], "left").na.fill(0.0, ["total"])
-    return said.groupBy("segment_id").agg(F.count("*").alias("spoken"), F.min_by(F.struct("model", "text"), F.struct((-F.col("total")).alias("t"), "model")).alias("m")).select("segment_id", "spoken", F.col("m.model").alias("medoid"), F.col("m.text").alias("medoid_text"))
-
-
-def status_counts(hyp: DataFrame) -> DataFrame:
-    return hyp.groupBy("segment_id").agg(
-        F.count("*").alias("results"), F.count_if(F.col("status") == "success").alias("successes"), F.count_if(F.col("status") == "abstained").alias("abstained"),
-        F.count_if(F.col("status") == "error").alias("errors"), F.array_sort(F.collect_set("family")).alias("all_families"),
-    )
+    size = F.size(said)
+
+    def group(a: Column, i: Column) -> Column:
+        others = F.transform(said, lambda b, j: F.struct((-F.get(sims, i * size + j)).alias("far"), b["model"].alias("model"), b["family"].alias("family")))
+        others = F.filter(others, lambda o: o["family"] != a["family"])
+        closest = F.transform(F.array_distinct(others["family"]), lambda f: F.array_min(F.filter(others, lambda o: o["family"] == f)))
+        met = F.filter(closest, lambda c: -c["far"] >= threshold)
+        weakest = F.when(F.size(met) > 0, -F.array_max(met["far"]))
+        return F.struct(
+            (-F.size(met)).alias("others"), F.coalesce(-weakest, F.lit(1.0)).alias("order"), a["model"].alias("anchor"), a["text"].alias("text"), weakest.alias("weakest"),
+            F.array_sort(F.concat(F.array(a["model"]), met["model"])).alias("members"), (-F.array_min(others["far"])).alias("best"),
+        )
+
+    groups = F.transform(said, group)
+    return F.struct(F.array_min(groups).alias("first"), F.array_max(F.transform(groups, lambda g: g["best"])).alias("max_pair"))
+
+
+def near_groups(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
+    """Each segment's near group: families (its anchor's own too), weakest link, anchor and members; and the greatest similarity across families."""
+    rows = compared(hyp).filter(F.size("said") > 0).withColumn("g", _anchor(F.col("said"), F.col("sims"), threshold))
+    first = F.col("g.first")
+    return rows.select("segment_id", (1 - first["others"]).alias("near_families"), first["weakest"].alias("weakest"), first["anchor"].alias("anchor"), first["text"].alias("anchor_text"), first["members"].alias("members"), F.col("g.max_pair").alias("max_pair"))
 
 
 def summary(hyp: DataFrame) -> DataFrame:
     """Counts by status and the top exact group of every segment: native expressions only."""
-    top = top_group(exact_groups(hyp)).select("segment_id", F.col("families").alias("exact_families"), F.col("providers").alias("exact_providers"), F.col("norm").alias("exact_norm"))
-    counts = status_counts(hyp).drop("all_families")
-    return counts.join(top, "segment_id", "left").na.fill(0, ["exact_families", "exact_providers"])
+    rows = by_segment(hyp).withColumn("top", _top(F.col("said")))
+    return rows.select("segment_id", *_counts(), F.coalesce(-F.col("top.f"), F.lit(0)).cast("long").alias("exact_families"), F.coalesce(-F.col("top.p"), F.lit(0)).cast("long").alias("exact_providers"), F.col("top.norm").alias("exact_norm"))
 
 
 def agreement(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
     """The whole agreement row of each segment, with its representative text.
 
     The representative is the top exact group's text where two families agree,
-    else the near group's anchor where that has two, else the medoid.
+    else the near group's anchor where that has two, else the medoid: the spoken
+    hypothesis most like all others together, the first model on ties.
     """
-    pairs = pair_similarities(hyp)
-    exact = top_group(exact_groups(hyp)).select("segment_id", F.col("families").alias("exact_families"), F.col("providers").alias("exact_providers"), F.col("text").alias("exact_text"))
-    rows = status_counts(hyp).join(exact, "segment_id", "left").join(near_groups(pairs, threshold), "segment_id", "left").join(medoids(hyp, pairs), "segment_id", "left")
-    rows = rows.na.fill(0, ["exact_families", "exact_providers", "near_families", "spoken"])
-    kind = F.when(F.col("exact_families") >= 2, "exact").when(F.col("near_families") >= 2, "near").when(F.col("spoken") == 1, "single").when(F.col("spoken") > 1, "medoid")
-    text = F.when(kind == "exact", F.col("exact_text")).when(kind == "near", F.col("anchor_text")).otherwise(F.col("medoid_text"))
-    return rows.select("segment_id", "results", "successes", "abstained", "errors", "exact_families", "exact_providers", "near_families", F.round("weakest", 4).alias("weakest"), F.round("max_pair", 4).alias("max_pair"), kind.alias("kind"), text.alias("representative"))
+    n = F.size("said")
+    total = lambda i: F.aggregate(F.slice("sims", i * n + 1, n), F.lit(0.0), lambda a, x: a + x)
+    medoid = F.array_min(F.transform("said", lambda h, i: F.struct((-total(i)).alias("t"), h["model"].alias("model"), h["text"].alias("text"))))
+    rows = compared(hyp).withColumns({"top": _top(F.col("said")), "g": F.when(n > 0, _anchor(F.col("said"), F.col("sims"), threshold)), "m": medoid})
+    families, near = F.coalesce(-F.col("top.f"), F.lit(0)), F.coalesce(1 - F.col("g.first.others"), F.lit(0))
+    kind = F.when(families >= 2, "exact").when(near >= 2, "near").when(n == 1, "single").when(n > 1, "medoid")
+    text = F.when(families >= 2, F.col("top.text")).when(near >= 2, F.col("g.first.text")).otherwise(F.col("m.text"))
+    return rows.select(
+        "segment_id", *_counts(), families.cast("long").alias("exact_families"), F.coalesce(-F.col("top.p"), F.lit(0)).cast("long").alias("exact_providers"), near.cast("long").alias("near_families"),
+        F.round("g.first.weakest", 4).alias("weakest"), F.round("g.max_pair", 4).alias("max_pair"), kind.alias("kind"), text.alias("representative"),
+    )
 
 
 def evidence(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
     """For each model: how it compares with what two or more other families agree on, and whether it speaks over silence."""
     groups = exact_groups(hyp).select("segment_id", "norm", "family_names", "providers")
-    said = spoken(hyp).select("segment_id", "model", "family", "tokens", "norm")
+    said = spoken(hyp).select("segment_id", "model", "family", "norm")
     mine = said.join(groups.withColumnRenamed("norm", "g_norm"), "segment_id").withColumn("others", F.size(F.array_except("family_names", F.array("family"))))
-    best = mine.filter("others >= 2").groupBy("segment_id", "model").agg(F.min_by("g_norm", F.struct((-F.col("others")).alias("o"), (-F.col("providers")).alias("p"), "g_norm")).alias("ref"), F.first("tokens").alias("tokens"))
-    scored = best.withColumn("similarity", token_similarity(F.col("tokens"), F.split("ref", " ")))
+    best = mine.filter("others >= 2").groupBy("segment_id", "model").agg(F.min_by("g_norm", F.struct((-F.col("others")).alias("o"), (-F.col("providers")).alias("p"), "g_norm")).alias("ref"), F.first("norm").alias("norm"))
+    scored = best.withColumn("similarity", token_similarity(F.col("norm"), F.col("ref")))
     heard = scored.groupBy("model").agg(F.count("*").alias("compared"), F.avg("similarity").alias("mean_similarity"), F.count_if(F.col("similarity") >= threshold).alias("near"), F.count_if(F.col("similarity") >= 0.9999).alias("exact"))
     speaks = hyp.join(said.select("segment_id", "model", F.lit(1).alias("spoke")), ["segment_id", "model"], "left").na.fill(0, ["spoke"])
     w = W.partitionBy("segment_id")

@@ -97,7 +97,7 @@ def quality_flags_native(spark: SparkSession, d: str) -> DataFrame:
 def quality_flags(spark: SparkSession, d: str) -> DataFrame:
     """All ten flags of every transmission that a model transcribed."""
     rows = hypotheses(spark, d).filter("status = 'success'")
-    return rows.select("segment_id", "model", quality.flags(F.col("text"), F.lit(4000), F.lit("en"), F.lit("en")).alias("flags"))
+    return quality.with_flags(rows.select("segment_id", "model", "text"), "text", F.lit(4000), F.lit("en"), F.lit("en")).drop("text")
 
 
 @query("flag_counts_unnest")
@@ -145,7 +145,7 @@ def lcs_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("near_groups")
 def near_groups(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.near_groups(agreement.pair_similarities(hypotheses(spark, d))).select("segment_id", "near_families", "weakest", "anchor", "max_pair")
+    return agreement.near_groups(hypotheses(spark, d)).select("segment_id", "near_families", "weakest", "anchor", "max_pair")
 
 
 @query("medoid_representative")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 UTTERANCE_WORDS = 16
+#: Transmissions of one document: more than an array of words can hold in a row.
+MOST_UTTERANCES = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +56,11 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """segment_id, doc_id, n_len (characters) and words of every 16 words of every document."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.array_remove(F.split("text", SPACE), "").alias("ws"))
-    starts = F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / UTTERANCE_WORDS).cast("int"))
-    cut = docs.filter(F.size("ws") > 0).select("doc_id", "ws", F.explode(starts).alias("k"))
-    return cut.select(
-        (F.col("doc_id") * 100000 + F.col("k")).alias("segment_id"), "doc_id", F.slice("ws", F.col("k") * UTTERANCE_WORDS + 1, UTTERANCE_WORDS).alias("words")
-    ).withColumn("n_len", F.char_length(F.concat_ws(" ", "words")))
+    last = F.floor((F.size("ws") - 1) / UTTERANCE_WORDS).cast("int")
+    # Each row carries its own words only.
+    cuts = F.when(F.size("ws") > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("ws", k * UTTERANCE_WORDS + 1, UTTERANCE_WORDS)))
+    cut = docs.select("doc_id", cuts.alias("cuts")).select("doc_id", F.posexplode("cuts").alias("k", "words"))
+    return cut.select((F.col("doc_id") * MOST_UTTERANCES + F.col("k")).alias("segment_id"), "doc_id", "words").withColumn("n_len", F.char_length(F.concat_ws(" ", "words")))
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ SQL = {
  FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
     "hyp": r"""dw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 cut AS (SELECT doc_id, ws, unnest(range(0, (len(ws) - 1) // 16 + 1)) AS k FROM dw WHERE len(ws) > 0),
-tx AS (SELECT doc_id * 100000 + k AS segment_id, doc_id, ws[k * 16 + 1 : k * 16 + 16] AS w FROM cut),
+tx AS (SELECT doc_id * 134217728 + k AS segment_id, doc_id, ws[k * 16 + 1 : k * 16 + 16] AS w FROM cut),
 tl AS (SELECT *, length(array_to_string(w, ' ')) AS n_len FROM tx),
 said AS (SELECT segment_id, 'canary-a' AS model, 'canary' AS family, array_to_string(w[1:13], ' ') AS text FROM tl
  UNION ALL SELECT segment_id, 'canary-b', 'canary', concat(lower(array_to_string(w[1:13], ' ')), '.') FROM tl
