@@ -29,6 +29,8 @@ from squelch.llm.shared import pieces, stored
 from squelch.llm.tokens import encoder
 
 BLOCK = 512
+#: Cuts of text that each process remembers, some 200 MB: few of its cuts are then encoded twice.
+MEMORY = 1_000_000
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -135,7 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text").drop("h")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, MEMORY)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for some in pieces(batch, "text", 1_000_000):

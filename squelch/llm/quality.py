@@ -2,8 +2,9 @@
 
 Each rule rejects a document by features of its text. Costs and rejection
 rates are estimated on a bounded sample; the rules then run in the order of
-rejection per cost, and a document that one rule rejects is not measured for
-the later ones. The order can't change a verdict, only how fast it comes.
+rejection per cost, each given the rules before it, and a document that one
+rule rejects is not measured for the later ones. The order can't change a
+verdict, only how fast it comes.
 """
 
 from __future__ import annotations
@@ -14,15 +15,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 200  # documents for estimating costs and rejections
+from squelch.llm.shared import stored
+
+SAMPLE_ROWS = 300  # documents, about, for estimating costs and rejections
 _SPACE = r"[\\x20\\x09-\\x0D]+"  # as written in a SQL string
 
 #: name -> (features it needs, SQL). In order of need; `text` is never null here.
 #:
 #: Repeated words: each 3-word window gets 39 bits of a hash above 24 bits of
-#: its place; sorting these longs brings equal windows together; neighbours
-#: with equal bits are compared word by word. A text beyond 2^24 words takes
-#: the sort of (hash, place) pairs instead.
+#: its place; sorting these longs brings equal windows together, and neighbours
+#: with equal bits are compared word by word. Where two different hashes share
+#: the 39 bits, or a text has 2^24 windows, places are sorted by the whole hash
+#: and all neighbours are compared word by word.
 FEATURES: dict[str, tuple[tuple[str, ...], str]] = {
     "words": ((), f"array_remove(split(text, '{_SPACE}'), '')"),
     "n_words": (("words",), "cast(size(words) as long)"),
@@ -33,13 +37,18 @@ FEATURES: dict[str, tuple[tuple[str, ...], str]] = {
     "n_lines": (("lines",), "cast(size(lines) as long)"),
     "n_dup_lines": (("lines",), "cast(size(lines) - size(array_distinct(lines)) as long)"),
     "hashes": (("words",), "case when size(words) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(words) - 3), i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2))) end"),
+    "repeats": (("hashes",), "size(array_distinct(hashes)) < size(hashes)"),
+    "narrow": (
+        ("hashes", "repeats"),
+        "not repeats or (size(hashes) < 16777216 and size(array_distinct(transform(hashes, h -> shiftrightunsigned(h, 25)))) = size(array_distinct(hashes)))",
+    ),
     "sorted": (
-        ("hashes",),
-        "case when size(array_distinct(hashes)) = size(hashes) then cast(array() as array<bigint>)"
-        " when size(hashes) < 16777216 then sort_array(transform(hashes, (h, i) -> (shiftrightunsigned(h, 25) << 24) | i))"
-        " else transform(sort_array(transform(hashes, (h, i) -> struct(h, i))), (x, i) -> (shiftrightunsigned(x.h, 31) << 31) | x.i) end",
+        ("hashes", "repeats", "narrow"),
+        "case when not repeats then cast(array() as array<bigint>)"
+        " when narrow then sort_array(transform(hashes, (h, i) -> (shiftrightunsigned(h, 25) << 24) | i))"
+        " else transform(sort_array(transform(hashes, (h, i) -> struct(h, i))), x -> cast(x.i as bigint)) end",
     ),
-    "bits": (("hashes",), "case when size(hashes) < 16777216 then 24 else 31 end"),
+    "bits": (("narrow",), "case when narrow then 24 else 31 end"),
     "places": (
         ("sorted", "bits", "words"),
         "array_sort(flatten(transform(sequence(1, greatest(size(sorted) - 1, 1)), i -> case when"
@@ -49,7 +58,9 @@ FEATURES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "n_repeat_words": (("places",), "aggregate(transform(places, (p, i) -> least(3L, coalesce(get(places, i + 1) - p, 3L))), 0L, (a, x) -> a + x)"),
 }
-_INNER = ("words", "lines", "hashes", "sorted", "bits", "places")
+_INNER = ("words", "lines", "hashes", "repeats", "narrow", "sorted", "bits", "places")
+#: What the contract shows of every document; other features are measured only for documents that are still in.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -104,46 +115,76 @@ def measured(docs: DataFrame, names: tuple[str, ...], text: str = "text", only_i
 
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Rules by rejection per cost on the first ``sample_rows`` documents read.
+    """Rules by rejection per cost, each among what the rules before it leave, on a sample by a hash of the row.
 
     Cost is the time of measuring and judging alone, less that of reading the
-    sample. Only speed depends on it. Returns dicts of name, cost, rejected.
+    sample. Only speed depends on it. The sample is stored, not collected; the
+    driver sees one count for each combination of verdicts. Returns dicts of
+    rule, cost, rejected (the share of what is left).
     """
-    sample = docs.limit(sample_rows).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    kept = spark.createDataFrame([(r.text,) for r in sample.collect()], "text string").coalesce(1)
+    n = docs.count()
+    share = min(1.0, sample_rows / max(n, 1))
+    some = docs.filter(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    kept = stored(some.select(F.coalesce(F.col(text), F.lit("")).alias("text")), "rule-sample").coalesce(1)
 
-    def timed(rule: Rule | None) -> tuple[float, int, int]:
+    def timed(rule: Rule | None) -> float:
         frame = kept if rule is None else measured(kept, rule.needs)
-        query = frame.agg(F.count("*").alias("n"), F.sum(F.length("text")) if rule is None else F.count_if(F.expr(rule.rejects)))
+        query = frame.agg(F.sum(F.length("text")) if rule is None else F.count_if(F.expr(rule.rejects)))
         query.collect()  # compiles
         began = time.perf_counter()
-        n, x = query.collect()[0]
-        return time.perf_counter() - began, n, x or 0
-
-    base, n, _ = timed(None)
-    found = []
-    for rule in rules:
-        took, _, rejected = timed(rule)
-        found.append({"rule": rule, "cost": max(took - base, 1e-4), "rejected": rejected / max(n, 1)})
-    return sorted(found, key=lambda x: (-x["rejected"] / x["cost"], x["cost"]))
+        query.collect()
+        return time.perf_counter() - began
+
+    verdicts = measured(kept, tuple(x for r in rules for x in r.needs)).select(F.concat(*[F.when(F.expr(r.rejects), "1").otherwise("0") for r in rules]).alias("v"))
+    left = {r.v: r["count"] for r in verdicts.groupBy("v").count().collect()}  # at most 2 ** rules, and at most the sample
+    base = timed(None)
+    cost = [max(timed(r) - base, 1e-4) for r in rules]
+    found, todo = [], list(range(len(rules)))
+    while todo:
+        size = max(sum(left.values()), 1)
+        rejected = {k: sum(c for v, c in left.items() if v[k] == "1") / size for k in todo}
+        k = min(todo, key=lambda k: (-rejected[k] / cost[k], cost[k]))
+        found.append({"rule": rules[k], "cost": cost[k], "rejected": rejected[k]})
+        left = {v: c for v, c in left.items() if v[k] == "0"}
+        todo.remove(k)
+    return found
+
+
+def _cascade(frame: DataFrame, order: list[Rule], have: set[str]) -> tuple[DataFrame, str]:
+    """The rules one after another over a frame with ``text``; gives the frame and the column that says what is left.
+
+    A feature that isn't there yet is measured only where all earlier rules passed.
+    """
+    frame, have = frame.withColumn("in0", F.lit(True)), set(have)
+    for k, rule in enumerate(order, 1):
+        new = [x for x in _needed(rule.needs) if x not in have]
+        level: dict[str, int] = {}
+        for name in new:
+            level[name] = 1 + max([0, *(level.get(x, 0) for x in FEATURES[name][0])])
+        for depth in range(1, max(level.values(), default=0) + 1):
+            frame = frame.withColumns({x: F.expr(f"case when in{k - 1} then {FEATURES[x][1]} end") for x in new if level[x] == depth})
+        have |= set(new)
+        frame = frame.withColumn(f"in{k}", F.expr(f"in{k - 1} and not ({rule.rejects})"))
+    return frame, f"in{len(order)}"
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All features of every document and the cascade's verdict (``base_failed``, ``kept``).
+    """The features of ``SHOWN`` of every document, ``base_failed``, and the cascade's verdict ``kept``.
 
-    A null or empty text has no words and fails the first base rule. Repeated
-    rows are judged alike. Columns of the input come as ``doc`` (a struct), so
-    names can't clash.
+    The base rules judge every document by these features; the other rules run
+    as a cascade over what is left, and what they need beyond is measured only
+    there. A null or empty text has no words and fails the first base rule.
+    Repeated rows are judged alike. Columns of the input come as ``doc`` (a
+    struct), so names can't clash.
     """
     order = [x["rule"] for x in rule_order(docs, rules, text)]
     base = " or ".join(f"({r.rejects})" for r in rules if r.name in BASE)
-    cascade = " ".join(f"when {r.rejects} then false" for r in order)
     frame = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    frame = measured(frame, tuple(x for r in rules for x in r.needs))
-    shown = [x for x in FEATURES if x in frame.columns and x not in _INNER]
+    frame = measured(frame, SHOWN).withColumn("base_failed", F.expr(base))
+    first = Rule("base", SHOWN, "base_failed")
+    frame, left = _cascade(frame, [first, *(r for r in order if r.name not in BASE)], set(_needed(SHOWN)))
     # A generator keeps later filters from copying the chain of features into themselves.
-    row = F.struct("doc", *shown, F.expr(base).alias("base_failed"), F.expr(f"case {cascade} else true end").alias("kept"))
+    row = F.struct("doc", *SHOWN, "base_failed", F.col(left).alias("kept"))
     return frame.select(F.explode(F.array(row)).alias("row")).select("row.*")
 
 
@@ -153,18 +194,9 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     The cascade stops at the first rejection: a feature is measured only for
     documents that are still in.
     """
-    frame = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(True).alias("in0"))
-    have: set[str] = set()
-    for k, rule in enumerate((x["rule"] for x in rule_order(docs, rules, text)), 1):
-        new = [x for x in _needed(rule.needs) if x not in have]
-        level: dict[str, int] = {}
-        for name in new:
-            level[name] = 1 + max([0, *(level.get(x, 0) for x in FEATURES[name][0])])
-        for depth in range(1, max(level.values(), default=0) + 1):
-            frame = frame.withColumns({x: F.expr(f"case when in{k - 1} then {FEATURES[x][1]} end") for x in new if level[x] == depth})
-        have |= set(new)
-        frame = frame.withColumn(f"in{k}", F.expr(f"in{k - 1} and not ({rule.rejects})"))
+    frame = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    frame, left = _cascade(frame, [x["rule"] for x in rule_order(docs, rules, text)], set())
     # A generator stands between the features and the filter: Catalyst would
     # else copy the chain of features into the filter, once for each use.
-    frame = frame.select(F.explode(F.array(F.struct("doc", F.col(f"in{k}").alias("keep")))).alias("row"))
+    frame = frame.select(F.explode(F.array(F.struct("doc", F.col(left).alias("keep")))).alias("row"))
     return frame.filter("row.keep").select("row.doc.*")

@@ -39,19 +39,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
-#: Cuts that a process remembers before it starts anew (some 200 bytes each), and the longest of them.
+#: Cuts that a process remembers before it starts anew (some 200 bytes each), unless the caller says otherwise; the longest of them.
 MEMORY, LONGEST = 400_000, 48
 
 
 class Encoder:
     """ids as little-endian uint32 bytes, equal to the library's for the whole text (``add_special_tokens=False``)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = MEMORY):
         from tokenizers import Tokenizer
 
+        self.room = room
+
         self.tokenizer = Tokenizer.from_file(path)
-        special = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = re.compile("|".join(re.escape(x.content) for x in special) or r"(?!)", re.IGNORECASE)
+        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE)
+        self.hint = re.match(r"[^\w\s]*", os.path.commonprefix(special))[0]  # marks that all of them begin with
         self.blanks_count = "Split" not in str(self.tokenizer.pre_tokenizer)
         self.units = Tokenizer(self.tokenizer.model)  # the merges alone: its input is cut and mapped already
         self.letters = _byte_letters()
@@ -59,7 +62,7 @@ class Encoder:
 
     def cuts(self, text: str) -> list[str] | None:
         """The cuts of a text; None if it has to be encoded as a whole."""
-        if self.special.search(text):
+        if self.hint in text and self.special.search(text):
             return None
         if not self.blanks_count:  # this one drops white space: any ASCII white space is a safe cut
             return _BARE_UNITS.findall(text)
@@ -127,7 +130,7 @@ class Encoder:
         cut = [self.cuts(x) for x in texts]
         every = set().union(*(x for x in cut if x))
         missing = every.difference(self.memory)
-        if len(self.memory) + len(missing) > MEMORY:
+        if len(self.memory) + len(missing) > self.room:
             self.memory.clear()
             missing = every
         self.learn(list(missing))
@@ -145,8 +148,8 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, room: int = MEMORY) -> Encoder:
     """One for each path and process."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, room)
     return _encoders[path]

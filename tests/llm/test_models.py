@@ -78,6 +78,26 @@ def test_quality_features(spark, odd, odd_rows, empty):
     assert quality.judged(empty).count() == 0 and quality.keep_good(empty).columns == empty.columns
 
 
+def test_rules_are_ordered_by_what_is_left(spark):
+    rows = [(k, " ".join(["word"] * 60)) for k in range(30)] + [(100 + k, "few words") for k in range(10)]
+    rows += [(200 + k, " ".join(f"w{j}" for j in range(60))) for k in range(60)]
+    order = quality.rule_order(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["rule"].name for x in order} == {r.name for r in quality.RULES}
+    left = 1.0
+    for x in order:
+        left *= 1 - x["rejected"]
+    assert left == pytest.approx(0.6)  # the shares are of what the rules before leave
+    assert max(x["rejected"] / x["cost"] for x in order) == order[0]["rejected"] / order[0]["cost"]
+
+
+def test_windows_that_share_hash_bits_are_told_apart(spark, monkeypatch):
+    """With a hash of few bits, equal windows are still found, and different ones are not."""
+    narrow = {k: (needs, sql.replace("xxhash64(get(words, i), get(words, i + 1), get(words, i + 2))", "(length(get(words, i)) + length(get(words, i + 2)) * 2)")) for k, (needs, sql) in quality.FEATURES.items()}
+    monkeypatch.setattr(quality, "FEATURES", {**narrow, "narrow": (("hashes", "repeats"), "not repeats")})
+    text = "a b c d e f a b c g h i j a b c k"
+    assert quality.measured(spark.createDataFrame([(text,)], "text string"), ("n_repeat_words",)).first().n_repeat_words == 9
+
+
 def test_quality_main_path_is_native(spark, odd):
     plan = quality.judged(odd)._jdf.queryExecution().toString()
     assert not re.search(r"ArrowEval|BatchEvalPython|MapInArrow|MapInPandas|FlatMapGroups", plan)

@@ -39,11 +39,10 @@ def test_encoder_equals_the_library(name):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_memory_starts_anew_and_forgets_long_words(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMORY", 50)
+def test_memory_starts_anew_and_forgets_long_words():
     rng = random.Random(2)
     path = tokenizer_path("byte_bpe_50k.json")
-    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path, 50)
     for _ in range(20):
         texts = [" ".join(f"{rng.choice('abcd')}{rng.choice(['ing,', 'er', 'ly.', 'x' * 100])}" for _ in range(30)) for _ in range(3)]
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
