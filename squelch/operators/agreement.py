@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from squelch.functions.lexicon import NEAR_THRESHOLD
-from squelch.functions.sequence import similarities, token_similarity
+from squelch.functions.sequence import compared_texts, token_similarity
 from squelch.functions.text import evidence_tokens
 
 
@@ -57,47 +57,25 @@ def _counts() -> list[Column]:
     return [F.size("every").cast("long").alias("results"), of("success").alias("successes"), of("abstained").alias("abstained"), of("error").alias("errors")]
 
 
-def compared(hyp: DataFrame) -> DataFrame:
-    """``by_segment`` with ``sims``: the similarity of each spoken hypothesis to each, row by row."""
-    return by_segment(hyp).withColumn("sims", similarities(F.col("said")["norm"]))
+def compared(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
+    """``by_segment`` with ``near``: the best near group, and the similarity of each spoken hypothesis to each, row by row."""
+    return by_segment(hyp).withColumn("near", compared_texts(F.col("said")["norm"], F.col("said")["family"], threshold))
 
 
 def pair_similarities(hyp: DataFrame) -> DataFrame:
     """Similarity of every ordered pair of a segment's spoken hypotheses."""
     n = F.size("said")
-    firsts = compared(hyp).select("segment_id", "said", "sims", F.posexplode("said").alias("i", "a"))
-    pairs = firsts.select("segment_id", "i", "a", F.posexplode("said").alias("j", "b"), F.slice("sims", F.col("i") * n + 1, n).alias("row")).filter("i <> j")
+    firsts = compared(hyp).select("segment_id", "said", "near.square", F.posexplode("said").alias("i", "a"))
+    pairs = firsts.select("segment_id", "i", "a", F.posexplode("said").alias("j", "b"), F.slice("square", F.col("i") * n + 1, n).alias("row")).filter("i <> j")
     return pairs.select("segment_id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("model", "family", "text")], F.get("row", F.col("j")).alias("similarity"))
 
 
-def _anchor(said: Column, sims: Column, threshold: float) -> Column:
-    """The best near group as a struct: for each anchor the closest of every other family joins where it reaches the threshold.
-
-    Most families, then the strongest weakest link, then the first model wins;
-    of equally close ones of a family, the first model joins.
-    """
-    size = F.size(said)
-
-    def group(a: Column, i: Column) -> Column:
-        others = F.transform(said, lambda b, j: F.struct((-F.get(sims, i * size + j)).alias("far"), b["model"].alias("model"), b["family"].alias("family")))
-        others = F.filter(others, lambda o: o["family"] != a["family"])
-        closest = F.transform(F.array_distinct(others["family"]), lambda f: F.array_min(F.filter(others, lambda o: o["family"] == f)))
-        met = F.filter(closest, lambda c: -c["far"] >= threshold)
-        weakest = F.when(F.size(met) > 0, -F.array_max(met["far"]))
-        return F.struct(
-            (-F.size(met)).alias("others"), F.coalesce(-weakest, F.lit(1.0)).alias("order"), a["model"].alias("anchor"), a["text"].alias("text"), weakest.alias("weakest"),
-            F.array_sort(F.concat(F.array(a["model"]), met["model"])).alias("members"), (-F.array_min(others["far"])).alias("best"),
-        )
-
-    groups = F.transform(said, group)
-    return F.struct(F.array_min(groups).alias("first"), F.array_max(F.transform(groups, lambda g: g["best"])).alias("max_pair"))
-
-
 def near_groups(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
     """Each segment's near group: families (its anchor's own too), weakest link, anchor and members; and the greatest similarity across families."""
-    rows = compared(hyp).filter(F.size("said") > 0).withColumn("g", _anchor(F.col("said"), F.col("sims"), threshold))
-    first = F.col("g.first")
-    return rows.select("segment_id", (1 - first["others"]).alias("near_families"), first["weakest"].alias("weakest"), first["anchor"].alias("anchor"), first["text"].alias("anchor_text"), first["members"].alias("members"), F.col("g.max_pair").alias("max_pair"))
+    rows = compared(hyp, threshold).filter("near.anchor is not null")
+    anchor = F.get("said", F.col("near.anchor"))
+    members = F.transform(F.array_sort(F.concat(F.array("near.anchor"), "near.joined")), lambda k: F.get("said", k)["model"])
+    return rows.select("segment_id", (F.size("near.joined") + 1).alias("near_families"), "near.weakest", anchor["model"].alias("anchor"), anchor["text"].alias("anchor_text"), members.alias("members"), "near.max_pair")
 
 
 def summary(hyp: DataFrame) -> DataFrame:
@@ -113,16 +91,16 @@ def agreement(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
     else the near group's anchor where that has two, else the medoid: the spoken
     hypothesis most like all others together, the first model on ties.
     """
-    n = F.size("said")
-    total = lambda i: F.aggregate(F.slice("sims", i * n + 1, n), F.lit(0.0), lambda a, x: a + x)
+    n, said = F.size("said"), F.col("said")
+    total = lambda i: F.aggregate(F.slice("near.square", i * n + 1, n), F.lit(0.0), lambda a, x: a + x)
     medoid = F.array_min(F.transform("said", lambda h, i: F.struct((-total(i)).alias("t"), h["model"].alias("model"), h["text"].alias("text"))))
-    rows = compared(hyp).withColumns({"top": _top(F.col("said")), "g": F.when(n > 0, _anchor(F.col("said"), F.col("sims"), threshold)), "m": medoid})
-    families, near = F.coalesce(-F.col("top.f"), F.lit(0)), F.coalesce(1 - F.col("g.first.others"), F.lit(0))
+    rows = compared(hyp, threshold).withColumns({"top": _top(said), "m": medoid})
+    families, near = F.coalesce(-F.col("top.f"), F.lit(0)), F.when(n > 0, F.size("near.joined") + 1).otherwise(0)
     kind = F.when(families >= 2, "exact").when(near >= 2, "near").when(n == 1, "single").when(n > 1, "medoid")
-    text = F.when(families >= 2, F.col("top.text")).when(near >= 2, F.col("g.first.text")).otherwise(F.col("m.text"))
+    text = F.when(families >= 2, F.col("top.text")).when(near >= 2, F.get("said", F.col("near.anchor"))["text"]).otherwise(F.col("m.text"))
     return rows.select(
         "segment_id", *_counts(), families.cast("long").alias("exact_families"), F.coalesce(-F.col("top.p"), F.lit(0)).cast("long").alias("exact_providers"), near.cast("long").alias("near_families"),
-        F.round("g.first.weakest", 4).alias("weakest"), F.round("g.max_pair", 4).alias("max_pair"), kind.alias("kind"), text.alias("representative"),
+        F.round("near.weakest", 4).alias("weakest"), F.round("near.max_pair", 4).alias("max_pair"), kind.alias("kind"), text.alias("representative"),
     )
 
 

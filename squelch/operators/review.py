@@ -88,8 +88,10 @@ def query(rows: DataFrame, filters: Filters) -> DataFrame:
 
 def ordered(rows: DataFrame, key: str, descending: bool, offset: int = 0, limit: int = MOST_ROWS) -> DataFrame:
     """A page; nulls last either way, ids break ties in the same direction."""
+    if limit > MOST_ROWS:
+        raise ValueError(f"a page has at most {MOST_ROWS} rows")
     by = [F.col(key).desc_nulls_last(), F.col("segment_id").desc()] if descending else [F.col(key).asc_nulls_last(), F.col("segment_id").asc()]
-    return rows.orderBy(*by).offset(offset).limit(min(limit, MOST_ROWS))
+    return rows.orderBy(*by).offset(offset).limit(limit)
 
 
 def matching_ids(scopes: dict[str, tuple[DataFrame, str, str]], text: str) -> DataFrame:

@@ -53,13 +53,20 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("s_suppkey as model_id", "s_name as logical_name", "n_name as family", "s_acctbal >= 0 as ensemble_eligible")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Deals a table of fewer splits than cores over all cores; larger tables stay as they are read."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < 2 * cores else frame
+
+
 def transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """segment_id, doc_id, n_len (characters) and words of every 16 words of every document."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.array_remove(F.split("text", SPACE), "").alias("ws"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")).select("doc_id", F.array_remove(F.split("text", SPACE), "").alias("ws"))
     last = F.floor((F.size("ws") - 1) / UTTERANCE_WORDS).cast("int")
     # Each row carries its own words only.
     cuts = F.when(F.size("ws") > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("ws", k * UTTERANCE_WORDS + 1, UTTERANCE_WORDS)))
-    cut = docs.select("doc_id", cuts.alias("cuts")).select("doc_id", F.posexplode("cuts").alias("k", "words"))
+    # The outer form: for the other, Catalyst infers a filter on the array and copies the split into it, once for each use.
+    cut = docs.select("doc_id", cuts.alias("cuts")).select("doc_id", F.posexplode_outer("cuts").alias("k", "words")).filter("words is not null")
     return cut.select((F.col("doc_id") * MOST_UTTERANCES + F.col("k")).alias("segment_id"), "doc_id", "words").withColumn("n_len", F.char_length(F.concat_ws(" ", "words")))
 
 
