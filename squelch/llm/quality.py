@@ -26,7 +26,7 @@ _SPACE = r"[\\x20\\x09-\\x0D]+"  # as written in a SQL string
 #: its place; sorting these longs brings equal windows together, and neighbours
 #: with equal bits are compared word by word. Where two different hashes share
 #: the 39 bits, or a text has 2^24 windows, places are sorted by the whole hash
-#: and all neighbours are compared word by word.
+#: and then the words, and all neighbours are compared word by word.
 FEATURES: dict[str, tuple[tuple[str, ...], str]] = {
     "words": ((), f"array_remove(split(text, '{_SPACE}'), '')"),
     "n_words": (("words",), "cast(size(words) as long)"),
@@ -43,10 +43,10 @@ FEATURES: dict[str, tuple[tuple[str, ...], str]] = {
         "not repeats or (size(hashes) < 16777216 and size(array_distinct(transform(hashes, h -> shiftrightunsigned(h, 25)))) = size(array_distinct(hashes)))",
     ),
     "sorted": (
-        ("hashes", "repeats", "narrow"),
+        ("hashes", "repeats", "narrow", "words"),
         "case when not repeats then cast(array() as array<bigint>)"
         " when narrow then sort_array(transform(hashes, (h, i) -> (shiftrightunsigned(h, 25) << 24) | i))"
-        " else transform(sort_array(transform(hashes, (h, i) -> struct(h, i))), x -> cast(x.i as bigint)) end",
+        " else transform(sort_array(transform(hashes, (h, i) -> struct(h, slice(words, i + 1, 3) as w, i))), x -> cast(x.i as bigint)) end",
     ),
     "bits": (("narrow",), "case when narrow then 24 else 31 end"),
     "places": (
