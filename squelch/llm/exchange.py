@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from squelch.llm.shared import pieces, text_buffer
 
-CHUNK_BYTES = 2_000_000
-CHUNKS_PER_BUCKET = 8
+CHUNK_BYTES = 1_000_000
+CHUNKS_PER_BUCKET = 16
 #: A row number is that of its chunk and these bits for its place there; a chunk has fewer rows.
 PLACE_BITS = 15
 
