@@ -30,6 +30,14 @@ class Filters:
     include_benchmark: bool = False
     has_error: bool | None = None
     has_abstention: bool | None = None
+    has_error_or_abstention: bool | None = None
+    stations: list[str] | None = None
+    any_model: list[str] | None = None
+    any_flag: list[str] | None = None
+    span_labels: list[str] | None = None
+    has_spans: bool | None = None
+    partial_usable: bool | None = None
+    sample_ids: list[int] | None = None
 
 
 def partial_agreement() -> Column:
@@ -41,7 +49,7 @@ def predicates(f: Filters) -> list[Column]:
     found: list[Column] = []
     if not f.include_benchmark:
         found.append(F.col("role") == "corpus")
-    for name, values in (("source_id", f.sources), ("channel", f.channels)):
+    for name, values in (("source_id", f.sources), ("channel", f.channels), ("station", f.stations), ("segment_id", f.sample_ids)):
         if values is not None:
             found.append(F.col(name).isin(list(values)))
     if f.utc_from is not None:
@@ -56,26 +64,41 @@ def predicates(f: Filters) -> list[Column]:
     found += [F.col(c) <= v for c, v in f.at_most.items()]
     if f.partial_agreement is not None:
         found.append(partial_agreement() if f.partial_agreement else ~partial_agreement())
-    if f.any_family is not None:
-        found.append(F.arrays_overlap(F.col("all_families"), F.array(*[F.lit(x) for x in f.any_family])))
+    for name, values in (("all_families", f.any_family), ("all_models", f.any_model), ("flags", f.any_flag), ("span_labels", f.span_labels)):
+        if values is not None:
+            found.append(F.arrays_overlap(F.col(name), F.array(*[F.lit(x) for x in values])))
+    spans = F.coalesce(F.size("span_labels"), F.lit(-1)) > 0
+    if f.has_spans is not None:
+        found.append(spans if f.has_spans else ~spans)
+    if f.partial_usable is not None:
+        usable = F.coalesce(F.arrays_overlap(F.coalesce("span_labels", F.array().cast("array<string>")), F.array(*map(F.lit, USABLE))), F.lit(False)) & ~F.coalesce(F.col("label"), F.lit("none")).isin(*USABLE)
+        found.append(usable if f.partial_usable else ~usable)
+    if f.has_error_or_abstention is not None:
+        problem = (F.col("errors") > 0) | (F.col("abstained") > 0)
+        found.append(problem if f.has_error_or_abstention else ~problem)
     for column, wanted in (("errors", f.has_error), ("abstained", f.has_abstention)):
         if wanted is not None:
             found.append(F.col(column) > 0 if wanted else F.col(column) == 0)
     return found
 
 
-#: Named views of the workbench.
-PRESETS = {
-    "all": Filters(),
-    "unreviewed": Filters(statuses=["unreviewed"]),
-    "strong_agreement": Filters(at_least={"exact_families": 3}),
-    "exact_agreement": Filters(at_least={"exact_families": 2}),
-    "near_agreement": Filters(at_least={"near_families": 2}, at_most={"exact_families": 1}),
-    "partial_agreement": Filters(partial_agreement=True),
-    "disagreement": Filters(at_most={"exact_families": 1, "near_families": 1}, at_least={"successes": 2}),
-    "with_errors": Filters(has_error=True),
-    "with_abstentions": Filters(has_abstention=True),
-    "benchmark_too": Filters(include_benchmark=True),
+#: Labels that make a transcript usable for training.
+USABLE = ("gold", "silver")
+#: The saved views of the workbench, by key.
+VIEWS = {
+    "exact-2-families-3-words": Filters(at_least={"exact_families": 2, "words": 3}),
+    "partial-agreement": Filters(partial_agreement=True),
+    "utterance-3-families": Filters(at_least={"utterance_families": 3}),
+    "exact-2-families": Filters(at_least={"exact_families": 2}),
+    "exact-3-providers": Filters(at_least={"exact_providers": 3}),
+    "near-3-families": Filters(at_least={"near_families": 3}),
+    "high-agreement-unreviewed": Filters(at_least={"exact_families": 2}, statuses=["unreviewed"]),
+    "human-corrected": Filters(statuses=["corrected"]),
+    "silver-candidates": Filters(labels=["candidate", "silver"]),
+    "gold": Filters(labels=["gold"]),
+    "disagreement": Filters(at_least={"successes": 2}, at_most={"exact_families": 1, "near_families": 1}),
+    "partial-usable": Filters(partial_usable=True),
+    "errors-abstentions": Filters(has_error_or_abstention=True),
 }
 
 

@@ -226,7 +226,17 @@ def eval_agreement_bins(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.agreement_bins(_scored(spark, d), pairs.groupBy("segment_id").agg(F.avg("similarity").alias("mean_similarity")))
 
 
-@query("entity_recall")
+_SCORED_TEXT = "' ' || array_to_string(" + _SCORING.format("{}") + ", ' ') || ' '"
+
+
+@query(
+    "entity_recall",
+    "spans AS (SELECT segment_id, 'callsign' AS kind, array_to_string(w[1:2], ' ') AS said FROM tl WHERE len(w) >= 6 UNION ALL SELECT segment_id, 'command', array_to_string(w[3:5], ' ') FROM tl WHERE len(w) >= 6),\n"
+    "asked AS (SELECT segment_id, kind, " + _SCORED_TEXT.replace("{}", "said") + " AS span FROM spans),\n"
+    "told AS (SELECT segment_id, model, " + _SCORED_TEXT.replace("{}", "CASE WHEN status = 'success' THEN text ELSE '' END") + " AS t FROM hyp)\n"
+    "SELECT model, kind, count(*) AS spans, count(*) FILTER (contains(t, span)) AS recovered, round(count(*) FILTER (contains(t, span))::DOUBLE / count(*), 4) AS recall FROM asked JOIN told USING (segment_id) WHERE trim(span) <> '' GROUP BY model, kind",
+    "hyp",
+)
 def entity_recall(spark: SparkSession, d: str) -> DataFrame:
     tagged = transmissions(spark, d).filter(F.size("words") >= 6).select(
         "segment_id", F.concat(F.lit("[#callsign]"), F.concat_ws(" ", F.slice("words", 1, 2)), F.lit("[/#callsign] [#command]"), F.concat_ws(" ", F.slice("words", 3, 3)), F.lit("[/#command]")).alias("text")
@@ -269,13 +279,13 @@ def _review_sql(where: str, tail: str = "") -> str:
 
 
 _FILTERS = {
-    "review_default": (review.PRESETS["all"], "role = 'corpus'"),
+    "review_default": (review.Filters(), "role = 'corpus'"),
     "review_time_channel": (review.Filters(channels=["TWR", "APP"], utc_from="1995-01-01 00:00:00", utc_to="1997-01-01 00:00:00"), "role = 'corpus' AND channel IN ('TWR', 'APP') AND capture_start >= TIMESTAMP '1995-01-01' AND capture_start < TIMESTAMP '1997-01-01'"),
     "review_disagreement": (review.Filters(at_most={"exact_families": 1}, at_least={"utterance_families": 2}), "role = 'corpus' AND exact_families <= 1 AND utterance_families >= 2"),
-    "review_partial_agreement": (review.PRESETS["partial_agreement"], "role = 'corpus' AND utterance_families >= 2 AND exact_families < 2"),
+    "review_partial_agreement": (review.VIEWS["partial-agreement"], "role = 'corpus' AND utterance_families >= 2 AND exact_families < 2"),
     "review_not_partial": (review.Filters(partial_agreement=False), "role = 'corpus' AND NOT (utterance_families >= 2 AND exact_families < 2)"),
     "review_coalesce_status": (review.Filters(statuses=["unreviewed", "rejected"], labels=["none", "usable"]), "role = 'corpus' AND coalesce(review_status, 'unreviewed') IN ('unreviewed', 'rejected') AND coalesce(label, 'none') IN ('none', 'usable')"),
-    "review_with_errors": (review.PRESETS["with_errors"], "role = 'corpus' AND errors > 0"),
+    "review_with_errors": (review.Filters(has_error=True), "role = 'corpus' AND errors > 0"),
     "review_no_abstention": (review.Filters(has_abstention=False, include_benchmark=True), "abstained = 0"),
 }
 for _name, (_filters, _where) in _FILTERS.items():
@@ -285,6 +295,54 @@ for _name, (_filters, _where) in _FILTERS.items():
         return review.query(_review_rows(spark, d), filters).select("segment_id")
 
 
+def _full_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with all that the saved views ask for, made from their results and labels."""
+    from squelch.sources.views import models, results
+
+    rows = results(spark, d).join(models(spark, d).select("model_id", "family"), "model_id")
+    ok = F.col("status") == "success"
+    agreed = rows.groupBy("segment_id").agg(
+        F.count_if(ok).alias("successes"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "abstained").alias("abstained"),
+        F.count_distinct(F.when(ok, F.col("family"))).alias("utterance_families"), F.count_distinct(F.when(ok & (F.col("attempt") < 4), F.col("family"))).alias("near_families"),
+        F.count_distinct(F.when(ok & (F.col("attempt") < 3), F.col("family"))).alias("exact_families"), F.count_distinct(F.when(ok & (F.col("attempt") < 5), F.col("model_id"))).alias("exact_providers"),
+        F.max(F.when(ok, F.col("seq") % 9)).alias("words"), F.collect_set(F.when(F.col("status") == "abstained", F.when(F.col("seq") % 2 == 0, "silver").otherwise("none"))).alias("span_labels"),
+    )
+    notes = table(spark, d, "labels").selectExpr(
+        "doc_id as segment_id", "case when quality = 1 then 'corrected' else 'unreviewed' end as review_status",
+        "case when toxic = 1 then 'none' when quality = 0 then 'candidate' when doc_id % 3 = 0 then 'silver' else 'gold' end as label",
+    )
+    return segments(spark, d).join(agreed, "segment_id", "left").join(notes, "segment_id", "left")
+
+
+_FULL = """full_agreed AS (SELECT segment_id, count(*) FILTER (status = 'success') AS successes, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'abstained') AS abstained,
+ count(DISTINCT CASE WHEN status = 'success' THEN family END) AS utterance_families, count(DISTINCT CASE WHEN status = 'success' AND attempt < 4 THEN family END) AS near_families,
+ count(DISTINCT CASE WHEN status = 'success' AND attempt < 3 THEN family END) AS exact_families, count(DISTINCT CASE WHEN status = 'success' AND attempt < 5 THEN model_id END) AS exact_providers,
+ max(CASE WHEN status = 'success' THEN seq % 9 END) AS words, bool_or(status = 'abstained' AND seq % 2 = 0) AS usable_span FROM result JOIN model USING (model_id) GROUP BY segment_id),
+rev AS (SELECT s.*, a.* EXCLUDE (segment_id), CASE WHEN quality = 1 THEN 'corrected' WHEN quality = 0 THEN 'unreviewed' END AS review_status,
+ CASE WHEN toxic = 1 THEN 'none' WHEN quality = 0 THEN 'candidate' WHEN doc_id % 3 = 0 THEN 'silver' WHEN doc_id IS NOT NULL THEN 'gold' END AS label
+ FROM segment s LEFT JOIN full_agreed a ON s.segment_id = a.segment_id LEFT JOIN labels l ON s.segment_id = l.doc_id)"""
+_VIEW_WHERE = {
+    "exact-2-families-3-words": "exact_families >= 2 AND words >= 3",
+    "partial-agreement": "utterance_families >= 2 AND exact_families < 2",
+    "utterance-3-families": "utterance_families >= 3",
+    "exact-2-families": "exact_families >= 2",
+    "exact-3-providers": "exact_providers >= 3",
+    "near-3-families": "near_families >= 3",
+    "high-agreement-unreviewed": "exact_families >= 2 AND coalesce(review_status, 'unreviewed') = 'unreviewed'",
+    "human-corrected": "review_status = 'corrected'",
+    "silver-candidates": "label IN ('candidate', 'silver')",
+    "gold": "label = 'gold'",
+    "disagreement": "successes >= 2 AND exact_families <= 1 AND near_families <= 1",
+    "partial-usable": "coalesce(usable_span, false) AND coalesce(label, 'none') NOT IN ('gold', 'silver')",
+    "errors-abstentions": "errors > 0 OR abstained > 0",
+}
+for _key, _where in _VIEW_WHERE.items():
+
+    @query("view_" + _key.replace("-", "_"), with_views("", "segment", "result", "model").rstrip() + ",\n" + _FULL + f"\nSELECT segment_id FROM rev WHERE role = 'corpus' AND ({_where})")
+    def viewed(spark: SparkSession, d: str, key: str = _key) -> DataFrame:
+        return review.query(_full_rows(spark, d), review.VIEWS[key]).select("segment_id")
+
+
 @query("review_page", _review_sql("role = 'corpus'", "ORDER BY duration_ms DESC NULLS LAST, segment_id DESC LIMIT 100 OFFSET 50"))
 def review_page(spark: SparkSession, d: str) -> DataFrame:
     return review.ordered(review.query(_review_rows(spark, d), review.Filters()), "duration_ms", True, 50, 100).select("segment_id")
@@ -317,7 +375,7 @@ def review_partial_usable(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("segment_id", (F.coalesce("has", F.lit(False)) & (F.coalesce("toxic", F.lit(1)) != 0)).alias("partial_usable"))
 
 
-@query("stream_equals_batch")
+@query("stream_equals_batch", _after_hyp("SELECT * FROM summary"))
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """Hypotheses as a stream of files, agreement kept by micro-batches, then read as one table."""
     import tempfile

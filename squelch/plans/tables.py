@@ -239,9 +239,10 @@ def untranscribed_not_in(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).join(done, "segment_id", "left_anti").select("segment_id")
 
 
-@query("blocked_models_anti", "SELECT model_id, logical_name FROM model WHERE model_id NOT IN (SELECT model_id FROM result WHERE status = 'error' GROUP BY model_id HAVING count(*) > 150)", "model", "result")
+@query("blocked_models_anti", "SELECT model_id, logical_name FROM model WHERE model_id NOT IN (SELECT model_id FROM result GROUP BY model_id HAVING count(*) FILTER (status = 'error') * 4 > count(*))", "model", "result")
 def blocked_models_anti(spark: SparkSession, d: str) -> DataFrame:
-    blocked = results(spark, d).filter("status = 'error'").groupBy("model_id").agg(F.count("*").alias("n")).filter("n > 150")
+    """Models of which at most a quarter of the results are errors."""
+    blocked = results(spark, d).groupBy("model_id").agg((F.count_if(F.col("status") == "error") * 4 > F.count("*")).alias("blocked")).filter("blocked")
     return models(spark, d).join(blocked, "model_id", "left_anti").select("model_id", "logical_name")
 
 
@@ -530,25 +531,26 @@ def stalled_runs(spark: SparkSession, d: str) -> DataFrame:
     return stalled(last, F.expr("timestamp_ntz '2024-01-15 00:00:00'")).select("user_id", "stalled")
 
 
-@query("trails", "SELECT user_id, count(DISTINCT floor(epoch_us(ts) / 1e6)) AS points FROM events GROUP BY user_id HAVING count(DISTINCT floor(epoch_us(ts) / 1e6)) <= 40")
-def trails(spark: SparkSession, d: str) -> DataFrame:
-    """Users' points as ordered trails; those of few points keep all, so SQL can count them."""
-    rows = table(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("lat"), F.col("value").alias("lon"))
-    few = rows.groupBy(F.col("user_id").alias("u")).agg(F.count_distinct(F.floor("t")).alias("n")).filter("n <= 40")
-    rows = rows.join(few, F.col("user_id").eqNullSafe(F.col("u")), "left_semi")
-    return tracks.trails(rows, "user_id", "t", F.lit(0.0), 40).select("user_id", F.size("trail").cast("long").alias("points"))
-
-
-@query(
-    "trails_all",
-    """SELECT user_id, count(*) AS points, min(s) AS first_s, max(s) AS last_s, CAST(sum(s) AS BIGINT) AS sum_s FROM (
+_TRAILS = """SELECT user_id, count(*) AS points, min(s) AS first_s, max(s) AS last_s, CAST(sum(s) AS BIGINT) AS sum_s FROM (
  SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n
  FROM (SELECT DISTINCT user_id, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS s FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL))
- WHERE n <= 40 OR round(round(i / ((n - 1) / 39.0::DOUBLE)) * ((n - 1) / 39.0::DOUBLE)) = i GROUP BY user_id""",
-)
-def trails_all(spark: SparkSession, d: str) -> DataFrame:
-    """All users' points as ordered trails, thinned to 40 where there are more."""
+ WHERE n <= {most} OR round(round(i / ((n - 1) / {last}::DOUBLE)) * ((n - 1) / {last}::DOUBLE)) = i GROUP BY user_id"""
+
+
+def _trails(spark: SparkSession, d: str, most: int) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("lat"), F.col("value").alias("lon"))
-    found = tracks.trails(rows.filter("user_id is not null and t is not null"), "user_id", "t", F.lit(0.0), 40)
+    found = tracks.trails(rows.filter("user_id is not null and t is not null"), "user_id", "t", F.lit(0.0), most)
     offsets = F.col("trail.offset_s")
     return found.select("user_id", F.size("trail").cast("long").alias("points"), F.array_min(offsets).alias("first_s"), F.array_max(offsets).alias("last_s"), F.aggregate(offsets, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_s"))
+
+
+@query("trails", _TRAILS.format(most=64, last=63))
+def trails(spark: SparkSession, d: str) -> DataFrame:
+    """All users' points as ordered trails of at most 64 points: some users have fewer, some are thinned."""
+    return _trails(spark, d, 64)
+
+
+@query("trails_all", _TRAILS.format(most=40, last=39))
+def trails_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same with 40 points, which every user exceeds."""
+    return _trails(spark, d, 40)

@@ -7,6 +7,8 @@ transmission that five models have transcribed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,4 +128,5 @@ heard AS (SELECT * FROM spoken WHERE norm <> '')""",
 
 
 def with_views(sql: str, *names: str) -> str:
-    return "WITH " + ",\n".join(SQL[n] for n in names) + "\n" + sql
+    more = ",\n" if re.match(r"\w+ AS \(", sql) else "\n"
+    return "WITH " + ",\n".join(SQL[n] for n in names) + more + sql
