@@ -383,7 +383,11 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
 
     from squelch.streaming import incremental
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="squelch-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="squelch-")
     store = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     hyp = hypotheses(spark, d)
     hyp.repartition(4, "segment_id").write.parquet(f"{store}/incoming")
