@@ -18,10 +18,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine) a temporary one is set.
+    Where none is named, a temporary one is set on a single machine; on a
+    cluster that is an error, as executors couldn't read each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="squelch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
