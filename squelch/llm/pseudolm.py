@@ -6,10 +6,14 @@ and a softmax over word classes; within a class, words go by their corpus
 frequencies. A document's score is the sum of its words' conditional
 log-probabilities.
 
-Training is data-parallel: word counts come from all documents; every task
-trains a copy of the network on all words of its own documents, and the copies
-are averaged, weighted by their words. So what is gathered grows with the
-input, and what reaches the driver is one network, however large the input.
+The network sees the most frequent words and buckets of all others, but a word
+of a bucket has its own share of it: the table of all words and their counts
+stays whole and grows with the corpus, and scoring joins it by word. A word
+that the corpus lacks has only the smoothing's share.
+
+Training is data-parallel: every task trains a copy of the network on all words
+of its own documents, and the copies are averaged, weighted by their words. What
+reaches the driver is one network and the buckets' sums, however large the input.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from squelch.llm.words import fingerprints, words_of
 #: Known words (the most frequent ones), and buckets for all others; one more id stands between documents.
 KNOWN, RARE = 7_680, 511
 TOKENS = KNOWN + RARE + 1
+#: What is added to each word's count in a bucket, and what words outside the corpus have there together.
+SMOOTHING = 0.1
 PAD = TOKENS - 1
 REACH, HIDDEN = 2, 8
 SINGLE, CLASSES = 32, 64
@@ -37,6 +43,8 @@ BATCH, RATE = 2_048, 0.12
 _SLOTS = 18
 _SLICES, _WAYS = 16, 16
 _FIXED = float(1 << 20)  # copies are summed as integers, so their order can't change the average
+_WEIGHT_WORDS = 1_024  # a copy weighs one for so many words: sums stay below 2^63 up to 10^15 words
+_LOG_FIXED = float(1 << 30)  # likewise for the sums of logarithms of a document
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -53,13 +61,14 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Ids of words by a table of slots, their classes and their log-shares of a class."""
+    """Ids of words by a table of slots, their classes, their log-shares of a class, and the log of each bucket's smoothed count."""
 
     slot_word: np.ndarray
     slot_id: np.ndarray
     word_class: np.ndarray
     within: np.ndarray
     class_share: np.ndarray
+    bucket_total: np.ndarray
 
     def ids(self, prints: np.ndarray) -> np.ndarray:
         slot = (prints >> np.uint64(64 - _SLOTS)).astype(np.int64)
@@ -71,7 +80,7 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The most frequent words (ties: by fingerprint) and the buckets' sums; at most ``TOKENS`` rows reach the driver."""
     top = [(np.uint64(r.word & (2**64 - 1)), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
-    sums = np.zeros(TOKENS)
+    sums, distinct = np.zeros(TOKENS), np.zeros(RARE)
     # Of two known words in one slot the more frequent stays; the other is a rare word.
     slot_word, slot_id = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int16)
     kept = []
@@ -82,10 +91,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             sums[len(kept)] = n
             kept.append((word, n))
     unsigned = F.expr(f"cast(cast(case when word >= 0 then cast(word as decimal(20,0)) else cast(word as decimal(20,0)) + 18446744073709551616 end as decimal(20,0)) % {RARE} as int)")
-    for r in counts.groupBy(unsigned.alias("bucket")).agg(F.sum("n").alias("n")).collect():  # RARE rows
+    for r in counts.groupBy(unsigned.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # RARE rows
         sums[KNOWN + r.bucket] = r.n
+        distinct[r.bucket] = r.words
     for word, n in kept:
         sums[KNOWN + int(word % np.uint64(RARE))] -= n
+        distinct[int(word % np.uint64(RARE))] -= 1
+    bucket_total = np.log(sums[KNOWN:PAD] + SMOOTHING * (distinct + 1))
     order = np.argsort(-sums[:PAD], kind="stable")
     word_class = np.zeros(TOKENS, np.int64)
     word_class[order[:SINGLE]] = np.arange(SINGLE)
@@ -97,16 +109,26 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     of_class = np.bincount(word_class, smooth, CLASSES)
     of_class = np.maximum(of_class, 1e-9)
     within = np.log(np.maximum(smooth, 1e-300) / of_class[word_class])
-    return Vocabulary(slot_word, slot_id, word_class.astype(np.int16), within.astype(np.float32), np.log(of_class / of_class.sum()).astype(np.float32))
+    return Vocabulary(slot_word, slot_id, word_class.astype(np.int16), within.astype(np.float32), np.log(of_class / of_class.sum()).astype(np.float32), bucket_total)
 
 
-def stream(column: pa.Array, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words with ``REACH`` pads before each text and at the end; and each text's first place."""
+@dataclass
+class Stream:
+    """The words of a batch: their ids, with ``REACH`` pads before each text and at the end; each text's first place; fingerprints, texts and places of the words."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    prints: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+
+
+def stream(column: pa.Array, words: Vocabulary) -> Stream:
     w = words_of(*text_buffer(column))
-    texts = len(w.first) - 1
-    out = np.full(w.n + REACH * (texts + 1), PAD, np.int16)
-    out[np.arange(w.n) + REACH * (w.text_of() + 1)] = words.ids(fingerprints(w))
-    return out, w.first[:-1] + REACH * np.arange(1, texts + 1)
+    texts, text, prints = len(w.first) - 1, w.text_of(), fingerprints(w)
+    ids, place = np.full(w.n + REACH * (texts + 1), PAD, np.int16), np.arange(w.n) + REACH * (text + 1)
+    ids[place] = words.ids(prints)
+    return Stream(ids, w.first[:-1] + REACH * np.arange(1, texts + 1), prints, text, place)
 
 
 @dataclass
@@ -150,7 +172,7 @@ class Network:
         return score, score.sum(1)
 
     def log_probabilities(self, ids: np.ndarray, words: Vocabulary) -> np.ndarray:
-        """For each id but ``REACH`` at both ends; 0 for pads."""
+        """For each id but ``REACH`` at both ends; 0 for pads. A bucket's id stands for any of its words."""
         found = np.zeros(len(ids) - 2 * REACH)
         for at in range(0, len(found), BATCH):
             some = ids[at : at + BATCH + 2 * REACH]
@@ -198,7 +220,7 @@ class Trainer:
         net.near[rows] -= (RATE / np.sqrt(self.near_sum[rows]))[:, None] * sums
 
 
-_COPY = "slice int, way int, words long, sums binary"
+_COPY = "slice int, way int, weight long, sums binary"
 
 
 def _added(rows: DataFrame, *by: str) -> DataFrame:
@@ -207,52 +229,70 @@ def _added(rows: DataFrame, *by: str) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for s, way, n, blob in zip(*(batch.column(x) for x in ("slice", "way", "words", "sums")), strict=True):
+            for s, way, n, blob in zip(*(batch.column(x) for x in ("slice", "way", "weight", "sums")), strict=True):
                 values = np.frombuffer(blob.as_buffer(), np.int64)
                 have = found.setdefault((s.as_py(), way.as_py() if "way" in by else 0), [0, np.zeros(len(values), np.int64)])
                 have[0] += n.as_py()
                 have[1] += values
         if found:
             columns = [[k[0] for k in found], [k[1] for k in found], [v[0] for v in found.values()], [v[1].tobytes() for v in found.values()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "way", "words", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "way", "weight", "sums"])
 
     return rows.repartition(_SLICES, *by).mapInArrow(add, _COPY)
 
 
 @dataclass
 class Model:
+    """``counts`` is the stored table of all words of the corpus (word, n)."""
+
     words: Vocabulary
     net: Network
+    counts: DataFrame
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = 1) -> Model:
     """Trains on every word of every document; null texts and an empty table teach nothing."""
     spark = docs.sparkSession
-    words = vocabulary(stored(word_counts(docs, text), "word-counts"))
+    counts = stored(word_counts(docs, text), "word-counts")
+    words = vocabulary(counts)
     net = Network.fresh(words)
     texts = docs.select(F.col(text).alias("text"))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(Model(words, net))
+        shared = spark.sparkContext.broadcast((words, net))
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trainer, seen = Trainer(Network.of(shared.value.net.flat()), shared.value.words), 0
+            words, net = shared.value
+            trainer, seen = Trainer(Network.of(net.flat()), words), 0
             for batch in batches:
                 for part in pieces(batch, "text", 4_000_000):
-                    ids, _ = stream(part.column("text"), shared.value.words)
+                    ids = stream(part.column("text"), words).ids
                     trainer.learn(ids)
                     seen += int((ids != PAD).sum())
             if seen:
-                values = np.rint(trainer.net.flat() * _FIXED).astype(np.int64) * seen
+                weight = -(-seen // _WEIGHT_WORDS)
+                values = np.rint(trainer.net.flat() * _FIXED).astype(np.int64) * weight
                 cut = np.array_split(values, _SLICES)
                 way = TaskContext.get().partitionId() % _WAYS
-                yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([way] * _SLICES, pa.int32()), pa.array([seen] * _SLICES, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["slice", "way", "words", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([way] * _SLICES, pa.int32()), pa.array([weight] * _SLICES, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["slice", "way", "weight", "sums"])
 
         copies = _added(_added(texts.mapInArrow(train, _COPY), "slice", "way"), "slice")
         rows = sorted(copies.collect(), key=lambda r: r["slice"])  # one network
         if not rows:
             break
-        net = Network.of(np.concatenate([np.frombuffer(bytes(r["sums"]), np.int64) / (r["words"] * _FIXED) for r in rows]))
-    return Model(words, net)
+        net = Network.of(np.concatenate([np.frombuffer(bytes(r["sums"]), np.int64) / (r["weight"] * _FIXED) for r in rows]))
+    return Model(words, net, counts)
+
+
+def _rare(found: Stream, texts: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each text, its distinct words that only buckets stand for, and how often each occurs."""
+    at = np.flatnonzero(found.ids[found.place] >= KNOWN)
+    text, prints = found.text[at], found.prints[at]
+    order = np.lexsort((prints, text))
+    text, prints = text[order], prints[order]
+    head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (prints[1:] != prints[:-1])])) if len(text) else np.zeros(0, np.int64)
+    ends = pa.array(np.searchsorted(text[head], np.arange(texts + 1)).astype(np.int32))
+    times = np.diff(np.append(head, len(text))).astype(np.int64)
+    return pa.ListArray.from_arrays(ends, pa.array(prints[head].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text") -> DataFrame:
@@ -261,19 +301,39 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "
     Whole texts count, however long. A text that is null or has no word has
     ``n_words`` 0, ``pll`` 0 and no mean. Repeated rows score alike; an empty
     table stays empty; kept columns go through a struct.
+
+    The network's part comes from one pass, whose rows are stored under numbers
+    of their own, as ids may repeat or be null. The words of buckets then meet
+    the table of counts by word, one entry for each word of a document; a word
+    that many documents hold has an id, so no key of this join is hot.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.net))
     inner = docs.select(F.struct(*keep).alias("doc"), F.col(text).alias("text"))
-    schema = T.StructType([inner.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("pll", T.DoubleType())])
+    schema = T.StructType().add("row", "long").add(inner.schema["doc"]).add("n_words", "long").add("pll", "double")
+    schema = schema.add("words", T.ArrayType(T.LongType())).add("times", T.ArrayType(T.LongType()))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        words, net = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces(batch, "text", 4_000_000):
-                ids, first = stream(part.column("text"), model.words)
-                sums = np.concatenate([np.zeros(REACH + 1), model.net.log_probabilities(ids, model.words).cumsum()])
+                found = stream(part.column("text"), words)
+                ids, first, n = found.ids, found.first, part.num_rows
+                logs = net.log_probabilities(ids, words)
+                bucket = ids[REACH:-REACH].astype(np.int64) - KNOWN
+                rare = (bucket >= 0) & (bucket < RARE)
+                logs[rare] -= words.bucket_total[bucket[rare]]
+                sums = np.concatenate([np.zeros(REACH + 1), logs.cumsum()])
                 size = np.diff(np.append(first, len(ids))) - REACH
                 pll = sums[first + size] - sums[first]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(size.astype(np.int64)), pa.array(np.where(size > 0, pll, 0.0))], names=["doc", "n_words", "pll"])
-
-    return inner.mapInArrow(judge, schema).select("doc.*", "n_words", "pll", F.when(F.col("n_words") > 0, F.col("pll") / F.col("n_words")).alias("mean_pll"))
+                columns = [pa.array(np.arange(row, row + n)), part.column("doc"), pa.array(size.astype(np.int64)), pa.array(np.where(size > 0, pll, 0.0)), *_rare(found, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc", "n_words", "pll", "words", "times"])
+                row += n
+
+    rows = stored(inner.mapInArrow(judge, schema), "scored")
+    held = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("e")).select("row", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
+    of_word = F.round(F.log(F.coalesce("n", F.lit(0)) + SMOOTHING) * _LOG_FIXED).cast("long")
+    own = held.join(model.counts, "word", "left").groupBy("row").agg((F.sum(F.col("times") * of_word) / _LOG_FIXED).alias("own"))
+    pll = F.col("pll") + F.coalesce("own", F.lit(0.0))
+    found = rows.select("row", "doc", "n_words", "pll").join(own, "row", "left")
+    return found.select("doc.*", "n_words", pll.alias("pll"), F.when(F.col("n_words") > 0, pll / F.col("n_words")).alias("mean_pll"))

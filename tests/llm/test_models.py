@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from squelch.llm import langid, neighbours, pseudolm, quality, queries
+from squelch.llm.words import fingerprints, words_of
 
 
 def brute_nearest(rows, asked, k):
@@ -156,6 +157,45 @@ def test_pseudo_likelihood_is_a_distribution(spark, chains):
     assert (share / total[:, None]).sum() == pytest.approx(1)
 
 
+def test_pseudo_likelihood_against_brute_force(spark):
+    """More words than the network knows; each word's log-probability from plain loops over plain counts."""
+    rng = random.Random(8)
+    common, uncommon = [f"c{k}" for k in range(8_000)], [f"u{k}" for k in range(3_000)]
+    rows = [(k, " ".join(rng.sample(common, 2_000) + uncommon[k * 75 : k * 75 + 75])) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = pseudolm.fit(frame)
+    asked = [(0, rows[0][1]), (1, " ".join(uncommon[:60])), (2, " ".join(f"none{k}" for k in range(60))), (2, None), (None, "u1 c1 none1 u1")]
+    got = {(r.doc_id, r.n_words): r for r in pseudolm.score(spark.createDataFrame(asked, "doc_id long, text string"), model, ["doc_id"]).collect()}
+    assert len(got) == len(asked)
+
+    def prints(text):
+        return fingerprints(words_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])))
+
+    counts = Counter(w for _, t in rows for w in prints(t).tolist())
+    known = {w for w in counts if model.words.ids(np.array([w], np.uint64))[0] < pseudolm.KNOWN}
+    total, distinct = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in known:
+            total[w % pseudolm.RARE] += n
+            distinct[w % pseudolm.RARE] += 1
+    net, words = model.net, model.words
+    for doc, text in asked:
+        if text is None:
+            continue
+        w = prints(text)
+        ids = [pseudolm.PAD] * 2 + words.ids(w).tolist() + [pseudolm.PAD] * 2
+        want = 0.0
+        for k, one in enumerate(w.tolist()):
+            h = np.tanh(sum(net.near[ids[k + p]][i * 8 : i * 8 + 8].astype(float) for i, p in enumerate((0, 1, 3, 4))))
+            s = h @ net.out.astype(float) + net.bias
+            want += s[words.word_class[ids[k + 2]]] - np.log(np.exp(s).sum()) + float(words.within[ids[k + 2]])
+            if one not in known:
+                b = one % pseudolm.RARE
+                want += np.log((counts[one] + pseudolm.SMOOTHING) / (total[b] + pseudolm.SMOOTHING * (distinct[b] + 1)))
+        assert got[doc, len(w)].pll == pytest.approx(want, rel=1e-4)
+    assert got[1, 60].mean_pll > got[2, 60].mean_pll + 1  # words that occur nowhere are no prose
+
+
 def test_pseudo_likelihood_edges(spark, odd, odd_rows, empty):
     model = pseudolm.fit(odd)
     rows = pseudolm.score(odd, model, ["doc_id"]).collect()
