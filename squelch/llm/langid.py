@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from squelch.llm.shared import pieces, text_buffer
+from squelch.llm.shared import pieces, stored, text_buffer
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 #: The bound of the sample that the classifier is fitted on: about so many
-#: labelled documents, chosen by a hash of the id, whole texts each.
-TRAIN_DOCS = 20_000
+#: labelled documents of each language, chosen by a hash of id and text, whole
+#: texts each. A language with fewer is learned from all of them.
+TRAIN_DOCS = 2_500
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 
@@ -58,16 +59,19 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str, lang: str, doc_id: str, train_docs: int = TRAIN_DOCS, smoothing: float = 0.5) -> Model:
-    """Counts n-grams by language in parallel; what reaches the driver is one counter per language and bucket."""
+    """Counts n-grams by language in parallel; what reaches the driver is one counter per language and bucket.
+
+    About ``train_docs`` documents of each language teach n-grams; the priors
+    come from all labelled documents. Null languages and texts teach nothing.
+    """
     labelled = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = labelled.count()
-    if n > train_docs:
-        labelled = labelled.filter(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < int(1_000_000 * train_docs / n))
-    docs = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    counted = stored(labelled.groupBy("lang").agg(F.count("*").alias("of_lang")), "languages")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(float(train_docs << 30)) / F.col("of_lang")
+    docs = labelled.join(counted, "lang").filter(drawn).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for batch in batches:
             for part in pieces(batch, "text", 1_000_000):
                 raw, offsets = text_buffer(part.column("text"))
@@ -80,24 +84,23 @@ def fit(labelled: DataFrame, text: str, lang: str, doc_id: str, train_docs: int
                         mine = np.array([x == name for x in names])
                         at = code[same & mine[of_text[: len(code)]]]
                         found.setdefault(name, np.zeros(BUCKETS, np.int64))[:] += np.bincount(at, minlength=BUCKETS)
-                for name in names:
-                    docs[name] = docs.get(name, 0) + 1
         if found:
-            yield pa.RecordBatch.from_pydict({"lang": list(found), "docs": [docs[x] for x in found], "counts": [x.tobytes() for x in found.values()]}, schema=pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"lang": list(found), "counts": [x.tobytes() for x in found.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
         sums = np.zeros(BUCKETS, np.int64)
         for blob in table.column("counts"):
             sums += np.frombuffer(blob.as_buffer(), np.int64)
-        return pa.table({"lang": [key[0].as_py()], "docs": pa.array([sum(table.column("docs").to_pylist())], pa.int64()), "counts": pa.array([sums.tobytes()], pa.binary())})
+        return pa.table({"lang": [key[0].as_py()], "counts": pa.array([sums.tobytes()], pa.binary())})
 
-    schema = "lang string, docs long, counts binary"
+    schema = "lang string, counts binary"
     rows = sorted(docs.mapInArrow(count, schema).groupBy("lang").applyInArrow(total, schema).collect(), key=lambda r: r.lang)
+    of_lang = {r.lang: r.of_lang for r in counted.collect()}  # one number for each language
     if not rows:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     counts = np.array([np.frombuffer(bytes(r.counts), np.int64) for r in rows]) + smoothing
     table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
-    sizes = np.array([r.docs for r in rows], float)
+    sizes = np.array([of_lang[r.lang] for r in rows], float)
     return Model([r.lang for r in rows], table, np.log(sizes / sizes.sum()))
 
 

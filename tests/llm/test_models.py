@@ -122,6 +122,18 @@ def test_language_id(spark, sf, odd, empty):
     assert langid.predict(empty, model, "text", ["doc_id"]).count() == 0
 
 
+def test_language_of_few_documents_is_learned(spark):
+    """The bound of the sample holds for each language; priors come from all labelled documents."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices(["the", "house", "water", "walks"], k=20)), "en") for k in range(400)]
+    rows += [(1_000 + k, " ".join(rng.choices(["xuz", "qof", "zyx"], k=20)), "rare") for k in range(4)]
+    frame = spark.createDataFrame([*rows, (None, None, "en"), (None, "the house", None)], "doc_id long, text string, lang string")
+    model = langid.fit(frame, "text", "lang", "doc_id", train_docs=20)
+    assert model.langs == ["en", "rare"] and np.exp(model.prior) == pytest.approx([400 / 404, 4 / 404])
+    asked = spark.createDataFrame([(1, "xuz zyx qof qof"), (2, "the water walks")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model, "text", ["doc_id"]).collect()} == {1: "rare", 2: "en"}
+
+
 @pytest.fixture(scope="module")
 def chains(spark):
     """Sentences in which each word depends on its neighbours."""
