@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,13 +126,32 @@ def facets_flags(spark: SparkSession, d: str) -> DataFrame:
     return review.key_facet(table(spark, d, "events"), "props")
 
 
-@query(
-    "table_fingerprint",
-    """SELECT 'nation' AS table_name, count(*) AS n_rows, md5(string_agg(n_name, ',' ORDER BY n_nationkey)) AS digest FROM nation
- UNION ALL SELECT 'region', count(*), md5(string_agg(r_name, ',' ORDER BY r_regionkey)) FROM region""",
-)
+FINGERPRINTED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"],
+    "events": ["event_id", "user_id", "event_type", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+
+
+def _fingerprint_sql(name: str, columns: list[str]) -> str:
+    row = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
+    return f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(coalesce(sum(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS digest FROM {name}"
+
+
+@query("table_fingerprint", " UNION ALL ".join(_fingerprint_sql(n, c) for n, c in FINGERPRINTED.items()))
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return relational.fingerprint(table(spark, d, "nation"), "nation", "n_name", "n_nationkey").unionByName(relational.fingerprint(table(spark, d, "region"), "region", "r_name", "r_regionkey"))
+    return reduce(DataFrame.unionByName, [relational.fingerprint(table(spark, d, n), n, c) for n, c in FINGERPRINTED.items()])
 
 
 # Filters, joins and sets
