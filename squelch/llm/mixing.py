@@ -90,10 +90,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     agree.
     """
     keep = docs.columns if keep is None else keep
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    # Numbered names, so that no input column can be called as an added one.
+    at = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    docs = docs.toDF(*at.values())
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(at[doc_id]), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     rows = stored(
-        sized(docs, text).select(
-            F.struct(*keep).alias("doc"), F.col(source).alias("_source"), F.col(doc_id).alias("_id"), "_size",
+        sized(docs, at[text]).select(
+            F.struct(*[F.col(at[x]).alias(x) for x in keep]).alias("doc"), F.col(at[source]).alias("_source"), F.col(at[doc_id]).alias("_id"), "_size",
             (-F.log(uniform) / F.col("_quality")).alias("_key"), F.monotonically_increasing_id().alias("_row"),
         ).withColumn("_bin", F.floor((1 - F.exp(-F.col("_key"))) * BINS).cast("int")),
         "mix",

@@ -57,6 +57,14 @@ def test_mix_reruns_agree_and_takes_empty(odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_keeps_columns_named_like_its_own(odd):
+    key = lambda f: sorted((str(r.doc.doc_id), r._size, r.copies) for r in f.collect())
+    clash = {x: F.lit(7) for x in ("_size", "_quality", "_source", "_key", "_row", "target", "copies", "c0")}
+    mixed = mixing.mix(odd.withColumns(clash))
+    assert key(mixed) == key(mixing.mix(odd))
+    assert {tuple(r) for r in mixed.select(*[f"doc.{x}" for x in clash]).collect()} == {(7,) * len(clash)}
+
+
 def test_lookup_table_is_even_and_stable():
     names = [f"s{k}" for k in range(16)]
     table = sharding.lookup_table(names, 4099)
