@@ -1,4 +1,4 @@
-"""Operators that prepare training text: ten methods, each a Spark job.
+"""Operators that prepare training text: thirteen methods, each a Spark job.
 
 Nothing outside this subpackage imports it.
 """
