@@ -94,8 +94,65 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and answers made from events: item_id, event_id, kind, runner, cost_cents, retryable, at and at_us."""
+    parts = [
+        "cast(user_id * 16 + floor((day(ts) - 1) / 2) as bigint) as item_id", "event_id",
+        "case event_type when 'signup' then 'claim' when 'view' then 'claim' when 'error' then 'error' else 'done' end as kind",
+        "case when cast(get_json_object(props, '$.k') as bigint) % 3 = 0 then 'r1' else 'r0' end as runner",
+        "case when event_type in ('signup', 'view') then null else cast(round(value * 100) as bigint) end as cost_cents",
+        "cast(get_json_object(props, '$.k') as bigint) % 2 = 0 as retryable", "cast(ts as timestamp) as at", "unix_micros(cast(ts as timestamp)) as at_us",
+    ]
+    return table(spark, sf_dir, "events").selectExpr(*parts)
+
+
+def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks made from events: icao (a user), t (seconds, time runs 24 times as fast), lat, lon, alt, heading, ground."""
+    return table(spark, sf_dir, "events").selectExpr("*", "cast(get_json_object(props, '$.k') as bigint) as k").selectExpr(
+        "user_id as icao", "cast(floor(unix_micros(cast(ts as timestamp)) / 24e6) as bigint) as t", "case when k <> 13 then 40 + (k - 50) / 50.0d end as lat", "-101 + (value % 200) / 100 as lon",
+        "case when k % 7 <> 0 then k * 100d end as alt", "cast(k * 3 as double) as heading", "k < 5 as ground",
+    )
+
+
+def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hours of a track are a flight: station, icao, callsign, first_seen, last_seen, listed."""
+    legs = fixes(spark, sf_dir).withColumn("listed", F.floor(F.col("t") / 7200)).groupBy("icao", "listed").agg(F.min("t").alias("f"), F.max("t").alias("last_seen"))
+    return legs.selectExpr("icao % 5 as station", "icao", "concat('CS', cast(icao as string)) as callsign", "case when (icao + listed) % 29 <> 0 then f end as first_seen", "last_seen", "listed")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transmissions made from customers: segment_id, station, t within the tracks' time."""
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as segment_id", "cast(c_nationkey % 5 as bigint) as station", "71002800 + (c_custkey * 7919) % 108000 as t")
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star of nine corners around each nation's place: area_id, ring (closed, x is longitude)."""
+    far = "(6 + 3 * ((n_nationkey * 7 + (i % 9) * 5) % 4))"
+    corner = f"struct(round(n_nationkey * 14 - 170 + {far} * cos(2 * pi() * (i % 9) / 9), 3) as x, round(n_nationkey * 5 - 60 + {far} * sin(2 * pi() * (i % 9) / 9), 3) as y)"
+    return table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as area_id", f"transform(sequence(0, 9), i -> {corner}) as ring")
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions made from events: event_id, x, y."""
+    return table(spark, sf_dir, "events").selectExpr("event_id", "(value * 7.3d) % 360 - 180 as x", "cast(get_json_object(props, '$.k') as bigint) * 1.2d - 60 + event_id % 7 / 10d as y")
+
+
 #: The same views for the SQL that checks the queries.
 SQL = {
+    "fix": """fix AS (SELECT user_id AS icao, CAST(floor(epoch_us(ts) / 24e6) AS BIGINT) AS t, CASE WHEN k <> 13 THEN 40 + (k - 50) / 50.0::DOUBLE END AS lat, -101 + (value % 200) / 100 AS lon,
+ CASE WHEN k % 7 <> 0 THEN k * 100::DOUBLE END AS alt, k * 3::DOUBLE AS heading, k < 5 AS ground FROM (SELECT *, CAST(props->>'k' AS BIGINT) AS k FROM events))""",
+    "flight": """flight AS (SELECT icao % 5 AS station, icao, concat('CS', icao) AS callsign, CASE WHEN (icao + listed) % 29 <> 0 THEN min(t) END AS first_seen, max(t) AS last_seen, listed
+ FROM (SELECT *, CAST(floor(t / 7200) AS BIGINT) AS listed FROM fix) GROUP BY icao, listed)""",
+    "call": """call AS (SELECT c_custkey AS segment_id, CAST(c_nationkey % 5 AS BIGINT) AS station, 71002800 + (c_custkey * 7919) % 108000 AS t FROM customer)""",
+    "area": """area AS (SELECT CAST(n_nationkey AS BIGINT) AS area_id, list_transform(range(10), lambda i: {'x': round(n_nationkey * 14 - 170 + (6 + 3 * ((n_nationkey * 7 + (i % 9) * 5) % 4)) * cos(2 * pi() * (i % 9) / 9), 3),
+ 'y': round(n_nationkey * 5 - 60 + (6 + 3 * ((n_nationkey * 7 + (i % 9) * 5) % 4)) * sin(2 * pi() * (i % 9) / 9), 3)}) AS ring FROM nation),
+edge AS (SELECT area_id, ring[i].x AS x1, ring[i].y AS y1, ring[i + 1].x AS x2, ring[i + 1].y AS y2 FROM area, range(1, 10) r(i))""",
+    "position": """position AS (SELECT event_id, (value * 7.3::DOUBLE) % 360 - 180 AS x, CAST(props->>'k' AS BIGINT) * 1.2::DOUBLE - 60 + event_id % 7 / 10.0::DOUBLE AS y FROM events)""",
+    "answer_log": """answer_log AS (SELECT CAST(user_id * 16 + floor((day(ts) - 1) / 2) AS BIGINT) AS item_id, event_id,
+ CASE event_type WHEN 'signup' THEN 'claim' WHEN 'view' THEN 'claim' WHEN 'error' THEN 'error' ELSE 'done' END AS kind,
+ CASE WHEN CAST(props->>'k' AS BIGINT) % 3 = 0 THEN 'r1' ELSE 'r0' END AS runner,
+ CASE WHEN event_type IN ('signup', 'view') THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END AS cost_cents,
+ CAST(props->>'k' AS BIGINT) % 2 = 0 AS retryable, epoch_us(ts) AS at_us FROM events)""",
     "segment": """segment AS (SELECT o_orderkey AS segment_id, o_custkey % 7 AS source_id,
  CASE WHEN o_custkey % 7 = 0 THEN 'benchmark' ELSE 'corpus' END AS role,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'TWR' WHEN '2-HIGH' THEN 'GND' WHEN '3-MEDIUM' THEN 'APP' WHEN '5-LOW' THEN 'CLNC' END AS channel,
