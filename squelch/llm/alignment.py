@@ -6,17 +6,19 @@ that goes from another character over to that white space, which
 ``safe_blanks`` reads off its vocabulary. So the tokens of a text are those of
 its segments, one after another.
 
-1. Documents become chunks of some MB: for every chunk its distinct segments,
-   and for every word the place of its segment among them.
-2. The distinct segments of all chunks are made distinct again, named by 128
-   bits, and each is encoded by both tokenizers and aligned once.
-3. Joined back to the chunks, they tell which pairs of ids each document
-   links; counted over documents, and each first id's highest count.
-4. A segment's sums follow from the counts of its pairs; joined back to the
-   chunks, they add up to the documents' rows.
-
-What is shuffled are a chunk's distinct segments, one row each, so a segment in
-every document is one row for each chunk, and no pair of documents is formed.
+1. Documents become chunks of some MB. A chunk sends its distinct segments, and
+   one row of places: for each segment of each document, its number in the chunk.
+2. Sorted by segment, equal ones of all chunks stand together; each is encoded
+   by both tokenizers and aligned once, and the alignment goes back to each
+   chunk that sent it: the ids of both sides, and for every stretch between two
+   ends which side ends there.
+3. A chunk composes its documents from that, and tells which pairs of ids each
+   one links. Pairs are counted over documents, and each first id's highest
+   count is found.
+4. The chunks' distinct pairs learn their counts, and documents add them up.
+
+What is shuffled is a row for each distinct segment and each distinct pair of a
+chunk, so one that stands in every document is one row for each chunk.
 """
 
 from __future__ import annotations
@@ -37,12 +39,14 @@ from squelch.llm.words import Words, fingerprints
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 16_000_000
+#: Bytes of text that are cut and named at a time.
+PIECE_BYTES = 2_000_000
 #: A pair of ids as one number.
 PAIR = 1 << 20
 _UNDERLINE = "\u2581"
-#: White space beyond ASCII, and what some libraries count as it: no cut after these.
-_WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
+#: White space beyond ASCII, and what some libraries count as it (the mark for a blank too): no cut after these.
+_WIDE = "\u2581\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
 _LAST_BYTES = sorted({c.encode()[-1] for c in _WIDE})
 
 
@@ -67,6 +71,9 @@ class Pair:
         vocabulary = {i: x for x, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.a_bytes = [bytes(letters[c] for c in vocabulary.get(i, "") if c in letters) for i in range(self.a.get_vocab_size())]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
+            raise ValueError("ids have to fit 16 bits")
         self.blank = self.b.piece_to_id(_UNDERLINE)
 
     def _piece(self, i: int) -> bytes:
@@ -127,174 +134,271 @@ def cuts(raw: np.ndarray, offsets: np.ndarray, safe: bytes) -> tuple[np.ndarray,
     return start, np.searchsorted(offsets, start, side="right") - 1
 
 
-_CHUNK = "chunk bigint, doc_ids array<bigint>, counts binary, places binary, k1 array<bigint>, k2 array<bigint>, segments array<binary>"
-
-
-def segment_chunks(docs: DataFrame, text: str, doc_id: str, tokenizers: tuple[str, str]) -> DataFrame:
-    """Rows of whole documents: their ids, how many segments each has, the place of each segment among the chunk's distinct ones, and these."""
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, as compressed planes of bytes."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+class _Gathered:
+    """A chunk while its texts come in."""
+
+    def __init__(self) -> None:
+        self.ids: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+        self.names: list[np.ndarray] = []
+        self.segments: dict[int, bytes] = {}
+        self.size = 0
+
+    def add(self, some: pa.RecordBatch, safe: bytes) -> None:
+        raw, offsets = text_buffer(some.column("text"))
+        start, of_text = cuts(raw, offsets, safe)
+        end = np.append(start[1:], len(raw))
+        names = fingerprints(Words(raw, start, end, np.zeros(1, np.int64))) if len(start) else np.zeros(0, np.uint64)
+        distinct, first, number = np.unique(names, return_index=True, return_inverse=True)
+        self._verify(raw, start, end, first[number])
+        for name, a, b in zip(distinct.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
+            bytes_ = raw[a:b].tobytes()
+            if self.segments.setdefault(name, bytes_) != bytes_:
+                raise RuntimeError("two segments share a fingerprint")
+        self.ids.append(some.column("doc_id"))
+        self.counts.append(np.bincount(of_text, minlength=len(some)))
+        self.names.append(names)
+        self.size += len(raw)
+
+    @staticmethod
+    def _verify(raw: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> None:
+        """Segments of one name must have the same bytes (64 bits can't promise that)."""
+        size = end - start
+        shift = np.repeat(start[like] - start, size)
+        if (size != size[like]).any() or (raw[np.arange(len(raw)) + shift] != raw).any():
+            raise RuntimeError("two segments share a fingerprint")
+
+    def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        """The row of places, then the distinct segments, the most frequent ones first."""
+        names = np.concatenate(self.names)
+        distinct, number, count = np.unique(names, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, n = pa.concat_arrays(self.ids), len(distinct)
+        head = {
+            "chunk": pa.array([chunk]), "place": pa.array([-1], pa.int32()), "segment": pa.nulls(1, pa.binary()), "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            "counts": pa.array([_packed(np.concatenate(self.counts))]), "places": pa.array([_packed(place[number])]), "n_places": pa.array([len(names)]), "n_segments": pa.array([n]),
+        }
+        yield pa.RecordBatch.from_arrays(list(head.values()), names=list(head))
+        for at in range(0, n, 20_000):
+            some = [self.segments[x] for x in distinct[order[at : at + 20_000]].tolist()]
+            body = [pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.binary())]
+            body += [pa.nulls(len(some), x.type) for x in list(head.values())[3:]]
+            yield pa.RecordBatch.from_arrays(body, names=list(head))
+
+
+_HEAD = "doc_ids array<bigint>, counts binary, places binary, n_places bigint, n_segments bigint"
+
+
+def segment_rows(docs: DataFrame, text: str, doc_id: str, tokenizers: tuple[str, str]) -> DataFrame:
+    """Of each chunk of whole documents, a row of places (place -1) and a row for each distinct segment."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, safe = TaskContext.get().partitionId(), 0, pair_of(*tokenizers).safe_blanks()
+        part, seq, safe, held = TaskContext.get().partitionId(), 0, pair_of(*tokenizers).safe_blanks(), _Gathered()
         for batch in batches:
-            for some in pieces(batch, "text", CHUNK_BYTES):
-                raw, offsets = text_buffer(some.column("text"))
-                start, of_text = cuts(raw, offsets, safe)
-                end = np.append(start[1:], len(raw))
-                names = fingerprints(Words(raw, start, end, np.zeros(1, np.int64))) if len(start) else np.zeros(0, np.uint64)
-                _, first, place = np.unique(names, return_index=True, return_inverse=True)
-                distinct = [raw[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-                long_names = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in distinct), "<i8").reshape(-1, 2)
-                one = pa.array([0, len(distinct)], pa.int32())
-                row = {
-                    "chunk": pa.array([part << 32 | seq], pa.int64()),
-                    "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some.column("doc_id")),
-                    "counts": pa.array([np.bincount(of_text, minlength=len(some)).astype("<i4").tobytes()], pa.binary()),
-                    "places": pa.array([place.astype("<i4").tobytes()], pa.binary()),
-                    "k1": pa.ListArray.from_arrays(one, pa.array(long_names[:, 0])),
-                    "k2": pa.ListArray.from_arrays(one, pa.array(long_names[:, 1])),
-                    "segments": pa.ListArray.from_arrays(one, pa.array(distinct, pa.binary())),
-                }
-                yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
-                seq += 1
+            for some in pieces(batch, "text", PIECE_BYTES):
+                held.add(some, safe)
+                if held.size >= CHUNK_BYTES:
+                    yield from held.rows(part << 32 | seq)
+                    seq, held = seq + 1, _Gathered()
+        if held.ids:
+            yield from held.rows(part << 32 | seq)
 
     blank_before = F.when(F.length(text) > 0, F.concat(F.lit(" "), F.col(text))).otherwise("")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(blank_before, F.lit("")).alias("text")).mapInArrow(build, _CHUNK)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(blank_before, F.lit("")).alias("text")).mapInArrow(build, f"chunk bigint, place int, segment binary, {_HEAD}")
 
 
-def align(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links and groups of tokens over the same bytes.
+def stretches(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of either side in order, and which side each is of: bit 0 the first, bit 1 the second.
 
-    Each stretch between two neighbouring ends of either side lies in one token
-    of each, and two tokens share at most one stretch: (ends of the stretches,
-    the pair that each one links, the ends that both sides have).
+    Each stretch between two neighbouring ends lies in one token of each side,
+    and two tokens share at most one stretch, so stretches are links.
     """
     ends = np.union1d(a_ends, b_ends)
-    pairs = a_ids[np.searchsorted(a_ends, ends)] * PAIR + b_ids[np.searchsorted(b_ends, ends)]
-    return ends, pairs, np.intersect1d(a_ends, b_ends)
+    marks = np.zeros(len(ends), np.uint8)
+    marks[np.searchsorted(ends, a_ends)] = 1
+    marks[np.searchsorted(ends, b_ends)] |= 2
+    return ends, marks
 
 
-_ALIGNED = "k1 bigint, k2 bigint, ok boolean, n_a int, n_b int, n_groups int, n_links int, groups binary, pairs array<bigint>, times array<int>"
+def _alignments(tokenizers: Pair, segments: list[bytes]) -> list[bytes]:
+    """Of each segment: how many ids each side has (two 32-bit numbers), the ids (16 bits each), a byte for each stretch.
 
-
-def _aligned_batch(tokenizers: Pair, segments: list[bytes]) -> dict[str, pa.Array]:
+    A stretch's byte has bit 0 where the first side ends, bit 1 where the second
+    does. Nothing where either side's bytes aren't the segment's.
+    """
     a, b = tokenizers.encoded([x.decode() for x in segments])
-    ok = np.array([b"".join(map(tokenizers.a_bytes.__getitem__, p)) == x == b"".join(map(tokenizers.b_bytes.__getitem__, q)) for x, p, q in zip(segments, a, b, strict=True)])
-    a, b = ([x if good else [] for x, good in zip(ids, ok, strict=True)] for ids in (a, b))
-    sizes = np.where(ok, [len(x) for x in segments], 0)
-    ends = np.cumsum(sizes)
+    spelled = [b"".join(map(tokenizers.a_bytes.__getitem__, p)) == x == b"".join(map(tokenizers.b_bytes.__getitem__, q)) for x, p, q in zip(segments, a, b, strict=True)]
+    a, b = ([x if good else [] for x, good in zip(ids, spelled, strict=True)] for ids in (a, b))
     a_ids, b_ids = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b))
-    a_ends = np.cumsum(np.array([len(x) for x in tokenizers.a_bytes])[a_ids])
-    b_ends = np.cumsum(np.array([len(x) for x in tokenizers.b_bytes])[b_ids])
-    stretch, pairs, both = align(a_ids, a_ends, b_ids, b_ends)
-    of_link, of_group = np.searchsorted(ends, stretch), np.searchsorted(ends, both)
-    # Groups as text: token numbers up to each common end.
-    a_stop, b_stop = np.searchsorted(a_ends, both, side="right").tolist(), np.searchsorted(b_ends, both, side="right").tolist()
-    a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    written = [f"{','.join(a_text[p:q])}|{','.join(b_text[r:s])}" for p, q, r, s in zip([0, *a_stop], a_stop, [0, *b_stop], b_stop)]
-    n_groups = np.bincount(of_group, minlength=len(segments))
-    stop = np.cumsum(n_groups).tolist()
-    # Each distinct pair of a segment, and how often.
-    order = np.lexsort((pairs, of_link))
-    s, p = of_link[order], pairs[order]
-    new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (p[1:] != p[:-1])])) if len(s) else np.zeros(0, np.int64)
-    at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(s[new], minlength=len(segments)))]).astype(np.int32))
-    return {
-        "ok": pa.array(ok), "n_a": pa.array([len(x) for x in a], pa.int32()), "n_b": pa.array([len(x) for x in b], pa.int32()),
-        "n_groups": pa.array(n_groups.astype(np.int32)), "n_links": pa.array(np.bincount(of_link, minlength=len(segments)).astype(np.int32)),
-        "groups": pa.array([";".join(written[x:y]).encode() for x, y in zip([0, *stop], stop)], pa.binary()),
-        "pairs": pa.ListArray.from_arrays(at, pa.array(p[new])), "times": pa.ListArray.from_arrays(at, pa.array(np.diff(np.append(new, len(s))).astype(np.int32))),
-    }
-
-
-def aligned_segments(distinct: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
-    """Each segment's ids by both tokenizers, aligned; ``ok`` is false, and there are none, where either side's bytes aren't the segment's."""
+    a_ends, b_ends = np.cumsum(tokenizers.a_sizes[a_ids]), np.cumsum(tokenizers.b_sizes[b_ids])
+    ends, marks = stretches(a_ends, b_ends)
+    limits = np.cumsum([len(x) if good else 0 for x, good in zip(segments, spelled, strict=True)])
+    cut = np.searchsorted(ends, limits, side="right").tolist()
+    heads = np.array([[len(x) for x in a], [len(x) for x in b]], "<u4").T.tobytes()
+    a_raw, b_raw, mark_raw = a_ids.astype("<u2").tobytes(), b_ids.astype("<u2").tobytes(), marks.tobytes()
+    found, p, q, r = [], 0, 0, 0
+    for k, good in enumerate(spelled):
+        p2, q2, r2 = p + 2 * len(a[k]), q + 2 * len(b[k]), cut[k]
+        found.append(heads[8 * k : 8 * k + 8] + a_raw[p:p2] + b_raw[q:q2] + mark_raw[r:r2] if good else b"")
+        p, q, r = p2, q2, r2
+    return found
+
+
+def aligned(rows: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
+    """chunk, place and ``alignment`` for the rows of segments, which have to come sorted; rows of places stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair_of(*tokenizers)
+        both, last = pair_of(*tokenizers), (None, None)
         for batch in batches:
-            for some in pieces(batch.set_column(2, "text", batch.column("segment").cast(pa.large_binary()).view(pa.large_string())), "text", 500_000, 20_000):
-                found = _aligned_batch(both, [x.encode() for x in some.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([some.column("k1"), some.column("k2"), *found.values()], names=["k1", "k2", *found])
-
-    return distinct.select("k1", "k2", "segment").mapInArrow(run, _ALIGNED)
-
-
-def _joined(chunks: DataFrame, payload: DataFrame) -> DataFrame:
-    """One row for each chunk and distinct segment of it: of_chunk, place, and what the payload says of the segment."""
-    asked = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode(F.arrays_zip("k1", "k2")).alias("place", "k")).select("of_chunk", "place", "k.k1", "k.k2")
-    return asked.join(payload, ["k1", "k2"]).drop("k1", "k2")
-
-
-def _of_chunk(chunk: pa.Table, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table]:
-    """(for each segment its document, its row, the rows in the order of their places)"""
-    counts = np.frombuffer(chunk.column("counts")[0].as_buffer(), "<i4")
-    places = np.frombuffer(chunk.column("places")[0].as_buffer(), "<i4")
-    return np.repeat(np.arange(len(counts)), counts), places, rows.sort_by([("place", "ascending")]).combine_chunks()
-
-
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of a list column."""
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(whole, pa.ChunkedArray):
-        whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], column.type)
-    offsets = whole.offsets.to_numpy()
-    return offsets - offsets[0], whole.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-
-
-def _pair_counts(chunk: pa.Table, rows: pa.Table) -> pa.Table:
-    """Each pair that a document of the chunk links, and how many do."""
-    if not chunk.num_rows or not rows.num_rows:
-        return pa.table({"pair": pa.array([], pa.int64()), "docs": pa.array([], pa.int64())})
-    doc, place, rows = _of_chunk(chunk, rows)
-    good = np.ones(int(doc.max()) + 1, bool)
-    good[doc[~rows.column("ok").to_numpy(zero_copy_only=False)[place]]] = False
-    n = rows.num_rows
-    held = np.unique(doc[good[doc]] * n + place[good[doc]])  # each document and segment once
-    offsets, pairs = _lists(rows.column("pairs"))
-    distinct, number = np.unique(pairs, return_inverse=True)
-    counts = np.zeros(len(distinct), np.int64)
-    sizes = np.diff(offsets)
-    doc_of, seg = held // n, held % n
-    begin = 0
-    while begin < len(held):  # blocks end with a document
-        end = min(begin + (1 << 18), len(held))
-        if end < len(held):
-            end = int(np.searchsorted(doc_of, doc_of[end - 1], side="right"))
-        d, s = doc_of[begin:end], seg[begin:end]
-        size = sizes[s]
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        mine = np.unique(np.repeat(d, size) * len(distinct) + number[np.repeat(offsets[s], size) + within])
-        counts += np.bincount(mine % len(distinct), minlength=len(distinct)) if len(distinct) else 0
+            coded = batch.column("segment").dictionary_encode()  # equal ones stand together, so each is there once
+            segments = coded.dictionary.to_pylist()
+            fresh = segments[1:] if segments and segments[0] == last[0] else segments
+            found = []
+            for at in range(0, len(fresh), 4096):
+                found += _alignments(both, fresh[at : at + 4096])
+            if len(fresh) < len(segments):
+                found.insert(0, last[1])  # the batch before ended with it
+            if segments:
+                last = (segments[-1], found[-1])
+            column = pa.array(found, pa.binary()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([column if n == "segment" else batch.column(n) for n in batch.schema.names], names=["alignment" if n == "segment" else n for n in batch.schema.names])
+
+    return rows.mapInArrow(run, f"chunk bigint, place int, alignment binary, {_HEAD}")
+
+
+def _slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of many slices, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+class _Decoded:
+    """The alignments of a chunk's segments, by their places."""
+
+    def __init__(self, column: pa.Array):
+        whole = column.cast(pa.large_binary())
+        offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        raw = np.frombuffer(whole.buffers()[2], np.uint8) if whole.buffers()[2] is not None else np.zeros(0, np.uint8)
+        size, start = np.diff(offsets), offsets[:-1]
+        self.ok = size > 0
+        head = raw[_slices(start[self.ok], np.full(self.ok.sum(), 8))].view("<u4").reshape(-1, 2).astype(np.int64)
+        self.n_a, self.n_b, self.n_links = (np.zeros(len(size), np.int64) for _ in range(3))
+        self.n_a[self.ok], self.n_b[self.ok] = head[:, 0], head[:, 1]
+        self.n_links[self.ok] = (size - 8)[self.ok] - 2 * head.sum(1)
+        two = lambda at, n: raw[_slices(at, 2 * n)].view("<u2").astype(np.int64)
+        self.a = two(start + 8 * self.ok, self.n_a)
+        self.b = two(start + 8 * self.ok + 2 * self.n_a, self.n_b)
+        self.marks = raw[_slices(start + 8 * self.ok + 2 * (self.n_a + self.n_b), self.n_links)]
+        a_end, b_end = self.marks & 1, self.marks >> 1
+        self.a_of, self.b_of = np.cumsum(a_end) - a_end, np.cumsum(b_end) - b_end  # both sides end with a segment
+        self.pairs = self.a[self.a_of] * PAIR + self.b[self.b_of]
+        self.first = np.concatenate([[0], np.cumsum(self.n_links)])
+        both = np.concatenate([[0], np.cumsum(self.marks == 3)])
+        self.n_groups = both[self.first[1:]] - both[self.first[:-1]]
+
+    def groups(self) -> list[bytes]:
+        """Each segment's groups as text."""
+        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        at = np.flatnonzero(self.marks == 3)
+        a_stop, b_stop = (self.a_of[at] + 1).tolist(), (self.b_of[at] + 1).tolist()
+        each = [f"{','.join(a[p:q])}|{','.join(b[r:s])}" for p, q, r, s in zip([0, *a_stop], a_stop, [0, *b_stop], b_stop)]
+        stop = np.cumsum(self.n_groups).tolist()
+        return [";".join(each[p:q]).encode() for p, q in zip([0, *stop], stop)]
+
+
+_DOCS = ("n_a", "n_b", "n_groups", "n_links")
+_COMPOSED = "chunk bigint, doc_ids array<bigint>, " + ", ".join(f"{x} array<bigint>" for x in _DOCS) + ", digests array<string>, pairs array<bigint>, docs array<bigint>, sizes binary, steps binary, times binary, n_held bigint"
+#: Links that are looked at in a go.
+_LINKS = 1 << 20
+
+
+def _held_pairs(doc: np.ndarray, place: np.ndarray, d: _Decoded, number: np.ndarray, n_docs: int, n_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct pairs: (document, pair's number, times), in this order."""
+    sizes = d.n_links[place]
+    ends = np.cumsum(sizes)
+    found, begin = [], 0
+    while begin < len(doc):
+        end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _LINKS, side="right"))
+        end = int(np.searchsorted(doc, doc[min(max(end, begin + 1), len(doc)) - 1], side="right"))  # whole documents
+        links = np.repeat(doc[begin:end], sizes[begin:end]) * n_pairs + number[_slices(d.first[place[begin:end]], sizes[begin:end])]
+        found.append(np.unique(links, return_counts=True))
         begin = end
-    some = np.flatnonzero(counts)
-    return pa.table({"pair": pa.array(distinct[some]), "docs": pa.array(counts[some])})
-
-
-_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_ROWS = "doc_id bigint, " + ", ".join(f"{x} bigint" for x in _SUMS) + ", groups_sha256 string"
+    keys = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+    times = np.concatenate([n for _, n in found]) if found else np.zeros(0, np.int64)
+    return keys // max(n_pairs, 1), keys % max(n_pairs, 1), times
+
+
+def _compose(rows: pa.Table) -> pa.Table:
+    """A chunk's documents: their sums and digests, the chunk's distinct pairs, how many documents hold each, and which."""
+    rows = rows.sort_by([("place", "ascending")]).combine_chunks()
+    head = {n: rows.column(n)[0] for n in ("chunk", "doc_ids", "counts", "places", "n_places", "n_segments")}
+    if rows.column("place")[0].as_py() != -1 or rows.num_rows != head["n_segments"].as_py() + 1:
+        raise RuntimeError("a chunk was built anew with other rows; store the documents first")
+    n_docs = len(head["doc_ids"].values)
+    doc = np.repeat(np.arange(n_docs), _unpacked(head["counts"].as_py(), n_docs))
+    place = _unpacked(head["places"].as_py(), head["n_places"].as_py())
+    d = _Decoded(rows.column("alignment").slice(1).combine_chunks() if rows.num_rows > 1 else pa.array([], pa.binary()))
+    good = np.zeros(n_docs, bool)
+    good[doc] = True
+    good[doc[~d.ok[place]]] = False
+    at = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
+    written, order = d.groups(), place.tolist()
+    digests = [hashlib.sha256(b";".join(map(written.__getitem__, order[a:b]))).hexdigest() if g else "" for a, b, g in zip(at, at[1:], good.tolist())]
+    kept = good[doc]
+    doc, place = doc[kept], place[kept]
+    distinct, number = np.unique(d.pairs, return_inverse=True)
+    of_doc, pair, times = _held_pairs(doc, place, d, number, n_docs, len(distinct))
+    held = np.bincount(pair, minlength=len(distinct))
+    used = np.flatnonzero(held)  # pairs of documents without tokens don't count
+    short = np.cumsum(held > 0) - 1
+    pair = short[pair]
+    step = np.diff(pair, prepend=0)
+    new = np.flatnonzero(np.diff(of_doc, prepend=-1))
+    step[new] = pair[new]
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    sums = {n: np.bincount(doc, getattr(d, n)[place], n_docs).astype(np.int64) for n in _DOCS}
+    return pa.table({
+        "chunk": pa.array([head["chunk"].as_py()]), "doc_ids": one(head["doc_ids"].values), **{n: one(pa.array(v)) for n, v in sums.items()}, "digests": one(pa.array(digests, pa.string())),
+        "pairs": one(pa.array(distinct[used])), "docs": one(pa.array(held[used])), "sizes": pa.array([_packed(np.bincount(of_doc, minlength=n_docs))], pa.binary()),
+        "steps": pa.array([_packed(step)], pa.binary()), "times": pa.array([_packed(times)], pa.binary()), "n_held": pa.array([len(pair)]),
+    })
+
+
+_ROWS = "doc_id bigint, " + ", ".join(f"{x} bigint" for x in (*_DOCS, "n_best", "count_sum")) + ", groups_sha256 string"
 
 
 def _documents(chunk: pa.Table, rows: pa.Table) -> pa.Table:
-    """The result's rows of a chunk's documents."""
+    """The result's rows of a chunk's documents, with what its pairs (in the order of their places) count."""
     if not chunk.num_rows:
         return pa.table({x.split()[0]: pa.array([], pa.string() if "string" in x else pa.int64()) for x in _ROWS.split(", ")})
-    doc, place, rows = _of_chunk(chunk, rows)
     ids = chunk.column("doc_ids")[0].values
-    n_docs = len(ids)
-    good = np.bincount(doc, minlength=n_docs) > 0
-    out: dict[str, np.ndarray | list] = {}
-    if len(place):
-        good[doc[~rows.column("ok").to_numpy(zero_copy_only=False)[place]]] = False
-    for name in _SUMS:
-        total = np.zeros(n_docs, np.int64)
-        if len(place):
-            np.add.at(total, doc, rows.column(name).to_numpy().astype(np.int64)[place])
-        out[name] = np.where(good, total, 0)
-    written = rows.column("groups").to_pylist()
-    at = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
-    places = place.tolist()
-    out["groups_sha256"] = [hashlib.sha256(b";".join(map(written.__getitem__, places[a:b]))).hexdigest() if g else "" for a, b, g in zip(at, at[1:], good.tolist())]
-    return pa.table({"doc_id": ids, **{k: pa.array(v) for k, v in out.items()}})
+    rows = rows.sort_by([("place", "ascending")])
+    docs, best = rows.column("docs").to_numpy(), rows.column("best").to_numpy(zero_copy_only=False)
+    n = chunk.column("n_held")[0].as_py()
+    sizes = _unpacked(chunk.column("sizes")[0].as_py(), len(ids))
+    steps, times = (_unpacked(chunk.column(c)[0].as_py(), n) for c in ("steps", "times"))
+    total = np.concatenate([[0], np.cumsum(steps)])
+    before = np.repeat(total[np.cumsum(sizes) - sizes], sizes)
+    pair, of_doc = total[1:] - before, np.repeat(np.arange(len(ids)), sizes)
+    sums = [np.zeros(len(ids), np.int64) for _ in range(2)]
+    np.add.at(sums[0], of_doc, np.where(best[pair], times, 0) if n else times)
+    np.add.at(sums[1], of_doc, docs[pair] * times if n else times)
+    out = {"doc_id": ids, **{c: chunk.column(c)[0].values for c in _DOCS}, "n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1]), "groups_sha256": chunk.column("digests")[0].values}
+    return pa.table(out)
 
 
 def align_documents(docs: DataFrame, byte_level: str, pieces_model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -307,26 +411,20 @@ def align_documents(docs: DataFrame, byte_level: str, pieces_model: str, text: s
 
     Null and empty texts, and those that either side's tokens don't spell out,
     have no tokens: zeros and ''. Every row is a document of its own, whatever
-    ids repeat or are null. A text of any length is one row of a chunk. Other
-    columns are ignored; an empty table gives an empty result.
+    ids repeat or are null. A text of any length stays whole. Other columns are
+    ignored; an empty table gives an empty result. If a lost executor makes a
+    chunk be built anew from rows in another order, that is refused, not mixed.
     """
     tokenizers = (byte_level, pieces_model)
-    chunks = stored(segment_chunks(docs, text, doc_id, tokenizers), "segment-chunks")
-    named = chunks.select(F.explode(F.arrays_zip("k1", "k2", "segments")).alias("k")).select("k.k1", "k.k2", F.col("k.segments").alias("segment"))
-    aligned = stored(aligned_segments(named.distinct(), tokenizers), "aligned-segments")
-    bare = chunks.select("chunk", "doc_ids", "counts", "places")
-
-    asked = _joined(chunks, aligned.select("k1", "k2", "ok", "pairs"))
-    counted = bare.drop("doc_ids").groupBy("chunk").cogroup(asked.groupBy("of_chunk")).applyInArrow(_pair_counts, "pair bigint, docs bigint")
-    counts = stored(counted.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts")
+    rows = segment_rows(docs, text, doc_id, tokenizers)
+    by_segment = F.coalesce(F.col("segment"), F.col("chunk").cast("string").cast("binary"))  # rows of places go anywhere
+    back = aligned(rows.repartition(by_segment).sortWithinPartitions("segment"), tokenizers)
+    composed = stored(back.groupBy("chunk").applyInArrow(_compose, _COMPOSED), "aligned-chunks")
+
     first = F.floor(F.col("pair") / PAIR).alias("first")
+    counts = composed.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.docs").alias("docs"))
+    counts = stored(counts, "pair-counts")
     highest = counts.groupBy(first).agg(F.max("docs").alias("most"))
     judged = counts.withColumn("first", first).join(highest, "first").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
-
-    links = aligned.select("k1", "k2", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("k1", "k2", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    sums = links.join(judged, "pair").groupBy("k1", "k2").agg(
-        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("docs") * F.col("times")).alias("count_sum")
-    )
-    whole = aligned.drop("pairs", "times").join(sums, ["k1", "k2"], "left").na.fill(0, ["n_best", "count_sum"])
-    known = _joined(chunks, whole)
-    return bare.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_documents, _ROWS)
+    asked = composed.select(F.col("chunk").alias("of_chunk"), F.posexplode("pairs").alias("place", "pair")).join(judged, "pair").drop("pair")
+    return composed.drop("pairs", "docs").groupBy("chunk").cogroup(asked.groupBy("of_chunk")).applyInArrow(_documents, _ROWS)
