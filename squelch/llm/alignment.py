@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ from squelch.llm.words import Words, fingerprints
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: Bytes of text that are cut and named at a time.
 PIECE_BYTES = 2_000_000
 #: A pair of ids as one number.
@@ -190,18 +191,28 @@ class _Gathered:
         place[order] = np.arange(len(order))
         ids, n = pa.concat_arrays(self.ids), len(distinct)
         head = {
-            "chunk": pa.array([chunk]), "place": pa.array([-1], pa.int32()), "segment": pa.nulls(1, pa.binary()), "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-            "counts": pa.array([_packed(np.concatenate(self.counts))]), "places": pa.array([_packed(place[number])]), "n_places": pa.array([len(names)]), "n_segments": pa.array([n]),
+            "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "counts": pa.array([_packed(np.concatenate(self.counts))]), "places": pa.array([_packed(place[number])]),
+            "n_places": pa.array([len(names)]), "n_segments": pa.array([n]),
         }
-        yield pa.RecordBatch.from_arrays(list(head.values()), names=list(head))
+        yield self._batch(chunk, np.array([-1]), [_as_bytes(pa.RecordBatch.from_arrays(list(head.values()), names=list(head)))])
         for at in range(0, n, 20_000):
             some = [self.segments[x] for x in distinct[order[at : at + 20_000]].tolist()]
-            body = [pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.binary())]
-            body += [pa.nulls(len(some), x.type) for x in list(head.values())[3:]]
-            yield pa.RecordBatch.from_arrays(body, names=list(head))
+            yield self._batch(chunk, np.arange(at, at + len(some)), some)
+
+    @staticmethod
+    def _batch(chunk: int, places: np.ndarray, content: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(content), chunk)), pa.array(places.astype(np.int32)), pa.array(content, pa.binary())], names=["chunk", "place", "content"])
+
+
+def _as_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-_HEAD = "doc_ids array<bigint>, counts binary, places binary, n_places bigint, n_segments bigint"
+#: place -1: the chunk's places; from 0 on: a segment, later its alignment.
+_ROW = "chunk bigint, place int, content binary"
 
 
 def segment_rows(docs: DataFrame, text: str, doc_id: str, tokenizers: tuple[str, str]) -> DataFrame:
@@ -219,7 +230,7 @@ def segment_rows(docs: DataFrame, text: str, doc_id: str, tokenizers: tuple[str,
             yield from held.rows(part << 32 | seq)
 
     blank_before = F.when(F.length(text) > 0, F.concat(F.lit(" "), F.col(text))).otherwise("")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(blank_before, F.lit("")).alias("text")).mapInArrow(build, f"chunk bigint, place int, segment binary, {_HEAD}")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(blank_before, F.lit("")).alias("text")).mapInArrow(build, _ROW)
 
 
 def stretches(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +246,11 @@ def stretches(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return ends, marks
 
 
+_LONG = 255
+
+
 def _alignments(tokenizers: Pair, segments: list[bytes]) -> list[bytes]:
-    """Of each segment: how many ids each side has (two 32-bit numbers), the ids (16 bits each), a byte for each stretch.
+    """Of each segment: how many ids each side has (a byte each, or a mark and 32 bits each), the ids (16 bits each), a byte for each stretch.
 
     A stretch's byte has bit 0 where the first side ends, bit 1 where the second
     does. Nothing where either side's bytes aren't the segment's.
@@ -249,23 +263,27 @@ def _alignments(tokenizers: Pair, segments: list[bytes]) -> list[bytes]:
     ends, marks = stretches(a_ends, b_ends)
     limits = np.cumsum([len(x) if good else 0 for x, good in zip(segments, spelled, strict=True)])
     cut = np.searchsorted(ends, limits, side="right").tolist()
-    heads = np.array([[len(x) for x in a], [len(x) for x in b]], "<u4").T.tobytes()
     a_raw, b_raw, mark_raw = a_ids.astype("<u2").tobytes(), b_ids.astype("<u2").tobytes(), marks.tobytes()
     found, p, q, r = [], 0, 0, 0
     for k, good in enumerate(spelled):
-        p2, q2, r2 = p + 2 * len(a[k]), q + 2 * len(b[k]), cut[k]
-        found.append(heads[8 * k : 8 * k + 8] + a_raw[p:p2] + b_raw[q:q2] + mark_raw[r:r2] if good else b"")
+        n, m = len(a[k]), len(b[k])
+        p2, q2, r2 = p + 2 * n, q + 2 * m, cut[k]
+        head = bytes((n, m)) if n < _LONG and m < _LONG else bytes((_LONG,)) + struct.pack("<II", n, m)
+        found.append(head + a_raw[p:p2] + b_raw[q:q2] + mark_raw[r:r2] if good else b"")
         p, q, r = p2, q2, r2
     return found
 
 
 def aligned(rows: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
-    """chunk, place and ``alignment`` for the rows of segments, which have to come sorted; rows of places stay."""
+    """The rows with each segment's alignment in its stead; they have to come sorted by ``place >= 0`` and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, last = pair_of(*tokenizers), (None, None)
         for batch in batches:
-            coded = batch.column("segment").dictionary_encode()  # equal ones stand together, so each is there once
+            n = int((batch.column("place").to_numpy() < 0).sum())  # rows of places come first
+            if n:
+                yield batch.slice(0, n)
+            coded = batch.column("content").slice(n).dictionary_encode()  # equal ones stand together, so each is there once
             segments = coded.dictionary.to_pylist()
             fresh = segments[1:] if segments and segments[0] == last[0] else segments
             found = []
@@ -275,10 +293,10 @@ def aligned(rows: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
                 found.insert(0, last[1])  # the batch before ended with it
             if segments:
                 last = (segments[-1], found[-1])
-            column = pa.array(found, pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([column if n == "segment" else batch.column(n) for n in batch.schema.names], names=["alignment" if n == "segment" else n for n in batch.schema.names])
+                column = pa.array(found, pa.binary()).take(coded.indices)
+                yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(n), batch.column("place").slice(n), column], names=["chunk", "place", "content"])
 
-    return rows.mapInArrow(run, f"chunk bigint, place int, alignment binary, {_HEAD}")
+    return rows.mapInArrow(run, _ROW)
 
 
 def _slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -286,6 +304,10 @@ def _slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+#: Decimal numbers of ids, shared by all that are written.
+_NUMBERS = [str(i) for i in range(1 << 16)]
+
+
 class _Decoded:
     """The alignments of a chunk's segments, by their places."""
 
@@ -295,14 +317,20 @@ class _Decoded:
         raw = np.frombuffer(whole.buffers()[2], np.uint8) if whole.buffers()[2] is not None else np.zeros(0, np.uint8)
         size, start = np.diff(offsets), offsets[:-1]
         self.ok = size > 0
-        head = raw[_slices(start[self.ok], np.full(self.ok.sum(), 8))].view("<u4").reshape(-1, 2).astype(np.int64)
+        at = start[self.ok]
+        long, n_a, n_b = raw[at] == _LONG, raw[at].astype(np.int64), raw[np.minimum(at + 1, len(raw) - 1)].astype(np.int64)
+        wide = raw[_slices(at[long] + 1, np.full(long.sum(), 8))].view("<u4").reshape(-1, 2).astype(np.int64)
+        n_a[long], n_b[long] = wide[:, 0], wide[:, 1]
+        head = np.zeros(len(size), np.int64)
+        head[self.ok] = np.where(long, 9, 2)
         self.n_a, self.n_b, self.n_links = (np.zeros(len(size), np.int64) for _ in range(3))
-        self.n_a[self.ok], self.n_b[self.ok] = head[:, 0], head[:, 1]
-        self.n_links[self.ok] = (size - 8)[self.ok] - 2 * head.sum(1)
+        self.n_a[self.ok], self.n_b[self.ok] = n_a, n_b
+        self.n_links = size - head - 2 * (self.n_a + self.n_b)
         two = lambda at, n: raw[_slices(at, 2 * n)].view("<u2").astype(np.int64)
-        self.a = two(start + 8 * self.ok, self.n_a)
-        self.b = two(start + 8 * self.ok + 2 * self.n_a, self.n_b)
-        self.marks = raw[_slices(start + 8 * self.ok + 2 * (self.n_a + self.n_b), self.n_links)]
+        self.a = two(start + head, self.n_a)
+        self.b = two(start + head + 2 * self.n_a, self.n_b)
+        start = start + head
+        self.marks = raw[_slices(start + 2 * (self.n_a + self.n_b), self.n_links)]
         a_end, b_end = self.marks & 1, self.marks >> 1
         self.a_of, self.b_of = np.cumsum(a_end) - a_end, np.cumsum(b_end) - b_end  # both sides end with a segment
         self.pairs = self.a[self.a_of] * PAIR + self.b[self.b_of]
@@ -312,7 +340,7 @@ class _Decoded:
 
     def groups(self) -> list[bytes]:
         """Each segment's groups as text."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        a, b = ([_NUMBERS[i] for i in ids.tolist()] for ids in (self.a, self.b))
         at = np.flatnonzero(self.marks == 3)
         a_stop, b_stop = (self.a_of[at] + 1).tolist(), (self.b_of[at] + 1).tolist()
         each = [f"{','.join(a[p:q])}|{','.join(b[r:s])}" for p, q, r, s in zip([0, *a_stop], a_stop, [0, *b_stop], b_stop)]
@@ -345,19 +373,22 @@ def _held_pairs(doc: np.ndarray, place: np.ndarray, d: _Decoded, number: np.ndar
 def _compose(rows: pa.Table) -> pa.Table:
     """A chunk's documents: their sums and digests, the chunk's distinct pairs, how many documents hold each, and which."""
     rows = rows.sort_by([("place", "ascending")]).combine_chunks()
-    head = {n: rows.column(n)[0] for n in ("chunk", "doc_ids", "counts", "places", "n_places", "n_segments")}
-    if rows.column("place")[0].as_py() != -1 or rows.num_rows != head["n_segments"].as_py() + 1:
+    alone = rows.column("place")[0].as_py() == -1
+    head = next(iter(pa.ipc.open_stream(rows.column("content")[0].as_buffer()))) if alone else None
+    head = {n: head.column(n)[0] for n in head.schema.names} if alone else {}
+    if not alone or rows.num_rows != head["n_segments"].as_py() + 1:
         raise RuntimeError("a chunk was built anew with other rows; store the documents first")
     n_docs = len(head["doc_ids"].values)
     doc = np.repeat(np.arange(n_docs), _unpacked(head["counts"].as_py(), n_docs))
     place = _unpacked(head["places"].as_py(), head["n_places"].as_py())
-    d = _Decoded(rows.column("alignment").slice(1).combine_chunks() if rows.num_rows > 1 else pa.array([], pa.binary()))
+    d = _Decoded(rows.column("content").slice(1).combine_chunks() if rows.num_rows > 1 else pa.array([], pa.binary()))
     good = np.zeros(n_docs, bool)
     good[doc] = True
     good[doc[~d.ok[place]]] = False
     at = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
-    written, order = d.groups(), place.tolist()
-    digests = [hashlib.sha256(b";".join(map(written.__getitem__, order[a:b]))).hexdigest() if g else "" for a, b, g in zip(at, at[1:], good.tolist())]
+    written = d.groups()
+    digests = [hashlib.sha256(b";".join(map(written.__getitem__, place[a:b].tolist()))).hexdigest() if g else "" for a, b, g in zip(at, at[1:], good.tolist())]
+    del written
     kept = good[doc]
     doc, place = doc[kept], place[kept]
     distinct, number = np.unique(d.pairs, return_inverse=True)
@@ -372,7 +403,7 @@ def _compose(rows: pa.Table) -> pa.Table:
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     sums = {n: np.bincount(doc, getattr(d, n)[place], n_docs).astype(np.int64) for n in _DOCS}
     return pa.table({
-        "chunk": pa.array([head["chunk"].as_py()]), "doc_ids": one(head["doc_ids"].values), **{n: one(pa.array(v)) for n, v in sums.items()}, "digests": one(pa.array(digests, pa.string())),
+        "chunk": pa.array([rows.column("chunk")[0].as_py()]), "doc_ids": one(head["doc_ids"].values), **{n: one(pa.array(v)) for n, v in sums.items()}, "digests": one(pa.array(digests, pa.string())),
         "pairs": one(pa.array(distinct[used])), "docs": one(pa.array(held[used])), "sizes": pa.array([_packed(np.bincount(of_doc, minlength=n_docs))], pa.binary()),
         "steps": pa.array([_packed(step)], pa.binary()), "times": pa.array([_packed(times)], pa.binary()), "n_held": pa.array([len(pair)]),
     })
@@ -417,8 +448,9 @@ def align_documents(docs: DataFrame, byte_level: str, pieces_model: str, text: s
     """
     tokenizers = (byte_level, pieces_model)
     rows = segment_rows(docs, text, doc_id, tokenizers)
-    by_segment = F.coalesce(F.col("segment"), F.col("chunk").cast("string").cast("binary"))  # rows of places go anywhere
-    back = aligned(rows.repartition(by_segment).sortWithinPartitions("segment"), tokenizers)
+    segment = F.col("place") >= 0
+    by_content = F.when(segment, F.col("content")).otherwise(F.col("chunk").cast("string").cast("binary"))  # rows of places go anywhere
+    back = aligned(rows.repartition(by_content).sortWithinPartitions(segment, "content"), tokenizers)
     composed = stored(back.groupBy("chunk").applyInArrow(_compose, _COMPOSED), "aligned-chunks")
 
     first = F.floor(F.col("pair") / PAIR).alias("first")
