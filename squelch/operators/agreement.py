@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from squelch.functions.lexicon import NEAR_THRESHOLD
-from squelch.functions.sequence import compared_texts, token_similarity
+from squelch.functions.sequence import similarity_square, token_similarity
 from squelch.functions.text import evidence_tokens
+from squelch.operators.folds import let
 
 
 def spoken(hyp: DataFrame) -> DataFrame:
@@ -57,15 +58,44 @@ def _counts() -> list[Column]:
     return [F.size("every").cast("long").alias("results"), of("success").alias("successes"), of("abstained").alias("abstained"), of("error").alias("errors")]
 
 
+def near_group(families: Column, square: Column, threshold: float) -> Column:
+    """The best near group of a segment: anchor, joined, weakest, and max_pair over all pairs of families; null for no hypothesis.
+
+    Around each anchor, every other family has its likeliest text (the first of
+    equals), which joins if it reaches the threshold. The group of most
+    families is best, then that of the strongest weakest link (none counts
+    least), then that of the first anchor.
+    """
+    n = F.size(families)
+    places = F.sequence(F.lit(0), n - 1)
+
+    def around(i: Column) -> Column:
+        link = lambda j: F.struct(F.get(square, i * n + j).alias("s"), (-j).alias("at"))
+        others = F.array_distinct(F.filter(families, lambda f: f != F.get(families, i)))
+        likeliest = F.transform(others, lambda f: F.array_max(F.transform(F.filter(places, lambda j: F.get(families, j) == f), link)))
+        met = F.filter(likeliest, lambda x: x["s"] >= threshold)
+        return F.struct(
+            F.size(met).alias("size"), F.coalesce(F.array_min(met["s"]), F.lit(-1.0)).alias("link"), (-i).alias("first"),
+            F.array_sort(F.transform(met, lambda x: -x["at"])).alias("joined"), F.array_max(likeliest["s"]).alias("most"),
+        )
+
+    def best(every: Column) -> Column:
+        top = F.array_max(every)
+        return F.struct((-top["first"]).alias("anchor"), top["joined"].alias("joined"), F.when(top["size"] > 0, top["link"]).alias("weakest"), F.array_max(every["most"]).alias("max_pair"))
+
+    return F.when(n > 0, let(F.transform(places, around), best))
+
+
 def compared(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
-    """``by_segment`` with ``near``: the best near group, and the similarity of each spoken hypothesis to each, row by row."""
-    return by_segment(hyp).withColumn("near", compared_texts(F.col("said")["norm"], F.col("said")["family"], threshold))
+    """``by_segment`` with ``square``, the similarity of each spoken hypothesis to each, row by row, and ``near``, the best near group."""
+    rows = by_segment(hyp).withColumn("square", similarity_square(F.col("said")["norm"]))
+    return rows.withColumn("near", near_group(F.col("said")["family"], F.col("square"), threshold))
 
 
 def pair_similarities(hyp: DataFrame) -> DataFrame:
     """Similarity of every ordered pair of a segment's spoken hypotheses."""
     n = F.size("said")
-    firsts = compared(hyp).select("segment_id", "said", "near.square", F.posexplode("said").alias("i", "a"))
+    firsts = compared(hyp).select("segment_id", "said", "square", F.posexplode("said").alias("i", "a"))
     pairs = firsts.select("segment_id", "i", "a", F.posexplode("said").alias("j", "b"), F.slice("square", F.col("i") * n + 1, n).alias("row")).filter("i <> j")
     return pairs.select("segment_id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("model", "family", "text")], F.get("row", F.col("j")).alias("similarity"))
 
@@ -92,7 +122,7 @@ def agreement(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
     hypothesis most like all others together, the first model on ties.
     """
     n, said = F.size("said"), F.col("said")
-    total = lambda i: F.aggregate(F.slice("near.square", i * n + 1, n), F.lit(0.0), lambda a, x: a + x)
+    total = lambda i: F.aggregate(F.slice("square", i * n + 1, n), F.lit(0.0), lambda a, x: a + x)
     medoid = F.array_min(F.transform("said", lambda h, i: F.struct((-total(i)).alias("t"), h["model"].alias("model"), h["text"].alias("text"))))
     rows = compared(hyp, threshold).withColumns({"top": _top(said), "m": medoid})
     families, near = F.coalesce(-F.col("top.f"), F.lit(0)), F.when(n > 0, F.size("near.joined") + 1).otherwise(0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squelch.functions.geo import box
-from squelch.operators import answers, areas, sightings
+from squelch.operators import answers, areas, sightings, utterances
 from squelch.sources import views
 from squelch.sources.views import answer_log, with_views
 
@@ -191,3 +191,67 @@ def area_labels(spark: SparkSession, d: str) -> DataFrame:
     framed = rows.select("area_id", F.transform("ring", shown).alias("ring")).withColumn("exclude", F.array().cast("array<array<struct<x:double,y:double>>>"))
     found = areas.label_points(framed, 900, 900)
     return found.select("area_id", *[F.round(c, 4).alias(c) for c in ("x", "y", "room")])
+
+
+# Passages that families agree on, and how texts show them
+
+_LOW = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in utterances.LOW_CONTENT) + "]"
+_MARKS = "'\"''`“”‘’.,;:!?()[]{}<>'"
+_VIEW = "list_filter(range(len({0})), lambda i: trim(lower({0}[i + 1]), " + _MARKS.replace("{", "{{").replace("}", "}}") + ") <> '')"
+_PASSAGES = rf"""h AS MATERIALIZED (SELECT segment_id, model, family, text, norm, string_split(norm, ' ') AS tk, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM heard),
+placed AS (SELECT segment_id, model, family, unnest(tk) AS t, unnest(range(1, len(tk) + 1)) AS i FROM h),
+same AS (SELECT a.segment_id, a.model AS am, b.model AS bm, a.i - b.i AS diagonal, a.i, a.t FROM placed a JOIN placed b ON a.segment_id = b.segment_id AND a.family <> b.family AND a.model < b.model AND a.t = b.t),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY segment_id, am, bm, diagonal ORDER BY i) AS island FROM same),
+runs AS (SELECT DISTINCT segment_id, string_agg(t, ' ' ORDER BY i) AS run, count(*) AS n FROM islands GROUP BY segment_id, am, bm, diagonal, island HAVING count(*) >= 3),
+held AS MATERIALIZED (SELECT segment_id, run, n, model, family, length(before) - length(replace(before, ' ', '')) AS place, len(tk) AS of_tokens, ws, wi FROM (
+  SELECT r.*, h.model, h.family, h.tk, h.ws, {_VIEW.format('h.ws')} AS wi, left(' ' || h.norm || ' ', instr(' ' || h.norm || ' ', ' ' || r.run || ' ') - 1) AS before FROM runs r JOIN h ON r.segment_id = h.segment_id AND contains(' ' || h.norm || ' ', ' ' || r.run || ' '))),
+sup AS MATERIALIZED (SELECT segment_id, run, any_value(n) AS n, list_sort(list_distinct(list(family))) AS families, list_sort(list(model)) AS models, arg_min(struct_pack(place := place, of_tokens := of_tokens, ws := ws, wi := wi), model) AS anchor,
+  string_agg(model || ':' || wi[place + 1] || '-' || (wi[place + n] + 1), ' ' ORDER BY model) AS spans,
+  list(CASE model WHEN 'parakeet-a' THEN wi[place + 1] * 300 WHEN 'canary-b' THEN wi[place + 1] * 300 + 20 END) AS starts, list(CASE model WHEN 'parakeet-a' THEN wi[place + n] * 300 + 250 WHEN 'canary-b' THEN wi[place + n] * 300 + 270 END) AS stops,
+  string_agg(CASE WHEN model IN ('parakeet-a', 'canary-b') THEN model END, ' ' ORDER BY model DESC) AS timed_by
+ FROM held WHERE len(list_filter(string_split(run, ' '), lambda t: NOT list_contains({_LOW}, replace(t, '''', '')))) >= 2 GROUP BY segment_id, run HAVING count(DISTINCT family) >= 2),
+kept AS (SELECT s.* FROM sup s WHERE NOT EXISTS (SELECT 1 FROM sup o WHERE o.segment_id = s.segment_id AND o.n > s.n AND contains(' ' || o.run || ' ', ' ' || s.run || ' ') AND list_has_all(o.families, s.families))),
+most AS (SELECT segment_id, max(len(tk)) AS longest FROM h GROUP BY segment_id),
+told AS (SELECT k.*, row_number() OVER (PARTITION BY k.segment_id ORDER BY len(families) DESC, n DESC, string_split(run, ' ')) - 1 AS ordinal, m.longest, tl.duration_ms FROM kept k JOIN most m ON k.segment_id = m.segment_id JOIN (SELECT segment_id, len(w) * 300 AS duration_ms FROM tl) tl ON tl.segment_id = k.segment_id)"""
+
+
+def _passages(select: str) -> str:
+    return with_views("", "hyp").rstrip() + ",\n" + _PASSAGES + "\n" + select
+
+
+@query(
+    "utterance_agreement",
+    _passages("""SELECT segment_id, CAST(ordinal AS INTEGER) AS ordinal, run, array_to_string(anchor.ws[anchor.wi[anchor.place + 1] + 1 : anchor.wi[anchor.place + n] + 1], ' ') AS text, len(families) AS n_families, array_to_string(models, ' ') AS models, spans,
+ CASE WHEN timed_by IS NULL THEN CAST(floor(duration_ms * anchor.place / anchor.of_tokens) AS INTEGER) ELSE CAST(floor(list_median(list_filter(starts, lambda x: x IS NOT NULL))) AS INTEGER) END AS start_ms,
+ CASE WHEN timed_by IS NULL THEN CAST(floor(duration_ms * (anchor.place + n) / anchor.of_tokens) AS INTEGER) ELSE CAST(floor(list_median(list_filter(stops, lambda x: x IS NOT NULL))) AS INTEGER) END AS end_ms,
+ timed_by IS NULL AS bounds_estimated, coalesce(timed_by, '') AS timed_by, CASE WHEN anchor.place = 0 THEN 'leading' WHEN anchor.place + n = anchor.of_tokens THEN 'trailing' ELSE 'middle' END AS position, round(n / longest::DOUBLE, 3) AS coverage FROM told"""),
+)
+def utterance_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage of every transmission, with its bounds by the word times of the families that can be trusted most."""
+    found = utterances.utterances(views.timed_hypotheses(spark, d))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["model"], F.lit(":"), s["from_word"], F.lit("-"), s["to_word"])), " ")
+    return found.select(
+        "segment_id", "ordinal", F.array_join("tokens", " ").alias("run"), "text", "n_families", F.array_join("models", " ").alias("models"), spans.alias("spans"), "start_ms", "end_ms", "bounds_estimated",
+        F.array_join("timed_by", " ").alias("timed_by"), "position", "coverage",
+    )
+
+
+@query(
+    "text_highlights",
+    _passages("""SELECT segment_id, model, string_agg(stretch, ' ' ORDER BY first_word) AS shown FROM (
+ SELECT segment_id, model, min(k) AS first_word, CASE WHEN any_value(u) IS NULL THEN string_agg(word, ' ' ORDER BY k) ELSE '[' || any_value(u) || '/' || any_value(f) || ' ' || string_agg(word, ' ' ORDER BY k) || ']' END AS stretch FROM (
+  SELECT *, k - row_number() OVER (PARTITION BY segment_id, model, u ORDER BY k) AS island FROM (
+   SELECT w.segment_id, w.model, w.k, any_value(w.word) AS word, (max(struct_pack(f := s.f, u := s.u)) FILTER (s.u IS NOT NULL)).u AS u, (max(struct_pack(f := s.f, u := s.u)) FILTER (s.u IS NOT NULL)).f AS f
+   FROM (SELECT segment_id, model, unnest(ws) AS word, unnest(range(len(ws))) AS k FROM h) w
+   LEFT JOIN (SELECT t.segment_id, h2.model, t.ordinal AS u, len(t.families) AS f, h2.wi[h2.place + 1] AS a, h2.wi[h2.place + t.n] AS b FROM told t JOIN held h2 ON h2.segment_id = t.segment_id AND h2.run = t.run) s
+    ON s.segment_id = w.segment_id AND s.model = w.model AND w.k BETWEEN s.a AND s.b GROUP BY w.segment_id, w.model, w.k)) GROUP BY segment_id, model, u, island) GROUP BY segment_id, model"""),
+)
+def text_highlights(spark: SparkSession, d: str) -> DataFrame:
+    """Each heard text with its stretches marked as [passage/families words]."""
+    from squelch.operators.agreement import spoken
+    from squelch.sources.views import hypotheses
+
+    hyp = hypotheses(spark, d)
+    marked = spoken(hyp).join(utterances.passages(hyp), "segment_id").select("segment_id", "model", utterances.shown(F.col("text"), utterances.highlights(F.col("text"), F.col("passages"))).alias("s"))
+    part = lambda x: F.when(x["mark"].isNull(), x["words"]).otherwise(F.concat(F.lit("["), x["mark"]["utterance"], F.lit("/"), x["mark"]["n_families"], F.lit(" "), x["words"], F.lit("]")))
+    return marked.select("segment_id", "model", F.array_join(F.transform("s", part), " ").alias("shown"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from squelch.functions import sequence, text
 from squelch.functions.lexicon import CONVERSATIONAL_PHRASES, FILLER_TOKENS, OFF_DOMAIN_PHRASES
-from squelch.operators import agreement, evaluation, quality, review, utterances as utt
+from squelch.operators import agreement, evaluation, quality, review
 from squelch.sources.views import hypotheses, segments, table, transmissions, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -153,12 +153,6 @@ def medoid_representative(spark: SparkSession, d: str) -> DataFrame:
     return agreement.agreement(hypotheses(spark, d))
 
 
-@query("utterance_agreement")
-def utterance_agreement(spark: SparkSession, d: str) -> DataFrame:
-    lengths = transmissions(spark, d).select("segment_id", (F.size("words") * 300).alias("duration_ms"))
-    return utt.utterances(hypotheses(spark, d), lengths).drop("families", "models")
-
-
 @query("model_evidence")
 def model_evidence(spark: SparkSession, d: str) -> DataFrame:
     return agreement.evidence(hypotheses(spark, d))

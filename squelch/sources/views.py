@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -72,8 +72,8 @@ def transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select((F.col("doc_id") * MOST_UTTERANCES + F.col("k")).alias("segment_id"), "doc_id", "words").withColumn("n_len", F.char_length(F.concat_ws(" ", "words")))
 
 
-def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five hypotheses of four families for each transmission: segment_id, model, family, status, text."""
+def hypotheses(spark: SparkSession, sf_dir: str, duration: Column | None = None) -> DataFrame:
+    """Five hypotheses of four families for each transmission: segment_id, model, family, status, text (and ``duration_ms``, if asked)."""
     said = {
         "canary-a": ("canary", "concat_ws(' ', slice(words, 1, 13))"),
         "canary-b": ("canary", "concat(lower(concat_ws(' ', slice(words, 1, 13))), '.')"),
@@ -82,9 +82,20 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "qwen-a": ("qwen3-asr", "case when n_len % 11 = 0 then null else concat_ws(' ', slice(words, 1, 6)) end"),
     }
     every = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("family"), F.expr(x).alias("text")) for m, (f, x) in said.items()])
-    rows = transmissions(spark, sf_dir).select("segment_id", F.explode(every).alias("h")).select("segment_id", "h.model", "h.family", "h.text")
+    more = {} if duration is None else {"duration_ms": duration}
+    heard = transmissions(spark, sf_dir).select("segment_id", *[c.alias(n) for n, c in more.items()], F.explode(every).alias("h"))
+    rows = heard.select("segment_id", "h.model", "h.family", "h.text", *more)
     status = F.when(F.col("text").isNull(), "error").when(F.trim("text") == "", "abstained").otherwise("success")
-    return rows.select("segment_id", "model", "family", status.alias("status"), "text")
+    return rows.select("segment_id", "model", "family", status.alias("status"), "text", *more)
+
+
+def timed_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hypotheses with their transmission's ``duration_ms`` (300 a word), and ``words`` as three of the models time them (one of these without any length)."""
+    said = hypotheses(spark, sf_dir, F.size("words") * 300)
+    late = F.when(F.col("model") == "canary-b", 20).when(F.col("model").isin("parakeet-a", "qwen-a"), 0)
+    still = F.col("model") == "qwen-a"
+    timed = F.transform(F.array_remove(F.split("text", SPACE), ""), lambda w, i: F.struct(F.when(still, 0).otherwise(i * 300 + late).alias("start_ms"), F.when(still, 0).otherwise(i * 300 + 250 + late).alias("end_ms"), w.alias("word")))
+    return said.withColumn("words", F.when(late.isNotNull(), timed))
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
