@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from squelch.llm.shared import pieces, text_buffer
+from squelch.llm.shared import owned, pieces, text_buffer
 
 CHUNK_BYTES = 1_000_000
 CHUNKS_PER_BUCKET = 16
@@ -38,6 +38,7 @@ def chunks(docs: DataFrame, text: str, doc_id: str, keep: list[str] | None = Non
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("near duplicates")
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in pieces(batch, "text", limit):
@@ -129,6 +130,7 @@ def ask(table: DataFrame, sent: Callable[[pa.RecordBatch, int, Chunk], Entries],
     kinds = {name: np.dtype(kind) for name, kind in fields.items()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("near duplicates")
         for batch in batches:
             for k, chunk in opened(batch):
                 found = sent(batch, k, chunk)

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from squelch.llm import exchange
 from squelch.llm.components import components
 from squelch.llm.exchange import PLACE_BITS, Chunk
-from squelch.llm.shared import stored
+from squelch.llm.shared import owned, stored
 from squelch.llm.words import Words, fingerprints, mixed, whole, windows, words_of
 
 SHINGLE = 5
@@ -185,6 +185,7 @@ def signatures(chunks: DataFrame, documents: int) -> DataFrame:
     """row, doc_id, h1 and h2 (128 bits of a cryptographic hash of the text) and bands; null bands where there are no words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("near duplicates")
         for batch in batches:
             for k, chunk in exchange.opened(batch):
                 have, sample = samples(*weighted(batch, k, chunk, documents))
@@ -209,6 +210,7 @@ def vectors(chunks: DataFrame, nodes: DataFrame, documents: int) -> DataFrame:
     picked = nodes.groupBy(F.shiftrightunsigned("node", PLACE_BITS).alias("chunk")).agg(F.collect_list("node").alias("picked"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("near duplicates")
         for batch in batches:
             for k, chunk in exchange.opened(batch):
                 text, shingle, weight = weighted(batch, k, chunk, documents)
@@ -423,6 +425,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     gone = stored(gone.groupBy(F.shiftrightunsigned("row", PLACE_BITS).alias("chunk")).agg(F.collect_list("row").alias("gone")), "gone")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("near duplicates")
         for batch in batches:
             for k, chunk in exchange.opened(batch):
                 stays = np.ones(len(chunk), bool)

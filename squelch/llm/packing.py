@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from squelch.llm.shared import pieces, stored
+from squelch.llm.shared import owned, pieces, stored
 from squelch.llm.tokens import encoder
 
 ROUNDS, GAP = 3000, 0.004  # at most so many rounds; fewer once the mixture is so near the bound
@@ -176,6 +176,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, te
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("packing")
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for some in pieces(batch, "text", 500_000):

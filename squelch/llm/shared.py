@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,32 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+_forget: list[Callable[[], None]] = []
+_owner: list[str] = []
+
+
+def forgettable(clear: Callable[[], None]) -> None:
+    """Registers what empties a memory that a worker keeps from task to task."""
+    _forget.append(clear)
+
+
+def owned(operator: str) -> None:
+    """Says which operator a task is of; the memories that another one has left in this worker go.
+
+    Spark runs tasks of many jobs in one worker, one after another, so what each
+    operator keeps for its next task would add up.
+    """
+    if _owner and _owner[0] != operator:
+        for clear in _forget:
+            clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim:
+            trim(0)
+    _owner[:] = [operator]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; null is empty."""
     if column.null_count:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from squelch.llm.shared import pieces, stored, text_buffer
+from squelch.llm.shared import owned, pieces, stored, text_buffer
 from squelch.llm.words import Words, fingerprints, mixed, whole, windows, words_of
 
 WINDOW = 20
@@ -51,6 +51,7 @@ def chunks(docs: DataFrame, text: str, doc_id: str, keep: list[str] | None = Non
     """Whole documents in rows of some MB: chunk, doc_ids, lengths, the compressed bytes, and the ``keep`` columns as structs."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("repeated passages")
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in pieces(batch, "text", CHUNK_BYTES):
@@ -269,6 +270,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         buckets *= 2
 
     def send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("repeated passages")
         for batch in batches:
             for row in batch.to_pylist():
                 distinct = _symbols_of(*_open(row))[0]
@@ -281,6 +283,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     shared = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("shared"))
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("repeated passages")
         for batch in batches:
             for row in batch.to_pylist():
                 w, start, keys = _candidates(row, buckets)
@@ -301,6 +304,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     earlier = earlier.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("earlier"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("repeated passages")
         for batch in batches:
             kept_docs = batch.column("docs") if keep else None
             for k, row in enumerate(batch.drop_columns(["docs"] if keep else []).to_pylist()):

@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from squelch.llm.shared import forgettable
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
@@ -146,6 +148,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+forgettable(_encoders.clear)
 
 
 def encoder(path: str, room: int = MEMORY) -> Encoder:

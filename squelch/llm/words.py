@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from squelch.llm.shared import forgettable
+
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -26,6 +28,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _tables: dict[tuple[int, bool], np.ndarray] = {}
+forgettable(_tables.clear)
 
 
 def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
