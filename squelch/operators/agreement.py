@@ -15,6 +15,7 @@ from squelch.functions.lexicon import NEAR_THRESHOLD
 from squelch.functions.sequence import similarity_square, token_similarity
 from squelch.functions.text import evidence_tokens
 from squelch.operators.folds import let
+from squelch.operators.relational import round_half_even
 
 
 def spoken(hyp: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def agreement(hyp: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
     text = F.when(families >= 2, F.col("top.text")).when(near >= 2, F.get("said", F.col("near.anchor"))["text"]).otherwise(F.col("m.text"))
     return rows.select(
         "segment_id", *_counts(), families.cast("long").alias("exact_families"), F.coalesce(-F.col("top.p"), F.lit(0)).cast("long").alias("exact_providers"), near.cast("long").alias("near_families"),
-        F.round("near.weakest", 4).alias("weakest"), F.round("near.max_pair", 4).alias("max_pair"), kind.alias("kind"), text.alias("representative"),
+        round_half_even(F.col("near.weakest")).alias("weakest"), round_half_even(F.col("near.max_pair")).alias("max_pair"), kind.alias("kind"), text.alias("representative"),
     )
 
 

@@ -71,10 +71,16 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
 
 
 def neighbours(frame: DataFrame, keys: Sequence[str], time: str, key: str) -> DataFrame:
-    """Adds ``previous`` and ``next``: the nearest rows strictly earlier and later on the same keys."""
-    earlier = W.partitionBy(*keys).orderBy(F.unix_micros(F.col(time).cast("timestamp")))
-    before, after = earlier.rangeBetween(W.unboundedPreceding, -1), earlier.rangeBetween(1, W.unboundedFollowing)
-    return frame.withColumn("previous", F.max(F.struct(time, key)).over(before)[key]).withColumn("next", F.min(F.struct(time, key)).over(after)[key])
+    """Adds ``previous`` and ``next``: the nearest rows strictly earlier and later on the same keys; of equally near ones the greater and the smaller ``key``.
+
+    Rows of one time are one peer group, which a running frame passes as one;
+    looking ahead is looking back in the other order, so both are linear.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    up, down = W.partitionBy(*keys).orderBy(micros), W.partitionBy(*keys).orderBy(micros.desc())
+    before = F.max(F.struct(time, key)).over(up.rangeBetween(W.unboundedPreceding, -1))[key]
+    after = F.min(F.struct(time, key)).over(down.rangeBetween(W.unboundedPreceding, -1))[key]
+    return frame.withColumn("previous", before).withColumn("next", after)
 
 
 def thinned(frame: DataFrame, keys: Sequence[str], order: Sequence[str], points: int) -> DataFrame:
@@ -86,17 +92,39 @@ def thinned(frame: DataFrame, keys: Sequence[str], order: Sequence[str], points:
     return rows.filter((F.col("_n") <= points) | (at == F.col("_i"))).drop("_i", "_n")
 
 
-def fingerprint(frame: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
-    """One row: the table's name, its rows, and the sum of 60 bits of each row's MD5 over some columns.
+def fingerprint(frame: DataFrame, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row: the table's name, its rows, and the sum of 60 bits of each row's MD5 over its columns (all, if none are named).
 
-    A sum has no order, so tasks add up their own rows and one number each
-    travels. The columns hold the key, so rows that swap values are seen.
+    Each value is written after its length and a colon, a null as an
+    exclamation mark, so no two rows are written alike; arrays count as their
+    elements' text in brackets. A sum has no order, so tasks add up their own
+    rows and one number each travels.
     """
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    kinds = dict(frame.dtypes)
+
+    def text(c: str) -> Column:
+        if kinds[c].startswith("array"):
+            return F.concat(F.lit("["), F.array_join(F.transform(F.col(c), lambda v: _plain(v)), ",", "!"), F.lit("]"))
+        return _plain(F.col(c), kinds[c])
+
+    def written(c: str) -> Column:
+        value = text(c)
+        return F.coalesce(F.concat(F.char_length(value).cast("string"), F.lit(":"), value), F.lit("!"))
+
+    row = F.concat(*[written(c) for c in columns or frame.columns])
     part = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
     return frame.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(part).cast("string"), F.lit("0")).alias("digest")).select(F.lit(name).alias("table_name"), "n_rows", "digest")
 
 
+def _plain(value: Column, kind: str = "float") -> Column:
+    """Text that other engines write alike: times in microseconds, fractions in billionths."""
+    if kind.startswith("timestamp"):
+        return F.unix_micros(value.cast("timestamp")).cast("string")
+    if kind in ("float", "double"):
+        return F.round(value.cast("double") * 1_000_000_000).cast("bigint").cast("string")
+    return value.cast("string")
+
+
 def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has: ``missing`` on the right or ``extra`` there."""
     a = left.select(F.col(key).alias("a")).distinct()
@@ -118,11 +146,23 @@ def cascade(reasons: dict[str, Column]) -> Column:
     return found
 
 
-def rate(part: Column, whole: Column, digits: int = 4) -> Column:
-    """A ratio of sums, rounded; null where the whole is zero."""
-    return F.round(part / F.nullif(whole, F.lit(0)), digits)
+def round_half_even(x: Column, digits: int = 4) -> Column:
+    """The nearest multiple of 10^-digits to the exact value of a double; halves go to the even one.
 
+    The product with 10^digits is taken as an exact sum of two doubles (by
+    splitting x in two halves), so a half is a half and nothing near one is.
+    For |x| 10^digits below 2^52.
+    """
+    ten = float(10**digits)
+    wide = x.cast("double") * 134217729.0  # 2^27 + 1
+    high = wide - (wide - x)
+    product = x * ten
+    error = (high * ten - product) + (x - high) * ten
+    low = F.floor(product)
+    beyond = (product - low - 0.5) + error
+    return (low + F.when((beyond > 0) | ((beyond == 0) & (low % 2 != 0)), 1).otherwise(0)) / ten
 
-def where_all(frame: DataFrame, conditions: Sequence[Column | None]) -> DataFrame:
-    """Rows that meet every condition that is given."""
-    return reduce(lambda f, c: f if c is None else f.filter(c), conditions, frame)
+
+def rate(part: Column, whole: Column, digits: int = 4) -> Column:
+    """A ratio of sums, rounded half to even; null where the whole is zero."""
+    return round_half_even(part / F.nullif(whole, F.lit(0)), digits)

@@ -15,7 +15,12 @@ MOST_ROWS = 1000
 
 @dataclass(frozen=True)
 class Filters:
-    """Absent fields set no constraint."""
+    """Absent and empty fields set no constraint, with three exceptions.
+
+    Unless sources are named or ``include_benchmark`` is set, only the corpus is
+    searched; unless ``min_models`` is 0, a segment needs that many results;
+    and an empty stored sample selects nothing.
+    """
 
     sources: list | None = None
     channels: list[str] | None = None
@@ -38,6 +43,20 @@ class Filters:
     has_spans: bool | None = None
     partial_usable: bool | None = None
     sample_ids: list[int] | None = None
+    min_models: int | None = 1
+    airport: str | None = None
+    q: str | None = None
+    scope: str = "any"
+    scope_model: str | None = None
+
+
+@dataclass(frozen=True)
+class Texts:
+    """What a search looks through: hypotheses (segment_id, model, text), consensus and human texts (segment_id, text)."""
+
+    hypotheses: DataFrame
+    consensus: DataFrame
+    human: DataFrame
 
 
 def partial_agreement() -> Column:
@@ -47,25 +66,29 @@ def partial_agreement() -> Column:
 
 def predicates(f: Filters) -> list[Column]:
     found: list[Column] = []
-    if not f.include_benchmark:
+    if not f.sources and not f.include_benchmark:
         found.append(F.col("role") == "corpus")
-    for name, values in (("source_id", f.sources), ("channel", f.channels), ("station", f.stations), ("segment_id", f.sample_ids)):
-        if values is not None:
+    for name, values in (("source_id", f.sources), ("channel", f.channels), ("station", f.stations)):
+        if values:
             found.append(F.col(name).isin(list(values)))
+    if f.sample_ids is not None:
+        found.append(F.col("segment_id").isin(list(f.sample_ids)))
+    if f.min_models:
+        found.append(F.col("results") >= f.min_models)
     if f.utc_from is not None:
         found.append(F.col("capture_start") >= F.lit(f.utc_from).cast("timestamp_ntz"))
     if f.utc_to is not None:
         found.append(F.col("capture_start") < F.lit(f.utc_to).cast("timestamp_ntz"))
-    if f.statuses is not None:
+    if f.statuses:
         found.append(F.coalesce(F.col("review_status"), F.lit("unreviewed")).isin(list(f.statuses)))
-    if f.labels is not None:
+    if f.labels:
         found.append(F.coalesce(F.col("label"), F.lit("none")).isin(list(f.labels)))
     found += [F.col(c) >= v for c, v in f.at_least.items()]
     found += [F.col(c) <= v for c, v in f.at_most.items()]
     if f.partial_agreement is not None:
         found.append(partial_agreement() if f.partial_agreement else ~partial_agreement())
     for name, values in (("all_families", f.any_family), ("all_models", f.any_model), ("flags", f.any_flag), ("span_labels", f.span_labels)):
-        if values is not None:
+        if values:
             found.append(F.arrays_overlap(F.col(name), F.array(*[F.lit(x) for x in values])))
     spans = F.coalesce(F.size("span_labels"), F.lit(-1)) > 0
     if f.has_spans is not None:
@@ -97,15 +120,50 @@ VIEWS = {
     "silver-candidates": Filters(labels=["candidate", "silver"]),
     "gold": Filters(labels=["gold"]),
     "disagreement": Filters(at_least={"successes": 2}, at_most={"exact_families": 1, "near_families": 1}),
-    "partial-usable": Filters(partial_usable=True),
+    "partial-usable": Filters(partial_usable=True, min_models=0),
     "errors-abstentions": Filters(has_error_or_abstention=True),
 }
 
 
-def query(rows: DataFrame, filters: Filters) -> DataFrame:
-    """Segments (already left-joined with agreement and annotations) that meet the filters."""
+SCOPES = ("any", "human", "consensus", "hypotheses", "model")
+
+
+def searched_ids(f: Filters, texts: Texts) -> DataFrame | None:
+    """Ids of segments whose texts in the filter's scope hold its query; None where it asks for nothing.
+
+    The scope ``model`` looks at one model's hypotheses and, without a query,
+    takes all segments that have one.
+    """
+    words = (f.q or "").strip()
+    if f.scope not in SCOPES:
+        raise ValueError(f"unknown scope: {f.scope}")
+    if not words and not (f.scope == "model" and f.scope_model):
+        return None
+    if f.scope == "model" and not f.scope_model:
+        raise ValueError("scope 'model' needs scope_model")
+    held = {"hypotheses": texts.hypotheses, "consensus": texts.consensus, "human": texts.human}
+    if f.scope == "model":
+        one = texts.hypotheses.filter(F.col("model") == f.scope_model)
+        return matching_ids({"model": (one, "segment_id", "text")}, words) if words else one.select(F.col("segment_id").alias("id")).distinct()
+    return matching_ids({k: (v, "segment_id", "text") for k, v in held.items() if f.scope in ("any", k)}, words)
+
+
+def query(rows: DataFrame, filters: Filters, texts: Texts | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Segments (already left-joined with agreement and annotations) that meet the filters.
+
+    A search needs ``texts``, an airport ``aliases`` (icao, station).
+    """
     for condition in predicates(filters):
         rows = rows.filter(condition)
+    if filters.airport:
+        if aliases is None:
+            raise ValueError("an airport needs aliases of stations")
+        rows = rows.join(aliases.filter(F.col("icao") == filters.airport).select("station"), "station", "left_semi")
+    if filters.q or filters.scope == "model":
+        if texts is None:
+            raise ValueError("a search needs texts")
+        ids = searched_ids(filters, texts)
+        rows = rows if ids is None else rows.join(ids.withColumnRenamed("id", "segment_id"), "segment_id", "left_semi")
     return rows
 
 

@@ -63,8 +63,8 @@ class _Items(StatefulProcessor):
 
     def _out(self, key: Any, s: dict[str, Any]) -> Iterator[Row]:
         values = tuple(s[f] for f in (*STATE, "events"))
-        self.item.update(values)
-        yield Row(item_id=key[0], **dict(zip((*STATE, "events"), values, strict=True)))
+        self.item.update(values)  # at once: a key's rows may come in several calls before any output is read
+        return iter([Row(item_id=key[0], **dict(zip((*STATE, "events"), values, strict=True)))])
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         s = self._state()
