@@ -349,5 +349,5 @@ def cleaned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     kept words are joined by one blank. A null text becomes empty; a document
     of which nothing is left stays, with an empty text.
     """
-    found = remove_repeats(docs, text, doc_id, docs.columns)
+    found = remove_repeats(docs, text, doc_id, [c for c in docs.columns if c != text])  # the text comes back as clean_text
     return found.select(*[(F.col("clean_text") if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
