@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from squelch.functions.hashing import sample_key
+from squelch.session import stored
 
 
 def newest(frame: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 1) -> DataFrame:
@@ -47,6 +48,25 @@ def hash_sample(frame: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     return frame.orderBy(sample_key(seed, F.col(key)), key).limit(n)
 
 
+def range_ordinals(frame: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Adds ``ordinal`` from 0 over the whole table in ``order``, which should be total; equal rows get any of their places.
+
+    Rows are dealt by ranges of the order and numbered in their range; a range
+    begins where those before it end. The numbered rows are stored once, so
+    that ranges and counts are of the same deal. No task holds more than a range.
+    """
+    ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    kept = stored(ranged, "ordinals").withColumn("_range", F.shiftright("_id", 33))
+    sizes = sorted((r["_range"], r["count"]) for r in kept.groupBy("_range").count().collect())  # one number for each range
+    begin, before = [], 0
+    for k, n in sizes:
+        begin.append((k, before))
+        before += n
+    starts = frame.sparkSession.createDataFrame(begin, "_range long, _before long")
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return kept.join(F.broadcast(starts), "_range").withColumn("ordinal", place).drop("_id", "_range", "_before")
+
+
 def page(frame: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     return frame.orderBy(*order).offset(offset).limit(limit)
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squelch.functions.geo import box
-from squelch.operators import answers, areas, sightings, utterances
+from squelch.operators import annotations, answers, areas, datasets, sightings, sweeps, utterances
+from squelch.session import shared_folder
 from squelch.sources import views
 from squelch.sources.views import answer_log, with_views
 
@@ -26,16 +24,6 @@ def query(name: str, sql: str | None = None, *views: str):
     return register
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share; on one machine a temporary one, if none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="squelch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Paid review: claims and answers
 
 STALE_US = 8 * 3600 * 1_000_000
@@ -255,3 +243,102 @@ def text_highlights(spark: SparkSession, d: str) -> DataFrame:
     marked = spoken(hyp).join(utterances.passages(hyp), "segment_id").select("segment_id", "model", utterances.shown(F.col("text"), utterances.highlights(F.col("text"), F.col("passages"))).alias("s"))
     part = lambda x: F.when(x["mark"].isNull(), x["words"]).otherwise(F.concat(F.lit("["), x["mark"]["utterance"], F.lit("/"), x["mark"]["n_families"], F.lit(" "), x["words"], F.lit("]")))
     return marked.select("segment_id", "model", F.array_join(F.transform("s", part), " ").alias("shown"))
+
+
+# Versions of annotations
+
+_SAVES = """judged AS (SELECT *, CASE WHEN benchmark AND label IN ('gold', 'silver', 'candidate') THEN 'benchmark' WHEN label = 'gold' AND NOT confirm_gold THEN 'gold_not_confirmed' WHEN label = 'gold' AND trim(text) = '' THEN 'gold_without_text'
+  WHEN label = 'gold' AND status = 'unreviewed' THEN 'gold_not_reviewed' WHEN scope = 'span' AND end_ms > duration_ms + 50 THEN 'span_after_end' END AS refusal, row_number() OVER (PARTITION BY thread_id ORDER BY at_us, event_id) AS n FROM save_log),
+versions AS (SELECT thread_id, CAST(0 AS BIGINT) AS n, 0 AS version, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT thread_id FROM save_log)
+ UNION ALL SELECT v.thread_id, j.n, v.version + CASE WHEN j.refusal IS NULL AND j.expected_version = v.version THEN 1 ELSE 0 END, j.event_id, coalesce(j.refusal, CASE WHEN j.expected_version = v.version THEN 'saved' ELSE 'conflict' END)
+ FROM versions v JOIN judged j ON j.thread_id = v.thread_id AND j.n = v.n + 1)"""
+
+
+def _saved(select: str) -> str:
+    return with_views("", "save_log").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + _SAVES + "\n" + select
+
+
+def _saves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    log = views.save_log(spark, d)
+    return log, annotations.saves(log.withColumn("refusal", annotations.refusal(F.col("benchmark"))))
+
+
+@query("annotation_saves", _saved("SELECT thread_id, event_id, outcome, version FROM versions WHERE n > 0"))
+def annotation_saves(spark: SparkSession, d: str) -> DataFrame:
+    """What became of every save: refused, in conflict with another, or the next version."""
+    return _saves(spark, d)[1]
+
+
+@query("annotation_current", _saved("SELECT v.thread_id, v.version, v.event_id, l.label, l.text FROM versions v JOIN save_log l ON l.event_id = v.event_id WHERE outcome = 'saved' QUALIFY v.version = max(v.version) OVER (PARTITION BY v.thread_id)"))
+def annotation_current(spark: SparkSession, d: str) -> DataFrame:
+    log, done = _saves(spark, d)
+    return annotations.current(log, done).select("thread_id", "version", "event_id", "label", "text")
+
+
+# Sweeps and data sets
+
+_SELECTION = sweeps.Selection(3, utc_from="1994-01-01 00:00:00", channels=("TWR", "APP", "GND"), min_duration_ms=2000, untranscribed_only=True)
+_SWEPT = """asked AS (SELECT model_id FROM model WHERE model_id % 10 = 1),
+chosen AS (SELECT * FROM segment WHERE source_id = 3 AND presence_status = 'present' AND capture_start >= TIMESTAMP '1994-01-01' AND channel IN ('TWR', 'APP', 'GND') AND duration_ms >= 2000
+ AND segment_id NOT IN (SELECT segment_id FROM result WHERE model_id IN (SELECT model_id FROM asked) GROUP BY segment_id HAVING count(DISTINCT model_id) >= (SELECT count(*) FROM asked)))"""
+
+
+def _swept(select: str) -> str:
+    return with_views("", "segment", "result", "model").rstrip() + ",\n" + _SWEPT + "\n" + select
+
+
+def _asked_models(spark: SparkSession, d: str) -> DataFrame:
+    return views.models(spark, d).filter("model_id % 10 = 1").selectExpr("model_id", "family", "ensemble_eligible as sweep_eligible")
+
+
+def _chosen(spark: SparkSession, d: str, selection: sweeps.Selection) -> DataFrame:
+    names = [r.model_id for r in _asked_models(spark, d).select("model_id").collect()]  # models that a user names
+    return sweeps.selected(views.segments(spark, d), views.results(spark, d), selection, names)
+
+
+@query(
+    "sweep_preview",
+    _swept("""SELECT m.model_id, m.family, m.ensemble_eligible AS sweep_eligible, count(*) OVER (PARTITION BY m.family) > 1 AS shared_family, (SELECT count(*) FROM chosen) AS segments, round_even((SELECT coalesce(sum(duration_ms), 0) FROM chosen) / 60000, 1) AS audio_minutes,
+ round_even(r.rtf, 4) AS observed_rtf, round_even((SELECT coalesce(sum(duration_ms), 0) FROM chosen) / 60000 * r.rtf + 1, 1) AS estimated_minutes
+ FROM model m LEFT JOIN (SELECT model_id, CAST(sum(inference_ms) AS DOUBLE) / sum(audio_ms) AS rtf FROM result WHERE audio_ms > 0 GROUP BY model_id) r ON r.model_id = m.model_id WHERE m.model_id IN (SELECT model_id FROM asked)"""),
+)
+def sweep_preview(spark: SparkSession, d: str) -> DataFrame:
+    return sweeps.preview(_chosen(spark, d, _SELECTION), _asked_models(spark, d), views.results(spark, d))
+
+
+@query(
+    "sweep_freeze",
+    _swept("""SELECT segment_id, row_number() OVER (ORDER BY capture_start NULLS LAST, relative_path, segment_id) - 1 AS ordinal FROM segment
+ WHERE segment_id IN (SELECT segment_id FROM chosen) OR segment_id % 11 = 0 OR segment_id IN (SELECT segment_id FROM segment WHERE source_id = 5 AND presence_status = 'present' ORDER BY md5(concat('7:', segment_id)), segment_id LIMIT 300)"""),
+)
+def sweep_freeze(spark: SparkSession, d: str) -> DataFrame:
+    """A selection, a sample of another source and explicit ids, each segment once, in the sweep's order."""
+    sample = _chosen(spark, d, sweeps.Selection(5, limit=300, seed=7))
+    return sweeps.frozen(_chosen(spark, d, _SELECTION), sample, views.segments(spark, d).filter("segment_id % 11 = 0"))
+
+
+_FROZEN = """fit AS (SELECT * FROM annotated WHERE role = 'corpus' AND label IN ('gold', 'silver') AND trim(text) <> ''),
+kept AS (SELECT * FROM fit WHERE scope = 'segment' OR segment_id NOT IN (SELECT segment_id FROM fit WHERE scope = 'segment')),
+grouped AS (SELECT *, CASE WHEN capture_start IS NULL THEN concat('dir:', source_id, ':', relative_dir) ELSE concat(source_id, ':', strftime(capture_start, '%Y-%m-%d'), ':', coalesce(channel, '-')) END AS split_group FROM kept),
+items AS (SELECT *, row_number() OVER (ORDER BY capture_start NULLS LAST, segment_id, scope, start_ms NULLS FIRST, version_id) - 1 AS ordinal,
+ CASE WHEN CAST(concat('0x', substr(sha256(concat('s1:', split_group)), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE < 0.8 THEN 'train' WHEN CAST(concat('0x', substr(sha256(concat('s1:', split_group)), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE < 0.9 THEN 'validation' ELSE 'test' END AS split FROM grouped),
+leaf AS (SELECT ordinal AS k, sha256('{"end_ms":' || coalesce(CAST(end_ms AS VARCHAR), 'null') || ',"label":"' || label || '","ordinal":' || ordinal || ',"scope":"' || scope || '","segment_id":' || segment_id || ',"sha256":"' || sha256 || '","split":"' || split
+ || '","start_ms":' || coalesce(CAST(start_ms AS VARCHAR), 'null') || ',"text":"' || trim(text) || '","text_origin":' || coalesce('"' || text_origin || '"', 'null') || ',"version_id":' || version_id || '}') AS digest FROM items),
+level1 AS (SELECT k // 1024 AS k, sha256(string_agg(digest, '' ORDER BY k)) AS digest FROM leaf GROUP BY 1), level2 AS (SELECT k // 1024 AS k, sha256(string_agg(digest, '' ORDER BY k)) AS digest FROM level1 GROUP BY 1)"""
+_MANIFEST = ("ordinal", "version_id", "segment_id", "scope", "start_ms", "end_ms", "text", "label", "text_origin", "sha256", "split")
+
+
+def _set(spark: SparkSession, d: str) -> DataFrame:
+    return datasets.frozen(views.annotated_segments(spark, d), ["gold", "silver"], ["segment", "span"], "utc_day_channel", "s1", {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
+@query("dataset_freeze", with_views("", "segment", "result", "annotated").rstrip() + ",\n" + _FROZEN + "\nSELECT ordinal, version_id, split, split_group, CASE WHEN scope = 'span' THEN end_ms - start_ms ELSE duration_ms END AS duration_ms FROM items")
+def dataset_freeze(spark: SparkSession, d: str) -> DataFrame:
+    return _set(spark, d).select("ordinal", "version_id", "split", "split_group", "duration_ms")
+
+
+@query("dataset_manifest", with_views("", "segment", "result", "annotated").rstrip() + ",\n" + _FROZEN + "\nSELECT (SELECT count(*) FROM items) AS n_items, CASE WHEN (SELECT count(*) FROM level1) = 1 THEN (SELECT any_value(digest) FROM level1) ELSE (SELECT any_value(digest) FROM level2) END AS manifest")
+def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The set's items and the hash of all of them in order: a tree of hashes, so that no task sees them all."""
+    items = _set(spark, d)
+    return spark.createDataFrame([(items.count(), datasets.manifest_hash(items, _MANIFEST))], "n_items long, manifest string")

@@ -507,19 +507,33 @@ def review_partial_usable(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_equals_batch", _after_hyp("SELECT * FROM summary"))
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """Hypotheses as a stream of files, agreement kept by micro-batches, then read as one table."""
-    import tempfile
-    import uuid
-
+    from squelch.session import shared_folder
     from squelch.streaming import incremental
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="squelch-")
-    store = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    store = shared_folder(spark, "stream")
     hyp = hypotheses(spark, d)
     hyp.repartition(4, "segment_id").write.parquet(f"{store}/incoming")
     stream = spark.readStream.schema(hyp.schema).option("maxFilesPerTrigger", 2).parquet(f"{store}/incoming")
     incremental.follow(stream, store, spark).awaitTermination()
     return incremental.current_rows(spark, store)
+
+
+_MUTED = (_after_hyp("SELECT * FROM summary")).replace("FROM hyp WHERE status = 'success'", "FROM hyp WHERE status = 'success' AND model <> 'canary-b'").replace("FROM hyp GROUP BY segment_id), ", "FROM hyp WHERE model <> 'canary-b' GROUP BY segment_id), ").replace("FROM hyp GROUP BY segment_id),\n", "FROM hyp WHERE model <> 'canary-b' GROUP BY segment_id),\n")
+
+
+@query("voting_change", _MUTED)
+def voting_change(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement kept by micro-batches, in which every model runs twice, after one model has lost its vote."""
+    from squelch.session import shared_folder
+    from squelch.streaming import incremental
+
+    store = shared_folder(spark, "votes")
+    hyp = hypotheses(spark, d)
+    hyp.withColumn("text", F.lit("an earlier run")).withColumn("status", F.lit("success")).repartition(2, "segment_id").write.parquet(f"{store}/incoming/run=1")
+    schema = spark.read.parquet(f"{store}/incoming/run=1").schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(f"{store}/incoming")
+    incremental.follow(stream, store, spark).awaitTermination()
+    hyp.repartition(2, "segment_id").write.parquet(f"{store}/incoming/run=2")
+    incremental.follow(stream, store, spark).awaitTermination()
+    incremental.decide(spark, store, "canary-b", False)
+    return incremental.current_rows(spark, store)

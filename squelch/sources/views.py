@@ -148,8 +148,37 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("event_id", "(value * 7.3d) % 360 - 180 as x", "cast(get_json_object(props, '$.k') as bigint) * 1.2d - 60 + event_id % 7 / 10d as y")
 
 
+def save_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves of annotations made from events: a user's two days are one thread; one user in seven is a benchmark."""
+    return table(spark, sf_dir, "events").selectExpr("*", "cast(get_json_object(props, '$.k') as bigint) as k").selectExpr(
+        "cast(user_id * 16 + floor((day(ts) - 1) / 2) as bigint) as thread_id", "unix_micros(cast(ts as timestamp)) as at_us", "event_id", "cast(k % 3 as int) as expected_version",
+        "case event_type when 'signup' then 'gold' when 'error' then 'gold' when 'view' then 'silver' when 'click' then 'none' else 'candidate' end as label",
+        "case when k % 5 = 0 then ' ' else concat('text ', cast(event_id as string)) end as text", "case when k % 7 = 0 then 'unreviewed' else 'reviewed' end as status", "k % 2 = 0 as confirm_gold",
+        "case when k % 4 = 0 then 'span' else 'segment' end as scope", "k * 100 as end_ms", "cast(8000 as bigint) as duration_ms", "user_id % 7 = 0 as benchmark",
+    )
+
+
+def annotated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current annotations made from results of segments: the first line of an order is its whole segment, the others are spans."""
+    first = results(spark, sf_dir).groupBy("segment_id", "seq", "attempt").agg(F.min("inference_ms").alias("inference_ms"))
+    return first.join(segments(spark, sf_dir), "segment_id").selectExpr(
+        "segment_id * 1000003 + seq * 11 + attempt as version_id", "segment_id", "case when attempt = 1 then 'segment' else 'span' end as scope",
+        "case when attempt > 1 then attempt * 100 end as start_ms", "case when attempt > 1 then attempt * 100 + inference_ms % 900 end as end_ms", "case when seq % 17 = 0 then '  ' else concat(' heard ', cast(seq as string), ' ') end as text",
+        "case when seq % 3 = 0 then 'gold' when seq % 3 = 1 then 'silver' else 'none' end as label", "case when seq % 2 = 0 then 'human' end as text_origin",
+        "source_id", "role", "channel", "capture_start", "relative_dir", "duration_ms", "sha2(relative_path, 256) as sha256",
+    )
+
+
 #: The same views for the SQL that checks the queries.
 SQL = {
+    "save_log": """save_log AS (SELECT CAST(user_id * 16 + floor((day(ts) - 1) / 2) AS BIGINT) AS thread_id, epoch_us(ts) AS at_us, event_id, CAST(k % 3 AS INT) AS expected_version,
+ CASE event_type WHEN 'signup' THEN 'gold' WHEN 'error' THEN 'gold' WHEN 'view' THEN 'silver' WHEN 'click' THEN 'none' ELSE 'candidate' END AS label,
+ CASE WHEN k % 5 = 0 THEN ' ' ELSE concat('text ', event_id) END AS text, CASE WHEN k % 7 = 0 THEN 'unreviewed' ELSE 'reviewed' END AS status, k % 2 = 0 AS confirm_gold,
+ CASE WHEN k % 4 = 0 THEN 'span' ELSE 'segment' END AS scope, k * 100 AS end_ms, 8000 AS duration_ms, user_id % 7 = 0 AS benchmark FROM (SELECT *, CAST(props->>'k' AS BIGINT) AS k FROM events))""",
+    "annotated": """annotated AS (SELECT segment_id * 1000003 + seq * 11 + attempt AS version_id, segment_id, CASE WHEN attempt = 1 THEN 'segment' ELSE 'span' END AS scope,
+ CASE WHEN attempt > 1 THEN attempt * 100 END AS start_ms, CASE WHEN attempt > 1 THEN attempt * 100 + inference_ms % 900 END AS end_ms, CASE WHEN seq % 17 = 0 THEN '  ' ELSE concat(' heard ', seq, ' ') END AS text,
+ CASE WHEN seq % 3 = 0 THEN 'gold' WHEN seq % 3 = 1 THEN 'silver' ELSE 'none' END AS label, CASE WHEN seq % 2 = 0 THEN 'human' END AS text_origin,
+ source_id, role, channel, capture_start, relative_dir, duration_ms, sha256(relative_path) AS sha256 FROM result JOIN segment USING (segment_id) QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY inference_ms) = 1)""",
     "fix": """fix AS (SELECT user_id AS icao, CAST(floor(epoch_us(ts) / 24e6) AS BIGINT) AS t, CASE WHEN k <> 13 THEN 40 + (k - 50) / 50.0::DOUBLE END AS lat, -101 + (value % 200) / 100 AS lon,
  CASE WHEN k % 7 <> 0 THEN k * 100::DOUBLE END AS alt, k * 3::DOUBLE AS heading, k < 5 AS ground FROM (SELECT *, CAST(props->>'k' AS BIGINT) AS k FROM events))""",
     "flight": """flight AS (SELECT icao % 5 AS station, icao, concat('CS', icao) AS callsign, CASE WHEN (icao + listed) % 29 <> 0 THEN min(t) END AS first_seen, max(t) AS last_seen, listed
