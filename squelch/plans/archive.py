@@ -342,3 +342,38 @@ def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
     """The set's items and the hash of all of them in order: a tree of hashes, so that no task sees them all."""
     items = _set(spark, d)
     return spark.createDataFrame([(items.count(), datasets.manifest_hash(items, _MANIFEST))], "n_items long, manifest string")
+
+
+# Answers of review models
+
+_TEXT = "regexp_replace(substr({t}, 1, 60), '[^A-Za-z ]', ' '{g})"
+_BODY = (
+    "concat('{{\"speech_present\": ', CASE WHEN doc_id % 3 = 0 THEN 'false' ELSE 'true' END, ', \"transcript\": \"', {text}, '\", \"confidence\": ', CASE doc_id % 6 WHEN 0 THEN '1.7' WHEN 1 THEN '\"0.4\"' WHEN 2 THEN 'null' WHEN 3 THEN '-3' ELSE '0.25' END,"
+    " ', \"uncertain_words\": [\"a\", \"b\", null], \"callsigns\": [\" ab1 \", \"cd2\"], \"closest_hypothesis\": ', CASE WHEN doc_id % 4 = 0 THEN 'null' ELSE '\"H1\"' END, ', \"notes\": \"', lang, '\"}}')"
+)
+_ANSWER = "CASE WHEN doc_id % 17 = 0 THEN replace({b}, '\"notes\"', '\"note\"') WHEN doc_id % 13 = 0 THEN '[1, 2]' WHEN doc_id % 11 = 0 THEN substr({b}, 1, length({b}) - 1) WHEN doc_id % 7 = 0 THEN concat('```json ', {b}, ' ```') ELSE concat('  ', {b}) END"
+
+
+def _answer_text(t: str, g: str) -> str:
+    return _ANSWER.replace("{b}", _BODY.format(text=_TEXT.format(t=t, g=g)))
+
+
+@query(
+    "parse_answers",
+    f"""WITH a AS (SELECT doc_id, CASE WHEN c LIKE '```%' THEN regexp_extract(trim(c, '`'), '\\{{.*', 0, 's') ELSE trim(c) END AS j FROM (SELECT doc_id, {_answer_text("coalesce(text, '')", ", 'g'")} AS c FROM documents WHERE lang IS NOT NULL)),
+r AS (SELECT doc_id, CASE WHEN NOT json_valid(j) THEN 'not_json' WHEN json_type(j) <> 'OBJECT' THEN 'not_object' WHEN NOT json_exists(j, '$.notes') THEN 'missing_fields' WHEN json_extract_string(j, '$.confidence') IS NULL THEN 'confidence_not_number' END AS refusal,
+ CASE WHEN json_valid(j) THEN j END AS j FROM a),
+t AS (SELECT *, trim(regexp_replace(json_extract_string(j, '$.transcript'), '\\s+', ' ', 'g')) AS transcript FROM r)
+SELECT doc_id, refusal, CASE WHEN refusal IS NULL THEN json_extract_string(j, '$.speech_present') = 'true' AND transcript <> '' END AS speech_present, CASE WHEN refusal IS NULL THEN transcript END AS transcript,
+ CASE WHEN refusal IS NULL THEN least(greatest(CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0), 1) END AS confidence, CASE WHEN refusal IS NULL THEN 'a,b' END AS words, CASE WHEN refusal IS NULL THEN 'AB1,CD2' END AS callsigns,
+ CASE WHEN refusal IS NULL THEN coalesce(json_extract_string(j, '$.closest_hypothesis'), '') END AS closest_hypothesis, CASE WHEN refusal IS NULL THEN json_extract_string(j, '$.notes') END AS notes FROM t""",
+)
+def parse_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers made from documents: fenced, cut off, lists, without a field, with odd confidences."""
+    from squelch.functions.replies import parsed
+
+    answers_ = views.table(spark, d, "documents").filter("lang is not null").selectExpr("doc_id", _answer_text("coalesce(text, '')", "") + " as content")
+    found = answers_.select("doc_id", parsed(F.col("content")).alias("p")).select("doc_id", "p.*")
+    return found.select(
+        "doc_id", "refusal", "speech_present", "transcript", "confidence", F.array_join("uncertain_words", ",").alias("words"), F.array_join("callsigns", ",").alias("callsigns"), "closest_hypothesis", "notes"
+    )

@@ -1,12 +1,16 @@
 """Logs of paid review, aircraft of a transmission, positions in areas, review filters: literal cases and brute force."""
 
+import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from squelch.operators import answers, areas, review, sightings
+from squelch.functions import hashing, replies
+from squelch.operators import annotations, answers, areas, datasets, relational, review, sightings, sweeps
 from squelch.streaming import answers as live
+from squelch.streaming import incremental
 
 LOG = "item_id long, at_us long, event_id long, kind string, runner string, cost_cents long, retryable boolean"
 MINUTE = 60_000_000
@@ -155,3 +159,101 @@ def test_review_filters(spark):
     assert ask(q="cleared", scope="hypotheses") == [3, 4] and ask(q="cleared", scope="model", scope_model="m2") == [4] and ask(scope="model", scope_model="m1") == [3] and ask(q="  ") == [2, 3, 4]
     with pytest.raises(ValueError, match="scope_model"):
         ask(q="x", scope="model")
+
+
+# Annotations, data sets, sweeps, votes, answers
+
+
+def test_saves_conflict_by_the_version_their_editor_had(spark):
+    rows = [(1, 1, 10, 0, None), (1, 2, 11, 0, None), (1, 3, 12, 1, "benchmark"), (1, 4, 13, 1, None), (1, 5, 14, None, None), (2, 1, 15, None, None), (2, 2, 16, 5, None)]
+    log = spark.createDataFrame(rows, "thread_id long, at_us long, event_id long, expected_version int, refusal string").withColumn("label", F.concat(F.lit("l"), "event_id"))
+    done = annotations.saves(log)
+    assert {r.event_id: (r.outcome, r.version) for r in done.collect()} == {10: ("saved", 1), 11: ("conflict", 1), 12: ("benchmark", 1), 13: ("saved", 2), 14: ("conflict", 2), 15: ("saved", 1), 16: ("conflict", 1)}
+    assert sorted((r.thread_id, r.version, r.label) for r in annotations.current(log, done).collect()) == [(1, 2, "l13"), (2, 1, "l15")]
+
+
+def test_refusals(spark):
+    rows = [("gold", "x", "reviewed", True, "segment", None, False), ("gold", "x", "reviewed", None, "segment", None, False), ("gold", " ", "reviewed", True, "segment", None, False), ("gold", "x", None, True, "segment", None, False), ("silver", None, None, None, "segment", None, True), ("none", None, None, None, "span", 1051, False), ("none", None, None, None, "span", 1050, True)]
+    frame = spark.createDataFrame(rows, "label string, text string, status string, confirm_gold boolean, scope string, end_ms long, benchmark boolean").withColumn("duration_ms", F.lit(1000))
+    assert [r.r for r in frame.select(annotations.refusal(F.col("benchmark")).alias("r")).collect()] == [None, "gold_not_confirmed", "gold_without_text", "gold_not_reviewed", "benchmark", "span_after_end", None]
+
+
+def test_ordinals_and_manifests_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, rng.randrange(40)]), f"é{k}") for k in range(2100)]
+    want = {k: i for i, (k, _, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])))}
+    prints = []
+    for parts in (1, 3, 17):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        frame = spark.createDataFrame(rows, "id long, t long, s string").repartition(5)
+        got = relational.range_ordinals(frame, [F.col("t").asc_nulls_last(), F.col("id")])
+        assert {r.id: r.ordinal for r in got.collect()} == want
+        prints.append(datasets.manifest_hash(got, ["ordinal", "id", "s", "t"]))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    leaf = lambda o, r: hashlib.sha256(json.dumps({"id": r[0], "ordinal": o, "s": r[2], "t": r[1]}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    level = [leaf(want[r[0]], r) for r in sorted(rows, key=lambda r: want[r[0]])]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[k : k + 1024]).encode()).hexdigest() for k in range(0, len(level), 1024)]
+    assert set(prints) == {level[0]}
+    none = spark.createDataFrame([], "id long, ordinal long")
+    assert datasets.manifest_hash(none, ["id"]) is None and relational.range_ordinals(none.drop("ordinal"), [F.col("id")]).collect() == []
+
+
+def test_canonical_json_sorts_at_every_depth(spark):
+    frame = spark.sql("select named_struct('b', 1, 'a', named_struct('z', map('y', 2, 'x', cast(null as int)), 'c', array(named_struct('q', 1, 'p', 'é')))) as v, cast(null as struct<a:int>) as n")
+    kinds = {f.name: f.dataType for f in frame.schema}
+    row = frame.select(hashing.canonical_json(F.col("v"), kinds["v"]).alias("v"), hashing.canonical_hash(F.col("v"), kinds["v"]).alias("h"), hashing.canonical_json(F.col("n"), kinds["n"]).alias("n")).first()
+    assert row.v == '{"a":{"c":[{"p":"é","q":1}],"z":{"x":null,"y":2}},"b":1}' and row.n is None
+    assert row.h == hashlib.sha256(row.v.encode()).hexdigest()
+
+
+def test_sweep_selection_and_preview(spark):
+    rows = [(k, 1 if k < 8 else 2, "missing" if k == 7 else "present", None, "d", "TWR", 60_000, f"p{k}") for k in range(10)]
+    segments = spark.createDataFrame(rows, "segment_id long, source_id long, presence_status string, capture_start timestamp_ntz, relative_dir string, channel string, duration_ms long, relative_path string")
+    results = spark.createDataFrame([(0, 1, 30, 60), (0, 2, 30, 60), (1, 1, 30, 60), (1, 1, 30, 60), (2, 9, 5, 0)], "segment_id long, model_id long, inference_ms long, audio_ms long")
+    ids = lambda s, m=(1, 2): sorted(r.segment_id for r in sweeps.selected(segments, results, s, list(m)).collect())
+    assert ids(sweeps.Selection(1)) == [0, 1, 2, 3, 4, 5, 6] and ids(sweeps.Selection(1, untranscribed_only=True)) == [1, 2, 3, 4, 5, 6]
+    assert ids(sweeps.Selection(1, untranscribed_only=True), (1,)) == [2, 3, 4, 5, 6] and len(ids(sweeps.Selection(1, limit=3, seed=5))) == 3
+    assert ids(sweeps.Selection(1, limit=3, seed=5)) == ids(sweeps.Selection(1, limit=3, seed=5)) and ids(sweeps.Selection(1, max_duration_ms=10)) == []
+    models = spark.createDataFrame([(1, "f", True), (2, "f", True), (9, "g", False)], "model_id long, family string, sweep_eligible boolean")
+    out = {r.model_id: r for r in sweeps.preview(sweeps.selected(segments, results, sweeps.Selection(1), [1]), models, results).collect()}
+    assert (out[1].segments, out[1].audio_minutes, out[1].observed_rtf, out[1].estimated_minutes, out[1].shared_family) == (7, 7.0, 0.5, 4.5, True)
+    assert (out[9].observed_rtf, out[9].estimated_minutes, out[9].shared_family) == (None, None, False)
+    both = sweeps.frozen(segments.filter("segment_id < 3"), segments.filter("segment_id in (2, 9)")).collect()
+    assert sorted((r.ordinal, r.segment_id) for r in both) == [(0, 0), (1, 1), (2, 2), (3, 9)]
+
+
+def test_a_rerun_is_no_second_provider_and_votes_touch_their_segments_only(spark, tmp_path):
+    kind = "segment_id long, model string, family string, status string, text string"
+    step = incremental.refresh(spark, str(tmp_path))
+    step(spark.createDataFrame([(1, "a", "fa", "success", "one two"), (2, "b", "fb", "success", "x y"), (3, "a", "fa", "success", "only")], kind), 0)
+    step(spark.createDataFrame([(1, "a", "fa", "success", "one two"), (1, "b", "fb", "success", "one two")], kind), 1)
+    rows = lambda: {r.segment_id: (r.results, r.exact_providers, r.exact_families) for r in incremental.current_rows(spark, str(tmp_path)).collect()}
+    assert rows() == {1: (2, 2, 2), 2: (1, 1, 1), 3: (1, 1, 1)}
+    incremental.decide(spark, str(tmp_path), "a", False)
+    assert rows() == {1: (1, 1, 1), 2: (1, 1, 1)}  # segment 3 has no voter left
+    step(spark.createDataFrame([(3, "a", "fa", "success", "again")], kind), 2)
+    assert rows() == {1: (1, 1, 1), 2: (1, 1, 1)}
+    incremental.decide(spark, str(tmp_path), "a", True)
+    assert rows() == {1: (2, 2, 2), 2: (1, 1, 1), 3: (1, 1, 1)}
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(1).cast("long")), F.lit(incremental.BUCKETS)).cast("int")).first()[0]
+    opened = incremental.results_of(spark, str(tmp_path), [bucket])
+    scan = opened._jdf.queryExecution().executedPlan().toString()
+    assert opened.filter("segment_id = 1").count() == 3 and f"(bucket#" in scan and "PartitionFilters: []" not in scan
+
+
+@pytest.mark.parametrize(
+    ("content", "want"),
+    [
+        (None, "not_json"), ("", "not_json"), ("{", "not_json"), ("[1]", "not_object"), ("null", "not_object"), ('{"transcript": "x"}', "missing_fields"),
+        ('```json\n{"speech_present": true, "transcript": " a \\n b ", "confidence": 2, "uncertain_words": null, "callsigns": [" x1 ", 5], "closest_hypothesis": "", "notes": null}\n```', (True, "a b", 1.0, [], ["X1", "5"], "", "")),
+        ('{"speech_present": 1, "transcript": "", "confidence": "0.5", "uncertain_words": ["a", null], "callsigns": "no list", "closest_hypothesis": 7, "notes": "' + "n" * 600 + '"}', (False, "", 0.5, ["a"], [], "7", "n" * 500)),
+        ('{"speech_present": [], "transcript": "x", "confidence": -1, "uncertain_words": [' + ",".join(f'"{k}"' for k in range(60)) + '], "callsigns": [], "closest_hypothesis": null, "notes": ""}', (False, "x", 0.0, [str(k) for k in range(50)], [], "", "")),
+        ('{"speech_present": true, "transcript": "x", "confidence": "high", "uncertain_words": [], "callsigns": [], "closest_hypothesis": "", "notes": ""}', "confidence_not_number"),
+        ('{"speech_present": true, "transcript": "x", "confidence": "NaN", "uncertain_words": [], "callsigns": [], "closest_hypothesis": "", "notes": ""}', "confidence_nan"),
+    ],
+)
+def test_answers_are_read_tolerantly(spark, content, want):
+    p = spark.createDataFrame([(content,)], "c string").select(replies.parsed(F.col("c")).alias("p")).first().p
+    got = p.refusal or (p.speech_present, p.transcript, p.confidence, p.uncertain_words, p.callsigns, p.closest_hypothesis, p.notes)
+    assert got == want
