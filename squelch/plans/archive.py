@@ -377,3 +377,28 @@ def parse_answers(spark: SparkSession, d: str) -> DataFrame:
     return found.select(
         "doc_id", "refusal", "speech_present", "transcript", "confidence", F.array_join("uncertain_words", ",").alias("words"), F.array_join("callsigns", ",").alias("callsigns"), "closest_hypothesis", "notes"
     )
+
+
+# Upkeep
+
+
+@query(
+    "stale_segments",
+    """SELECT r.segment_id FROM (SELECT segment_id, max(created_at) AS last FROM result GROUP BY segment_id) r LEFT JOIN segment s ON s.segment_id = r.segment_id AND s.segment_id % 9 <> 0
+ WHERE s.segment_id IS NULL OR s.segment_id % 5 = 0 OR s.segment_id % 7 = 0 OR s.capture_start IS NULL OR s.capture_start + INTERVAL 60 DAY < r.last""",
+    "result", "segment",
+)
+def stale_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments whose agreement is missing, of another version or threshold, or older than their newest result."""
+    from squelch.streaming.incremental import stale_segments as stale
+
+    known = views.segments(spark, d).filter("segment_id % 9 <> 0").selectExpr("segment_id", "if(segment_id % 5 = 0, 1, 2) as version", "if(segment_id % 7 = 0, 0.7d, 0.8d) as threshold", "capture_start + interval 60 days as computed_at")
+    return stale(views.results(spark, d), known, 2, 0.8)
+
+
+@query("windowed_counts", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    from squelch.streaming.incremental import windowed_counts as counted
+
+    events = views.table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return counted(events, "at", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -537,3 +537,37 @@ def voting_change(spark: SparkSession, d: str) -> DataFrame:
     incremental.follow(stream, store, spark).awaitTermination()
     incremental.decide(spark, store, "canary-b", False)
     return incremental.current_rows(spark, store)
+
+
+# What else the library answers
+
+
+@query("max_pair_similarity", _with_lcs("SELECT segment_id, max_pair FROM near", _NEAR))
+def max_pair_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest similarity of two families' texts in each segment."""
+    return agreement.compared(hypotheses(spark, d)).filter("near is not null").select("segment_id", "near.max_pair")
+
+
+@query("worst_segments", _evaluated("SELECT segment_id, min(errors) AS errors, any_value(ref_tokens) AS ref_tokens, round_even(min(errors)::DOUBLE / nullif(any_value(ref_tokens), 0), 4) AS ter FROM scored GROUP BY segment_id"))
+def worst_segments(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.worst_segments(_scored(spark, d))
+
+
+@query("eval_fair_best", _evaluated("SELECT arg_min(model, (errors, place)) AS model, min(errors) AS errors FROM (SELECT model, sum(errors)::BIGINT AS errors, CASE model WHEN 'parakeet-a' THEN 0 WHEN 'whisper-a' THEN 1 WHEN 'canary-b' THEN 2 ELSE 3 END AS place FROM scored WHERE model <> 'canary-b' GROUP BY model)"))
+def eval_fair_best(spark: SparkSession, d: str) -> DataFrame:
+    """The best of the models that weren't trained on the benchmark."""
+    registry = [("parakeet-a", 0, ["other"]), ("whisper-a", 1, None), ("canary-b", 2, ["Bench"]), ("qwen-a", 3, [])]
+    models = spark.createDataFrame(registry, "model string, execution_order int, contaminated_benchmarks array<string>")
+    return evaluation.best_single(evaluation.fair_only(_scored(spark, d), models, "bench-1h"))
+
+
+@query(
+    "segment_detail",
+    _after_hyp("SELECT t.segment_id, n_len, n_hypotheses, s.exact_families, s.exact_providers, h.texts FROM tl t JOIN summary s USING (segment_id) JOIN (SELECT segment_id, count(*) AS n_hypotheses, string_agg(coalesce(text, '-'), '|' ORDER BY model) AS texts FROM hyp GROUP BY segment_id) h USING (segment_id)"),
+)
+def segment_detail(spark: SparkSession, d: str) -> DataFrame:
+    """One document for each transmission: its fields, its hypotheses in model order, its agreement."""
+    hyp = hypotheses(spark, d)
+    whole = review.detail(transmissions(spark, d).select("segment_id", "n_len"), hyp, agreement.summary(hyp))
+    texts = F.array_join(F.transform("hypotheses", lambda h: F.coalesce(h["text"], F.lit("-"))), "|")
+    return whole.select("segment_id", "n_len", F.size("hypotheses").cast("long").alias("n_hypotheses"), "agreement.exact_families", "agreement.exact_providers", texts.alias("texts"))
