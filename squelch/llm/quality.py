@@ -125,6 +125,7 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
     n = docs.count()
     share = min(1.0, sample_rows / max(n, 1))
     some = docs.filter(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    some = some.limit(4 * sample_rows)  # equal rows share a hash, so all of them may be drawn
     kept = stored(some.select(F.coalesce(F.col(text), F.lit("")).alias("text")), "rule-sample").coalesce(1)
 
     def timed(rule: Rule | None) -> float:

@@ -178,3 +178,19 @@ def test_registered_queries_run_whole(spark, sf):
     assert len({r.doc_id for r in rows}) == docs
     used = check_packing(rows, 4096)
     assert used <= 1.02 * -(-sum(r.length for r in rows) // 4096) + 2
+
+
+def test_equal_rows_do_not_swell_the_sample_of_rules(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from squelch.llm import quality
+
+    sizes = []
+    kept = quality.stored
+    try:
+        quality.stored = lambda frame, name: sizes.append(frame.count()) or kept(frame, name)
+        for k in range(4):  # whatever the text's hash: none of the equal rows is drawn, or at most so many
+            quality.rule_order(spark.range(5000).select(F.lit(f"word {k} " * 60).alias("text")), sample_rows=5000 if k == 3 else 30)
+    finally:
+        quality.stored = kept
+    assert sizes[-1] == 5000 and all(n <= 120 for n in sizes[:-1])
