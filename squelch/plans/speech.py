@@ -545,7 +545,7 @@ def voting_change(spark: SparkSession, d: str) -> DataFrame:
 @query("max_pair_similarity", _with_lcs("SELECT segment_id, max_pair FROM near", _NEAR))
 def max_pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The greatest similarity of two families' texts in each segment."""
-    return agreement.compared(hypotheses(spark, d)).filter("near is not null").select("segment_id", "near.max_pair")
+    return agreement.compared(hypotheses(spark, d)).filter("near.anchor is not null").select("segment_id", "near.max_pair")
 
 
 @query("worst_segments", _evaluated("SELECT segment_id, min(errors) AS errors, any_value(ref_tokens) AS ref_tokens, round_even(min(errors)::DOUBLE / nullif(any_value(ref_tokens), 0), 4) AS ter FROM scored GROUP BY segment_id"))
