@@ -25,3 +25,12 @@ EDGE_MARKS = "\"'`“”‘’.,;:!?()[]{}<>"
 NON_LATIN_SHARE, REPEAT_RUNS, REPEAT_TOKENS, CHARS_PER_SECOND, CONTENT_TOKENS, CONTENT_SHARE = 0.15, 3, 6, 30.0, 4, 0.2
 FLAGS_VERSION = 3001
 NEAR_THRESHOLD = 0.8
+# What airlines are called on the radio, by the designator of their callsigns.
+TELEPHONY = {
+    "AAL": "American", "AAY": "Allegiant", "ACA": "Air Canada", "AFR": "Airfrance", "ASA": "Alaska", "ASH": "Air Shuttle", "ATN": "Air Transport",
+    "BAW": "Speedbird", "CJC": "Colgan", "CKS": "Connie", "CMP": "Copa", "DAL": "Delta", "DLH": "Lufthansa", "EDV": "Endeavor", "EJA": "Execjet",
+    "ENY": "Envoy", "FDX": "FedEx", "FFT": "Frontier Flight", "GJS": "Lindbergh", "GTI": "Giant", "ICE": "Iceair", "JBU": "JetBlue",
+    "JIA": "Blue Streak", "JZA": "Jazz", "KLM": "KLM", "LXJ": "Flexjet", "MXY": "Moxy", "NKS": "Spirit Wings", "PDT": "Piedmont", "QXE": "Horizon",
+    "RPA": "Brickyard", "SCX": "Sun Country", "SKW": "SkyWest", "SWA": "Southwest", "UAL": "United", "UPS": "UPS", "VIR": "Virgin", "VXP": "Avelo",
+    "WJA": "WestJet",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from squelch.functions.lexicon import DIGIT_WORDS, EDGE_MARKS, ICAO_NUMBERS
+from squelch.functions.lexicon import DIGIT_WORDS, EDGE_MARKS, ICAO_NUMBERS, TELEPHONY
 
 #: White space as Unicode has it, for Java's regular expressions.
 WHITE = r"(?U)\s+"
@@ -123,3 +123,11 @@ def non_latin_share(text: Column) -> Column:
     letters = F.char_length(F.regexp_replace(text, r"\P{L}+", ""))
     latin = F.char_length(F.regexp_replace(text, r"[^\p{IsLatin}&&\p{L}]+|[^\p{IsLatin}]+", ""))
     return F.when(letters > 0, (letters - latin) / letters).otherwise(F.lit(0.0))
+
+
+def telephony_hint(callsign: Column) -> Column:
+    """How a callsign is said: November and the rest of a registration, or an airline's name and the flight; null where neither is known."""
+    sign = F.upper(F.trim(callsign))
+    airline = F.try_element_at(F.create_map(*[F.lit(x) for pair in TELEPHONY.items() for x in pair]), F.substring(sign, 1, 3))
+    flight = F.substring(sign, 4, 1000)
+    return F.when(sign.rlike(r"^N\d[0-9A-Z]{0,4}$"), F.concat(F.lit("November "), F.substring(sign, 2, 1000))).when(sign.rlike(r"^[A-Z]{3}\d[0-9A-Z]*$"), F.concat(airline, F.lit(" "), flight))

@@ -145,6 +145,22 @@ def _plain(value: Column, kind: str = "float") -> Column:
     return value.cast("string")
 
 
+def gathered(key: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several tables that share a key, in one shuffle: the key, and an array of structs for each table.
+
+    Each part has the key and one struct column. A key's rows meet in one task
+    as arrays, so keys should be things of a few rows (a segment, an airport).
+    Null keys meet nothing and are left out; a table without rows of a key
+    gives it an empty array.
+    """
+    tall = None
+    for name, part in parts.items():
+        value = next(c for c in part.columns if c != key)
+        rows = part.filter(F.col(key).isNotNull()).select(F.col(key), F.col(value).alias(name))
+        tall = rows if tall is None else tall.unionByName(rows, allowMissingColumns=True)
+    return tall.groupBy(key).agg(*[F.collect_list(name).alias(name) for name in parts])
+
+
 def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has: ``missing`` on the right or ``extra`` there."""
     a = left.select(F.col(key).alias("a")).distinct()

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from squelch.plans import archive, speech, tables
+from squelch.plans import archive, context, speech, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = tables.QUERIES | speech.QUERIES | archive.QUERIES
-ORACLES: dict[str, str] = tables.ORACLES | speech.ORACLES | archive.ORACLES
+QUERIES: dict[str, Query] = tables.QUERIES | speech.QUERIES | archive.QUERIES | context.QUERIES
+ORACLES: dict[str, str] = tables.ORACLES | speech.ORACLES | archive.ORACLES | context.ORACLES

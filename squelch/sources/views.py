@@ -169,8 +169,77 @@ def annotated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_USES = ("LCL/P", "GND/P", "CD/P", "D-ATIS", "ATIS", "APCH/P", "DEP/P IFR", "CLASS B", "EMERG", "EMDOV STAR", "TERPZ DP", "UNICOM", "APT REMARK 1", "lcl/s")
+
+
+def airport_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A subscription's files made from the tables: customers are airports, orders runways with one or two ends, lines frequencies."""
+    base = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.expr("c_nationkey = n_nationkey")).selectExpr(  # 25 nations
+        "c_custkey as line", "conv(c_custkey + 12960, 10, 36) as ARPT_ID", "case when c_custkey % 4 = 0 then '' when c_custkey % 4 = 1 then concat('X', conv(c_custkey + 12960, 10, 36)) end as ICAO_ID",
+        "case when c_custkey % 31 <> 0 then concat(' ', c_mktsegment, '/', n_name, '   INTL') end as ARPT_NAME", "case when c_custkey % 13 = 0 then '' else concat('PORT ', n_name) end as CITY",
+        "cast(c_custkey % 90 as string) as LAT_DECIMAL", "case when c_custkey % 7 = 0 then 'west' else cast(-(c_custkey % 180) as string) end as LONG_DECIMAL", "cast(c_custkey % 50 as string) as ELEV",
+        "case when c_custkey % 5 <> 0 then cast(c_custkey % 20 as string) end as MAG_VARN", "case when c_custkey % 2 = 0 then 'W' end as MAG_HEMIS", "'2025' as MAG_VARN_YEAR", "'2026/09/03' as EFF_DATE",
+    )
+    way = table(spark, sf_dir, "orders").selectExpr("*", "conv(o_custkey + 12960, 10, 36) as ARPT_ID", "o_orderkey * 7 % 36 + 1 as one", "(o_orderkey * 7 + 18) % 36 + 1 as two", "array('', 'L', 'R', 'C')[o_orderkey % 4] as a", "array('', 'R', 'L', 'C')[o_orderkey % 4] as b")
+    ident = lambda n, side: f"concat(lpad(cast({n} as string), 2, '0'), {side})"
+    way = way.selectExpr("*", f"{ident('one', 'a')} as x", f"{ident('two', 'b')} as y").withColumn("RWY_ID", F.concat("x", F.lit("/"), "y"))
+    runways = way.filter("o_orderkey % 17 <> 0").selectExpr("o_orderkey as line", "ARPT_ID", "RWY_ID", "cast(cast(o_totalprice as bigint) as string) as RWY_LEN", "case when o_orderkey % 3 = 0 then '' else '150.7' end as RWY_WIDTH")
+    tips = way.withColumn("e", F.expr("explode(if(o_orderkey % 10 = 0, array(x), array(x, y)))"))
+    ends = tips.selectExpr(
+        "o_orderkey as line", "ARPT_ID", "RWY_ID", "e as RWY_END_ID", "cast(one * 10 as string) as TRUE_ALIGNMENT", "case when o_orderkey % 9 <> 0 then cast(one as string) end as LAT_DECIMAL", "cast(two as string) as LONG_DECIMAL",
+        "'' as RWY_END_ELEV", "cast(null as string) as LAT_DISPLACED_THR_DECIMAL", "'n/a' as LONG_DISPLACED_THR_DECIMAL",
+    )
+    uses = ", ".join(f"'{u}'" for u in _USES)
+    frequencies = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 100000000 + cast(round(l_extendedprice * 100) as bigint) as line", "conv(l_partkey + 12960, 10, 36) as SERVICED_FACILITY",
+        "case when l_orderkey % 23 = 0 then '' when l_orderkey % 29 = 0 then 'guard' else concat(cast(105 + l_orderkey % 34 as string), '.', substr(cast(1000 + l_orderkey % 5 * 25 * 8 as string), 2, 3)) end as FREQ",
+        f"array({uses})[cast(l_orderkey % 14 as int)] as FREQ_USE", "case l_returnflag when 'R' then 'SOUTH' when 'A' then ' north ' end as SECTORIZATION", "case l_linestatus when 'O' then 'POTOMAC hills' end as PRIMARY_APPROACH_RADIO_CALL",
+        "case when l_linenumber % 2 = 0 then 'big field' else '' end as TOWER_OR_COMM_CALL", "case when l_linenumber % 3 = 0 then '' else 'FAC' end as FACILITY",
+    )
+    places = table(spark, sf_dir, "customer").filter("c_custkey % 6 <> 0").selectExpr("conv(c_custkey + 12960, 10, 36) as faa_id", "'America/New_York' as timezone", "if(c_custkey % 2 = 0, array('S1', conv(c_custkey + 12960, 10, 36)), cast(array() as array<string>)) as stations")
+    return {"base": base, "runways": runways, "ends": ends, "frequencies": frequencies, "places": places}
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current annotations made from labels: segment_id, label, text, text_origin."""
+    return table(spark, sf_dir, "labels").selectExpr(
+        "doc_id as segment_id", "case when toxic = 1 then 'rejected' when quality = 0 then 'none' when doc_id % 4 = 0 then 'gold' when doc_id % 4 = 1 then 'silver' when doc_id % 4 = 2 then 'candidate' else 'none' end as label",
+        "case when doc_id % 5 = 0 then '' else concat('noted ', doc_id) end as text", "case when doc_id % 3 = 0 then 'human' else 'model_consensus' end as text_origin",
+    )
+
+
+def paid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answered items of paid review made from results."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 100000000 + cast(round(l_extendedprice * 100) as bigint) as item_id", "l_orderkey as segment_id", "case when l_orderkey % 11 = 0 then 'failed' when l_linenumber = 5 then 'queued' else 'done' end as status",
+        "case when l_quantity = 7 then 1 end as accepted_version", "case when l_partkey % 19 = 0 then '' else concat('t ', l_partkey) end as transcript", "case when l_partkey % 7 <> 0 then l_partkey % 6 <> 0 end as speech_present",
+        "case when l_linenumber <> 6 then l_partkey % 10 / 10 end as confidence", "case when l_suppkey % 4 <> 0 then l_suppkey % 10 / 10 end as similarity",
+    )
+
+
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the models agree on of each segment, made from orders: segment_id, kind, representative."""
+    return table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0").selectExpr("o_orderkey as segment_id", "array('exact', 'near', 'single', 'medoid')[cast(o_custkey % 4 as int)] as kind", "case when o_custkey % 5 <> 0 then concat('agreed ', o_custkey) end as representative")
+
+
 #: The same views for the SQL that checks the queries.
 SQL = {
+    "airport_files": f"""base AS (SELECT c_custkey AS line, to_base(c_custkey + 12960, 36) AS faa, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN concat('X', to_base(c_custkey + 12960, 36)) END AS icao_id,
+ CASE WHEN c_custkey % 31 <> 0 THEN concat(' ', c_mktsegment, '/', n_name, '   INTL') END AS arpt_name, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE concat('PORT ', n_name) END AS city,
+ CAST(c_custkey % 90 AS DOUBLE) AS lat, CASE WHEN c_custkey % 7 <> 0 THEN CAST(-(c_custkey % 180) AS DOUBLE) END AS lon, CASE WHEN c_custkey % 5 <> 0 THEN concat(c_custkey % 20, CASE WHEN c_custkey % 2 = 0 THEN 'W' ELSE '' END, ' (2025)') END AS variation
+ FROM customer JOIN nation ON c_nationkey = n_nationkey),
+way AS (SELECT *, concat(x, '/', y) AS pair FROM (SELECT *, to_base(o_custkey + 12960, 36) AS faa, o_orderkey * 7 % 36 + 1 AS one,
+ concat(lpad(CAST(o_orderkey * 7 % 36 + 1 AS VARCHAR), 2, '0'), ['', 'L', 'R', 'C'][o_orderkey % 4 + 1]) AS x, concat(lpad(CAST((o_orderkey * 7 + 18) % 36 + 1 AS VARCHAR), 2, '0'), ['', 'R', 'L', 'C'][o_orderkey % 4 + 1]) AS y FROM orders)),
+tip AS (SELECT *, unnest(CASE WHEN o_orderkey % 10 = 0 THEN [x] ELSE [x, y] END) AS e FROM way),
+freq AS (SELECT l_orderkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS line, to_base(l_partkey + 12960, 36) AS faa,
+ CASE WHEN l_orderkey % 23 <> 0 AND l_orderkey % 29 <> 0 THEN concat(105 + l_orderkey % 34, '.', substr(CAST(1000 + l_orderkey % 5 * 25 * 8 AS VARCHAR), 2, 3)) END AS f,
+ [{', '.join(f"'{u}'" for u in _USES)}][l_orderkey % 14 + 1] AS u, CASE l_returnflag WHEN 'R' THEN 'SOUTH' WHEN 'A' THEN 'north' END AS sector, CASE l_linestatus WHEN 'O' THEN 'Potomac Hills' ELSE '' END AS approach_call,
+ CASE WHEN l_linenumber % 2 = 0 THEN 'Big Field' END AS tower_call, CASE WHEN l_linenumber % 3 <> 0 THEN 'FAC' END AS facility FROM lineitem)""",
+    "labelled": """labelled AS (SELECT doc_id AS segment_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 0 THEN 'none' WHEN doc_id % 4 = 0 THEN 'gold' WHEN doc_id % 4 = 1 THEN 'silver' WHEN doc_id % 4 = 2 THEN 'candidate' ELSE 'none' END AS label,
+ CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('noted ', doc_id) END AS text, CASE WHEN doc_id % 3 = 0 THEN 'human' ELSE 'model_consensus' END AS text_origin FROM labels)""",
+    "paid_item": """paid_item AS (SELECT l_orderkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS item_id, l_orderkey AS segment_id, CASE WHEN l_orderkey % 11 = 0 THEN 'failed' WHEN l_linenumber = 5 THEN 'queued' ELSE 'done' END AS status,
+ l_quantity = 7 AS taken, l_partkey % 19 <> 0 AS says, l_partkey % 7 <> 0 AND l_partkey % 6 <> 0 AS speech, CASE WHEN l_linenumber <> 6 THEN l_partkey % 10 ELSE 0 END AS tenths, CASE WHEN l_suppkey % 4 <> 0 THEN l_suppkey % 10 ELSE -1 END AS alike FROM lineitem)""",
+    "agreed_on": """agreed_on AS (SELECT o_orderkey AS segment_id, ['exact', 'near', 'single', 'medoid'][o_custkey % 4 + 1] AS kind, CASE WHEN o_custkey % 5 <> 0 THEN concat('agreed ', o_custkey) END AS representative FROM orders WHERE o_orderkey % 7 <> 0)""",
     "save_log": """save_log AS (SELECT CAST(user_id * 16 + floor((day(ts) - 1) / 2) AS BIGINT) AS thread_id, epoch_us(ts) AS at_us, event_id, CAST(k % 3 AS INT) AS expected_version,
  CASE event_type WHEN 'signup' THEN 'gold' WHEN 'error' THEN 'gold' WHEN 'view' THEN 'silver' WHEN 'click' THEN 'none' ELSE 'candidate' END AS label,
  CASE WHEN k % 5 = 0 THEN ' ' ELSE concat('text ', event_id) END AS text, CASE WHEN k % 7 = 0 THEN 'unreviewed' ELSE 'reviewed' END AS status, k % 2 = 0 AS confirm_gold,
