@@ -222,3 +222,37 @@ def answer_support(spark: SparkSession, d: str) -> DataFrame:
     items = views.table(spark, d, "orders").join(texts, F.expr("p_partkey = o_custkey")).selectExpr("o_orderkey as item_id", "o_orderkey as segment_id", "transcript")
     reps = said.filter("status = 'success' and trim(text) <> ''").groupBy("segment_id").agg(F.min("text").alias("representative"))
     return briefs.support(items, said, reps)
+
+
+# Gold references
+
+_ID = "concat(CASE WHEN o_orderkey % 13 = 0 THEN 'kabc' ELSE concat('K', to_base(o_custkey + 12960, 36)) END, '_', coalesce(channel, 'North_Ground'), '_', 118 + o_orderkey % 19, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '_' || (o_orderkey % 40 * 25) END, 'MHz_', strftime(o_orderdate, '%Y%m%d'), '_', CASE WHEN o_orderkey % 17 = 0 THEN '2561' ELSE '2359' END, lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0'))"
+_CLIPS = f"clip AS (SELECT o_orderkey AS segment_id, {_ID} AS recording, o_orderkey % 140 AS i, duration_ms AS a, duration_ms + o_orderkey % 5000 AS b FROM orders JOIN segment ON segment_id = o_orderkey)"
+
+
+@query(
+    "clip_paths",
+    _CLIPS + r""" SELECT segment_id, concat(recording, '/', CASE WHEN i < 10 THEN '0' ELSE '' END, i, '_', a, '_', b, '.wav') AS path, CASE WHEN ok THEN i END AS index, CASE WHEN ok THEN a END AS start_ms, CASE WHEN ok THEN b END AS end_ms,
+ CASE WHEN ok THEN substr(recording, 1, 4) END AS station, CASE WHEN ok THEN regexp_extract(recording, '^[A-Z0-9]{4}_(.+?)_\d+(_\d+)?MHz', 1) END AS channel,
+ CASE WHEN ok THEN CAST(round_even(CAST(replace(regexp_extract(recording, '_(\d+(_\d+)?)MHz', 1), '_', '.') AS DOUBLE) * 1000000, 0) AS BIGINT) END AS frequency_hz
+ FROM (SELECT *, NOT starts_with(recording, 'kabc') AND segment_id % 17 <> 0 AS ok FROM clip)""",
+    "segment",
+)
+def clip_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Clip paths written and read back; those whose recording has a bad name or time give nulls."""
+    from squelch.sources import recordings
+
+    name = "concat(if(o_orderkey % 13 = 0, 'kabc', concat('K', conv(o_custkey + 12960, 10, 36))), '_', coalesce(channel, 'North_Ground'), '_', 118 + o_orderkey % 19, if(o_orderkey % 3 = 0, '', concat('_', o_orderkey % 40 * 25)), 'MHz_', date_format(o_orderdate, 'yyyyMMdd'), '_', if(o_orderkey % 17 = 0, '2561', '2359'), lpad(cast(o_orderkey % 60 as string), 2, '0'))"
+    rows = views.table(spark, d, "orders").join(views.segments(spark, d), F.expr("segment_id = o_orderkey")).selectExpr("segment_id", f"{name} as recording", "o_orderkey % 140 as i", "duration_ms as a", "duration_ms + o_orderkey % 5000 as b")
+    paths = rows.select("segment_id", recordings.clip_path(F.col("recording"), F.col("i"), F.col("a"), F.col("b")).alias("path"))
+    read = paths.withColumn("c", recordings.parsed_clip(F.col("path"))).withColumn("r", recordings.recording_of(F.col("c.recording")))
+    return read.select("segment_id", "path", F.col("c.number").alias("index"), "c.start_ms", "c.end_ms", "r.station", "r.channel", "r.frequency_hz")
+
+
+@query("segments_with_gold", "SELECT s.segment_id, g.text FROM segment s LEFT JOIN (SELECT source_id, relative_path, concat('gold ', segment_id) AS text FROM segment WHERE role = 'benchmark' OR segment_id % 10 = 0) g ON g.source_id = s.source_id AND g.relative_path = s.relative_path", "segment")
+def segments_with_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with the gold references of their source and path."""
+    from squelch.sources import recordings
+
+    gold = views.segments(spark, d).filter("role = 'benchmark' or segment_id % 10 = 0").selectExpr("source_id", "relative_path", "concat('gold ', segment_id) as text")
+    return recordings.with_gold(views.segments(spark, d), gold).select("segment_id", "gold.text")
