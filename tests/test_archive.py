@@ -3,12 +3,15 @@
 import hashlib
 import json
 import random
+from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from squelch.functions import hashing, replies
 from squelch.operators import annotations, answers, areas, datasets, relational, review, sightings, sweeps
+from squelch.plans import catalogue
 from squelch.streaming import answers as live
 from squelch.streaming import incremental
 
@@ -161,6 +164,27 @@ def test_review_filters(spark):
         ask(q="x", scope="model")
 
 
+@pytest.mark.parametrize("name", ["review_time_channel"])
+def test_segments_of_many_errors_are_reviewed(spark, tmp_path, name):
+    """1 has three errors, 2 one success, 3 no result, 4 three errors in the benchmark."""
+    tables = {
+        "orders": ([(k, 7 if k == 4 else 1, "F", 100.0, datetime(1995, 6, k), "1-URGENT") for k in (1, 2, 3, 4)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "lineitem": (
+            [(k, 1, 1, n, 1.0, 1.0, 0.0, "R", datetime(1995, 7, n)) for k in (1, 4) for n in (1, 2, 3)] + [(2, 1, 1, 1, 1.0, 1.0, 0.0, "N", datetime(1995, 7, 1))],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_shipdate timestamp_ntz",
+        ),
+        "supplier": ([(1, "m", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        "nation": ([(0, "f", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "labels": ([(2, 0, 0)], "doc_id long, quality int, toxic int"),
+    }
+    con = duckdb.connect()
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    assert sorted(r.segment_id for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()) == [1, 2]
+    assert sorted(con.execute(catalogue.ORACLES[name]).fetchall()) == [(1,), (2,)]
+
+
 # Annotations, data sets, sweeps, votes, answers
 
 
