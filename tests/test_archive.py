@@ -164,7 +164,7 @@ def test_review_filters(spark):
         ask(q="x", scope="model")
 
 
-@pytest.mark.parametrize("name", ["review_time_channel"])
+@pytest.mark.parametrize("name", ["review_time_channel", "review_coalesce_status"])
 def test_segments_of_many_errors_are_reviewed(spark, tmp_path, name):
     """1 has three errors, 2 one success, 3 no result, 4 three errors in the benchmark."""
     tables = {
