@@ -49,6 +49,35 @@ def test_memory_starts_anew_and_forgets_long_words():
         assert all(len(x) <= tokens.LONGEST for x in enc.memory)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_words_share_strings_and_old_ones_are_not_learned_again(name):
+    rng = random.Random(5)
+    path = tokenizer_path(name)
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path, 4000)
+    sent = []
+
+    class Counting:
+        def __getattr__(self, method, inner=enc.units):
+            return getattr(inner, method)
+
+        def encode_batch_fast(self, batch, inner=enc.units, **more):
+            sent.append(len(batch[0]))
+            return inner.encode_batch_fast(batch, **more)
+
+    enc.units = Counting()
+    common = ["Über", "the", "ÿes", "a"]
+    made = ["".join(rng.choice("aeßéstKLmn") for _ in range(rng.randint(3, 12))) for _ in range(12_000)]
+    texts = ["\n".join(f"{w}{rng.choice(['', ',', '.', '...', ';x', '!?'])} {rng.choice(common)}" for w in made[k : k + 500]) for k in range(0, 12_000, 500)]
+    for text in texts:
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert sum(sent) < 12_000 / 20  # a string of the merges' input for many words
+    assert len(enc.memory) + len(enc.older) < 8000
+    learned = []
+    enc.learn = learned.extend
+    enc.encode(texts[-1:])
+    assert not learned
+
+
 def test_written_files_read_back(spark, odd, empty, odd_rows):
     path = tokenizer_path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
