@@ -104,15 +104,17 @@ class Codes:
         """Tokens start to end (not included): the chunks of a span are a span on every level."""
         if not 0 <= start <= end <= self.n:
             raise IndexError((start, end))
-        values = np.zeros(end - start, np.uint32)
-        places = np.arange(end - start)
+        values = places = None  # level 0 has all places
         a, b, shift = start, end, 0
         for level, (chunks, bits, _) in enumerate(self.levels):
-            values[places] |= chunks[a:b].astype(np.uint32) << np.uint32(shift)
-            on = np.unpackbits(bits[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
-            if not on.any():
+            if values is None:
+                values = chunks[a:b].astype(np.uint32)
+            else:
+                values[places] |= chunks[a:b].astype(np.uint32) << np.uint32(shift)
+            on = np.flatnonzero(np.unpackbits(bits[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a])
+            if not len(on):
                 break
-            places = places[on]
+            places = on if places is None else places[on]
             a = self.rank(level, a)
             b, shift = a + len(places), shift + 8
         return values
@@ -138,12 +140,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, MEMORY)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for some in pieces(batch, "text", 1_000_000):
-                ids = [x + end for x in enc.encode(some.column("text").to_pylist())]
-                ends = np.cumsum([len(x) // 4 for x in ids])
-                payload = pack_ids(np.frombuffer(b"".join(ids), "<u4"))
+            for some in pieces(batch, "text"):
+                ids, counts = enc.encode_column(some.column("text"))
+                payload = pack_ids(np.insert(ids, np.cumsum(counts), end_id))
+                ends = np.cumsum(counts + 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([some.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([int(ends[-1])], pa.int64()), pa.array([payload], pa.binary())],
                     names=["part", "seq", "doc_ids", "ends", "n_tokens", "payload"],
@@ -157,31 +158,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text
     return spark.read.schema(SEGMENT).parquet(path)
 
 
-def placed(segments: DataFrame) -> DataFrame:
-    """Adds ``base``, the ids of all segments before: sums by part first, then within each part.
+def bases(segments: DataFrame) -> DataFrame:
+    """part, seq and ``base``, the ids of all segments before: sums by part first, then within each part.
 
     The window over all parts has one row for each part, none for a document.
     """
     sums = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("part_base"))
     own = segments.select("part", "seq", "n_tokens").withColumn("in_part", F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    bases = own.join(before, "part").select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base"))
-    return segments.join(bases, ["part", "seq"])
+    return own.join(before, "part").select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base"))
 
 
 def read_digests(segments: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the written segments."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the written segments.
+
+    Payloads are read where they are; only the digests meet their segment's base.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 codes = Codes.open(batch.column("payload")[k].as_buffer().to_pybytes())
-                ends = np.array(batch.column("ends")[k].as_py(), np.int64)
+                ends = np.array(batch.column("ends")[k].values, np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
-                ids = codes.span(0, codes.n).astype("<u4")
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends, strict=True)]
+                ids = codes.span(0, codes.n).astype("<u4", copy=False)
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                part, seq = (np.full(len(ends), batch.column(x)[k].as_py(), np.int32) for x in ("part", "seq"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[k].values, pa.array(begins + batch.column("base")[k].as_py()), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    [pa.array(part), pa.array(seq), batch.column("doc_ids")[k].values, pa.array(begins), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "begin", "n_tokens", "ids_crc32"]
                 )
 
-    return placed(segments).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    digests = segments.mapInArrow(digest, "part int, seq int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    return digests.join(bases(segments), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")

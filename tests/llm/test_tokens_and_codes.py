@@ -1,7 +1,9 @@
 import random
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -78,6 +80,43 @@ def test_new_words_share_strings_and_old_ones_are_not_learned_again(name):
     assert not learned
 
 
+def test_each_cut_is_looked_up_once_a_batch():
+    rng = random.Random(6)
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    looked = []
+
+    class Counting(dict):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            looked.append(key)
+            return super().get(key, default)
+
+    enc.memory = Counting()
+    some = ["the", "Über", "ciudad,", "in***", "mañana.\n", "«été»", "it's", "4.5", "(und)", "a\tb", "x\r\n"]
+    texts = [" ".join(rng.choices(some, k=500)) for _ in range(40)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(looked) < 200  # 20,000 words, some 40 cuts
+
+
+PLACES = [*" \t\r\n", *string.punctuation, *"aZ7éÿ×÷İɏɐ²٣«’\u0301\xa0\u3000\x85\x1c", "'s", "<|endoftext|>"]
+
+
+def test_cuts_in_bytes_equal_the_library():
+    """Every two of these next to each other, at the begin, in the midst and at the end of texts that share a buffer."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = [form.format(x + y) for x in PLACES for y in PLACES for form in ("{}", "é{}n", " {} t", "")]
+    column = pa.array(["zé.", *texts, "q"]).slice(1, len(texts))
+    ids, counts = enc.encode_column(column)
+    ends = np.cumsum(counts)
+    for text, begin, end, whole in zip(texts, ends - counts, ends, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids[begin:end].tolist() == whole.ids, repr(text)
+
+
 def test_written_files_read_back(spark, odd, empty, odd_rows):
     path = tokenizer_path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
@@ -93,6 +132,12 @@ def test_written_files_read_back(spark, odd, empty, odd_rows):
     assert codes.read_digests(codes.write_tokens(empty, path, 0)).count() == 0
 
 
+def test_payloads_are_read_before_the_join(odd):
+    path = tokenizer_path("byte_bpe_50k.json")
+    plan = codes.read_digests(codes.write_tokens(odd, path, 0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")  # below the join, so it moves digests only
+
+
 def test_registered_query(spark, sf):
     rows = sorted(queries.QUERIES["op4_token_codes"](spark, sf).collect(), key=lambda r: r.doc_id)
     starts = np.cumsum([0] + [r.n_tokens for r in rows])
