@@ -179,9 +179,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, te
         owned("packing")
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for some in pieces(batch, "text", 500_000):
+            for some in pieces(batch, "text", 4_000_000):
                 rows = []
-                for key, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
+                for key, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text")), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

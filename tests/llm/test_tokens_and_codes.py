@@ -117,6 +117,50 @@ def test_cuts_in_bytes_equal_the_library():
         assert ids[begin:end].tolist() == whole.ids, repr(text)
 
 
+def test_dropped_white_space_cuts_equal_the_library():
+    """Also marks that compose with a small letter only, and the begins of contractions and special tokens."""
+    path = tokenizer_path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    places = [*PLACES, *"HTJ\u0331\u0308\u030c\u0307\u0338İȺΣ", "'LL", "<|ENDOFTEXT|>", "<|", "|>", "The"]
+    texts = [form.format(x + y) for x in places for y in places for form in ("{}", "é{}n", " {} T", "A{}S", "")]
+    column = pa.array(["zÉ.", *texts, "q"]).slice(1, len(texts))
+    for text, ids, whole in zip(texts, enc.encode(column), tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.ids, repr(text)
+
+
+def test_words_of_dropped_white_space_are_numbered_by_arrow():
+    rng = random.Random(7)
+    path = tokenizer_path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path, 5)
+    looked, merged = [], []
+
+    class Counting(dict):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            looked.append(key)
+            return super().get(key, default)
+
+    class Merges:
+        def __getattr__(self, method, inner=enc.units):
+            return getattr(inner, method)
+
+        def encode_batch_fast(self, batch, inner=enc.units, **more):
+            merged.extend(batch[0])
+            return inner.encode_batch_fast(batch, **more)
+
+    enc.memory, enc.units = Counting(), Merges()
+    some = ["the", "The", "the,", "(THE", "ciudad", "Ciudad.\n", "...ciudad", "mañana", "it's", "x" * 100]
+    for size in (40, 1):
+        texts = [" ".join(rng.choices(some, k=500)) for _ in range(size)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+    assert not any(looked.count(x) > 2 for x in looked)  # 20,500 words, a dozen cuts
+    assert "".join(merged).count("ciuda") == 1  # the frequent ones stay, whatever their capitals and marks
+    assert len(enc.known) <= 5 and "x" * 100 not in enc.known.to_pylist()
+
+
 def test_written_files_read_back(spark, odd, empty, odd_rows):
     path = tokenizer_path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
