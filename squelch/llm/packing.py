@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from squelch.llm.shared import owned, pieces, stored
+from squelch.llm.shared import owned, pieces, stored, trimmed
 from squelch.llm.tokens import encoder
 
 ROUNDS, GAP = 3000, 0.004  # at most so many rounds; fewer once the mixture is so near the bound
@@ -176,7 +176,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, te
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owned("packing")
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for some in pieces(batch, "text", 4_000_000):
@@ -190,8 +189,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, te
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned("packing")
+        yield from cut(batches)
+        trimmed()
+
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(items: DataFrame, capacity: int, length: str = "length") -> DataFrame:

@@ -62,14 +62,19 @@ def owned(operator: str) -> None:
     if _owner and _owner[0] != operator:
         for clear in _forget:
             clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
-        if trim:
-            trim(0)
+        trimmed()
     _owner[:] = [operator]
 
 
+def trimmed() -> None:
+    """Gives the memory that a worker has freed back to the machine; Arrow and glibc keep it otherwise while the worker waits."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; null is empty."""
     if column.null_count:
