@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from squelch.functions import hashing, replies
 from squelch.operators import annotations, answers, areas, datasets, relational, review, sightings, sweeps
 from squelch.plans import catalogue
+from squelch.sources import views
 from squelch.streaming import answers as live
 from squelch.streaming import incremental
 
@@ -202,6 +203,18 @@ def test_refusals(spark):
     assert [r.r for r in frame.select(annotations.refusal(F.col("benchmark")).alias("r")).collect()] == [None, "gold_not_confirmed", "gold_without_text", "gold_not_reviewed", "benchmark", "span_after_end", None]
 
 
+def test_annotations_of_one_version_id_are_one_whatever_their_segments(spark, tmp_path):
+    lines = [(7, 90909, 1, 300.5, "A"), (8, 0, 1, 50.0, "A"), (7, 90909, 5, 200.5, "A"), (9, 3, 2, 10.0, "A"), (9, 3, 2, 9.0, "A")]  # 7 * 1000003 + 90909 * 11 + 5 = 8 * 1000003 + 1
+    spark.createDataFrame([(o, p, 1, n, 1.0, x, 0.0, f, datetime(1998, 1, 1)) for o, p, n, x, f in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, 1, "F", 100.0, datetime(1998, 1, o), "1-URGENT") for o in (7, 8, 9)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.version_id, r.segment_id, r.scope, r.end_ms) for r in views.annotated_segments(spark, str(tmp_path)).collect()}
+    assert got == {(7 * 1000003 + 90909 * 11 + 1, 7, "segment", None), (8 * 1000003 + 1, 8, "segment", None), (9 * 1000003 + 35, 9, "span", 209)}
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert set(con.execute(views.with_views("SELECT version_id, segment_id, scope, end_ms FROM annotated", "segment", "result", "annotated")).fetchall()) == got
+
+
 def test_ordinals_and_manifests_do_not_depend_on_partitions(spark):
     rng = random.Random(3)
     rows = [(k, rng.choice([None, rng.randrange(40)]), f"é{k}") for k in range(2100)]
