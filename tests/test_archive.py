@@ -113,6 +113,32 @@ def test_flights_near_equal_brute_force(spark):
     assert {(r.segment_id, r.icao, r.rank) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("unknown", [False, True])
+def test_flights_that_cannot_be_near_go_before_transmissions_meet_them(spark, unknown):
+    rng = random.Random(11)
+    flights = []
+    for k in range(1500):  # most of them under way at any time, aircraft with several flights, some from midnight on
+        first = rng.randrange(150_000)
+        flights.append((k % 2, k // 3, f"c{k}", None if unknown and k % 7 == 0 else first, first + rng.randrange(80_000), k))
+    calls = [(k, k % 2, rng.randrange(180_000)) for k in range(300)] + [(900 + k, k % 2, 3600 * k) for k in range(20)]
+    schema = "station long, icao long, callsign string, first_seen long, last_seen long, listed long"
+    frame = spark.createDataFrame(flights, schema)
+    got = {(r.segment_id, r.icao, r.callsign, r.rank) for r in sightings.active_flights(spark.createDataFrame(calls, "segment_id long, station long, t long"), frame, 4).collect()}
+    want, pairs = set(), 0
+    for i, station, t in calls:
+        found = {}
+        for s, icao, name, first, last, _ in flights:  # as they are listed
+            if s == station and (first if first is not None else last - last % 86_400) - 600 <= t <= last + 600:
+                found[icao] = (min(abs((first if first is not None else t) - t), abs(last - t)), icao, name)
+        pairs += len(found)
+        want |= {(i, icao, name, rank + 1) for rank, (_, icao, name) in enumerate(sorted(found.values())[:4])}
+    assert got == want
+    hours = frame.select("station", "icao", F.struct("listed", "last_seen", "first_seen", "callsign", (F.coalesce("first_seen", F.expr("last_seen - last_seen % 86400")) - 600).alias("begin"), (F.col("last_seen") + 600).alias("end")).alias("f"))
+    spread = hours.withColumns({"_day": F.lit(0), "_from": F.floor(F.col("f.begin") / 60), "_to": F.floor(F.col("f.end") / 60)})
+    kept = sightings._kept(spread, 60, 4).groupBy("station", "_bucket").count().agg(F.avg("count")).first()[0]
+    assert kept < 40 < pairs / len(calls)
+
+
 # Areas
 
 
