@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from squelch.functions import hashing, replies
-from squelch.operators import annotations, answers, areas, datasets, relational, review, sightings, sweeps
+from squelch.operators import annotations, answers, areas, datasets, relational, review, sightings, sweeps, utterances
 from squelch.plans import catalogue
 from squelch.sources import views
 from squelch.streaming import answers as live
@@ -139,6 +139,23 @@ def test_flights_that_cannot_be_near_go_before_transmissions_meet_them(spark, un
     assert kept < 40 < pairs / len(calls)
 
 
+# Passages
+
+
+def test_passages_of_gathered_hypotheses_need_no_shuffle_and_equal_those_of_rows(spark, tmp_path):
+    texts = ["alpha bravo charlie delta, echo 118.5 tango - sierra " * 3, "Turn left heading two seven zero\u2003please \u2003now", "", "one"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gathered = views.timed_hypotheses(spark, str(tmp_path))
+    gathered = gathered.withColumn("every", F.transform("every", lambda h: F.when(h["model"] == "canary-b", F.struct(*[h[c].alias(c) for c in ("model", "family", "status", "text")], F.slice(h["words"], 2, 9).alias("words"))).otherwise(h)))  # words that don't give the text
+    rows = gathered.select("segment_id", "duration_ms", F.explode("every").alias("h")).select("segment_id", "duration_ms", "h.*")
+    want = utterances.utterances(rows.repartition(5)).orderBy("segment_id", "ordinal").collect()
+    found = utterances.utterances(gathered)
+    assert found.orderBy("segment_id", "ordinal").collect() == want and want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    assert "hashpartitioning" not in catalogue.QUERIES["text_highlights"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
 # Areas
 
 
