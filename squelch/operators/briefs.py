@@ -72,7 +72,7 @@ def neighbourhood(segments: DataFrame, seconds: int = SECONDS, most: int = MOST_
         return F.struct(offset.alias("offset_s"), (F.lit(place) if isinstance(place, int) else place).cast("int").alias("place"), F.lit(relation).alias("relation"), x["segment_id"].alias("segment_id"), x["preview"].alias("preview"))
 
     pair = F.filter(F.array(F.when(F.col("previous").isNotNull(), view(F.col("previous"), "previous", 0)), F.when(F.col("next").isNotNull(), view(F.col("next"), "next", 1))), lambda x: x.isNotNull())
-    timed = _nearby(_previous_and_next(rows.filter("t is not null")), seconds, most)
+    timed = _nearby(_previous_and_next(rows.filter("t is not null").drop("relative_path")), seconds, most)
     timed = timed.select("segment_id", F.array_sort(F.concat(pair, F.transform("near", lambda x, i: view(x, "nearby", i + 2)))).alias("around"))
     path, me = W.partitionBy("source_id", "channel").orderBy("relative_path"), F.struct(F.lit(None).cast("long").alias("t"), "segment_id", "preview")
     untimed = rows.withColumns({"previous": F.lag(me).over(path), "next": F.lead(me).over(path)}).filter("t is null").select("segment_id", pair.alias("around"))
@@ -81,7 +81,7 @@ def neighbourhood(segments: DataFrame, seconds: int = SECONDS, most: int = MOST_
 
 
 def briefs(segments: DataFrame, hypotheses: DataFrame, agreement: DataFrame, around: DataFrame, aircraft: DataFrame, most: int = MOST_SHOWN) -> DataFrame:
-    """One nested row for each segment, from one shuffle of all five inputs on ``segment_id``.
+    """One nested row for each segment, from one shuffle of all five inputs on ``segment_id``, of what is shown only.
 
     hypotheses: the newest of each model (model, family, status, text,
     eligible); a success without words counts as an abstention. agreement: any
@@ -91,11 +91,13 @@ def briefs(segments: DataFrame, hypotheses: DataFrame, agreement: DataFrame, aro
     """
     whole = lambda frame: frame.select("segment_id", F.struct(*[c for c in frame.columns if c != "segment_id"]).alias("v"))
     hint = aircraft.select("segment_id", F.struct("rank", *[c for c in aircraft.columns if c not in ("segment_id", "rank")], telephony_hint(F.col("callsign")).alias("telephony")).alias("v"))
-    said = hypotheses.select("segment_id", F.struct("model", "family", "status", "text", "eligible").alias("v"))
-    rows = gathered("segment_id", {"s": whole(segments), "h": said, "a": whole(agreement), "n": around, "c": hint}).filter(F.size("s") > 0)
+    text = F.when(F.col("status") == "success", F.col("text")).alias("text")
+    said = hypotheses.select("segment_id", F.struct("model", "family", "status", text, "eligible").alias("v"))
+    telling = around.select("segment_id", F.slice(F.filter("around", lambda n: F.coalesce(n["preview"], F.lit("")) != ""), 1, most).alias("around"))
+    rows = gathered("segment_id", {"s": whole(segments), "h": said, "a": whole(agreement), "n": telling, "c": hint}).filter(F.size("s") > 0)
     heard = lambda h: (h["status"] == "success") & (F.trim(F.coalesce(h["text"], F.lit(""))) != "")
     models = lambda which: F.transform(F.filter(F.array_sort("h"), which), lambda h: h["model"])
-    shown = F.slice(F.filter(F.coalesce(F.get("n", F.lit(0)), F.array().cast(around.schema["around"].dataType)), lambda n: F.coalesce(n["preview"], F.lit("")) != ""), 1, most)
+    shown = F.coalesce(F.get("n", F.lit(0)), F.array().cast(around.schema["around"].dataType))
     return rows.select(
         "segment_id", F.get("s", F.lit(0)).alias("segment"),
         F.transform(F.filter(F.array_sort("h"), heard), lambda h: F.struct(h["model"].alias("model"), h["family"].alias("family"), h["text"].alias("text"), (~F.coalesce(h["eligible"], F.lit(False))).alias("research_only"))).alias("hypotheses"),

@@ -163,6 +163,22 @@ def test_briefs(spark):
     assert spark.createDataFrame([("SWA1A",), ("SW1",), ("N",), ("",)], "c string").select(telephony_hint(F.col("c")).alias("t")).collect()[0].t == "Southwest 1A"
 
 
+def test_models_and_unshown_neighbours_take_no_shuffle_of_results(spark):
+    from squelch.plans import context
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = context._newest(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(model_id" not in plan and "hashpartitioning(l_suppkey" not in plan
+    around = spark.createDataFrame([(1, [(float(k), None if k % 2 else f"p{k}") for k in range(20)])], "segment_id long, around array<struct<offset_s:double,preview:string>>")
+    empty = {"h": "segment_id long, model string, family string, status string, text string, eligible boolean", "a": "segment_id long, kind string", "c": "segment_id long, rank int, callsign string"}
+    frames = {k: spark.createDataFrame([], v) for k, v in empty.items()}
+    found = briefs.briefs(spark.createDataFrame([(1, 5)], "segment_id long, duration_ms long"), frames["h"], frames["a"], around, frames["c"])
+    assert [n.preview for n in found.first().neighbours] == ["p0", "p2", "p4", "p6"]
+
+
 def test_support(spark):
     make = spark.createDataFrame
     answers = make([(10, 1, "Cross runway two, hold short"), (11, 2, "hello"), (12, 3, None)], "item_id long, segment_id long, transcript string")
