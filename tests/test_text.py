@@ -99,3 +99,15 @@ def test_flags(spark, text, flag):
 def test_clean_speech_has_no_flag(spark):
     assert value(spark, quality.flags(F.lit("qantas twelve contact tower one one eight decimal five"), F.lit(5000), F.lit("en"), F.lit("EN"))) == []
     assert value(spark, quality.flags(F.lit("a" * 200 + " runway"), F.lit(1000))) == ["implausible_rate"]
+
+
+def test_counted_flags_are_computed_once(spark):
+    from squelch.plans import catalogue
+
+    counted = catalogue.QUERIES["flag_counts_unnest"](spark, "/root/testdata/sf0.001")
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("diacritics") == 1
+    want = {}
+    for r in catalogue.QUERIES["quality_flags"](spark, "/root/testdata/sf0.001").collect():
+        for flag in r.flags:
+            want[r.model, flag] = want.get((r.model, flag), 0) + 1
+    assert {(r.model, r.flag): r.n for r in counted.collect()} == want and want
